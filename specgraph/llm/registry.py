@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import packing, token_output
+from specgraph.llm import bpe, media, packing, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
@@ -30,3 +30,13 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-table")
     token_output.write_token_table(table(spark, sf_dir, "documents"), path)
     return token_output.read_documents(spark, path)
+
+
+@query
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store_tiles(media.text_images(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_column(table(spark, sf_dir, "documents"), digest=True)
