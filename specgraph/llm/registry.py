@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import bpe, media, packing, token_output
+from specgraph.llm import bpe, html_text, media, packing, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
@@ -40,3 +40,8 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
