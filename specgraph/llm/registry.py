@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import bpe, html_text, media, packing, token_output
+from specgraph.llm import bpe, html_text, media, packing, secret_scan, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
@@ -45,3 +45,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
