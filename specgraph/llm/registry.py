@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import bpe, html_text, media, packing, secret_scan, token_output
+from specgraph.llm import bpe, html_text, media, minhash, packing, secret_scan, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
@@ -50,3 +50,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
