@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgraph.llm.encoders import default_path, small_batches
+from specgraph.llm.text_arrays import ChunkCache
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Bytes of text whose unseen chunks are encoded together.
-GROUP_BYTES = 24 << 20
-#: Chunks kept for good by one worker; then the cache starts anew.
-CACHE_CHUNKS = 300_000
+#: Bytes of text whose unseen chunks are merged in one queue.
+GROUP_BYTES = 12 << 20
+#: Chunks kept by one worker; then the cache starts anew.
+CACHE_CHUNKS = 700_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -84,8 +85,7 @@ class Bpe:
         self.keys, self.values = keys[order], np.array(list(pairs.values()), np.int32)[order]
         #: Tokens with a pair of lower rank than their own: these are merged one at a time in each pre-token.
         self.early = {t for (a, b), r in pairs.items() for t in (a, b) if r < t}
-        self.hot: dict[str, bytes] = {}
-        self.fresh: dict[str, bytes] = {}
+        self.cache = ChunkCache(np.dtype("<u4"), self._chunks, self.encode_texts, CACHE_CHUNKS)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -154,8 +154,8 @@ class Bpe:
         ids, counts = token[alive], np.bincount(own[alive], minlength=len(pieces))
         return np.split(ids, np.cumsum(counts)[:-1]) if pieces else []
 
-    def _encode_whole(self, texts: list[str]) -> list[bytes]:
-        """Ids (little-endian u4) of texts that are cut by the pattern."""
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, each match of the pattern merged by itself and equal ones once."""
         cut = [[m.encode("utf-8", "surrogatepass") for m in self.pattern.findall(t)] for t in texts]
         known: dict[bytes, bytes] = {}
         rest = []
@@ -167,46 +167,15 @@ class Bpe:
                 known[p] = r.to_bytes(4, "little")
         for p, ids in zip(rest, self.merge(rest)):
             known[p] = ids.astype("<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in cut]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; None counts as empty.
-
-        A token never crosses the place before a single space unless white space
-        runs over it, so texts are cut there and chunks seen before are reused;
-        texts with a chunk that can't stand alone are cut by the pattern whole.
-        """
-        hot, fresh = self.hot, self.fresh
-        heads, odd, new = set(), [], set()
-        for i, t in enumerate(texts):
-            parts = (t or "").split(" ")
-            heads.add(parts.pop(0))
-            unseen = [c for c in parts if c not in hot]
-            new.update(unseen)
-            if any(not c or c[0].isspace() for c in unseen):
-                odd.append(i)
-        again = [c for c in new if c in fresh]
-        for c in again:
-            hot[c] = fresh[c]
-        fresh = {}
-        todo = [c for c in new.difference(again) if c and not c[0].isspace()]
-        heads = list(heads)
-        done = self._encode_whole([" " + c for c in todo] + heads + [texts[i] for i in odd])
-        fresh.update(zip(todo, done))
-        first = dict(zip(heads, done[len(todo) :]))
-        whole = dict(zip(odd, done[len(todo) + len(heads) :]))
-        out = []
-        for i, t in enumerate(texts):
-            if i in whole:
-                ids = whole[i]
-            else:
-                head, *parts = (t or "").split(" ")
-                ids = first[head] + b"".join([hot[c] if c in hot else fresh[c] for c in parts])
-            out.append(np.frombuffer(ids, "<u4"))
-        self.fresh = fresh
-        if len(hot) > CACHE_CHUNKS:
-            self.hot = {}
-        return out
+        return [np.frombuffer(b"".join([known[p] for p in parts]), "<u4") for parts in cut]
+
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        done = self.encode_texts([c.decode("utf-8", "surrogatepass") for c in chunks])
+        return np.concatenate([np.zeros(0, "<u4"), *done]), np.array([len(x) for x in done], np.int64)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty.  Only chunks not seen before are cut by the pattern and merged."""
+        return self.cache.encode(column)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -222,28 +191,14 @@ def load(path: str, pattern: str) -> Bpe:
     return _LOADED[path, pattern]
 
 
-def _grouped(batches):
-    """Arrow batches gathered into lists of about GROUP_BYTES."""
-    held, size = [], 0
-    for b in small_batches(batches, GROUP_BYTES):
-        held.append(b)
-        size += b.nbytes
-        if size >= GROUP_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def _run(path: str, pattern: str, digest: bool):
     def run(batches):
         bpe = load(path, pattern)
-        for held in _grouped(batches):
-            keys = [k for b in held for k in b.column(0).to_pylist()]
-            encoded = bpe.encode([t for b in held for t in b.column(1).to_pylist()])
+        for batch in small_batches(batches, GROUP_BYTES):
+            keys, encoded = batch.column(0), bpe.encode(batch.column(1))
             for i in range(0, len(keys), 2000):
                 part = encoded[i : i + 2000]
-                out = {"doc_id": pa.array(keys[i : i + 2000], pa.int64()), "n_tokens": pa.array([len(x) for x in part], pa.int64())}
+                out = {"doc_id": keys.slice(i, 2000), "n_tokens": pa.array([len(x) for x in part], pa.int64())}
                 if digest:
                     lists = [x.tolist() for x in part]
                     out["ids_sha256"] = pa.array([hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, x)).encode()).hexdigest() for x in lists], pa.string())

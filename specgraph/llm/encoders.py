@@ -1,22 +1,20 @@
-"""Exact byte-level BPE ids from the tokenizers library, with a cache of space-led chunks.
-
-The library's pre-tokenizer never lets a token cross the place before a single
-space, unless white space runs over it.  A text cut before each space therefore
-gives the ids of its chunks one after another, and a chunk that was seen before
-need not be encoded again.  A chunk that starts with more white space (or is
-empty: two spaces in a row) makes its whole text go to the library in one piece.
-"""
+"""Exact byte-level BPE ids from the tokenizers library, each distinct chunk of text encoded once."""
 
 from __future__ import annotations
 
 import os
 
 import numpy as np
+import pyarrow as pa
+
+from specgraph.llm.text_arrays import ChunkCache
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Chunks kept by one Python worker; then the cache starts anew.
-CACHE_CHUNKS = 500_000
-_BATCH = 4096
+CACHE_CHUNKS = 1_000_000
+#: Bytes of an Arrow batch that are worked on together.
+BATCH_BYTES = 3 << 20
+_BATCH, _ROW = 256, 300
 
 
 def default_path(name: str = TOKENIZER_FILE) -> str:
@@ -26,7 +24,7 @@ def default_path(name: str = TOKENIZER_FILE) -> str:
 
 
 class ChunkEncoder:
-    """encode(texts) gives the little-endian ids of each text as bytes (None counts as empty)."""
+    """encode(column) gives the ids of each text (null counts as empty) as unsigned little-endian arrays."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,42 +32,39 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.led = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
+        self.cache = ChunkCache(self.dtype, self._chunks, self._library, CACHE_CHUNKS)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for i in range(0, len(texts), _BATCH):
-            for e in self.tokenizer.encode_batch_fast(texts[i : i + _BATCH], add_special_tokens=False):
-                out.append(np.array(e.ids, self.dtype).tobytes())
+            out += [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts[i : i + _BATCH], add_special_tokens=False)]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.chunks) > CACHE_CHUNKS or len(self.heads) > CACHE_CHUNKS:
-            self.chunks, self.heads = {}, {}
-        chunks, heads = self.chunks, self.heads
-        cut = [(t or "").split(" ") for t in texts]
-        new_heads = list({p[0] for p in cut if p[0] not in heads})
-        for parts in cut:
-            parts[0] = heads.get(parts[0]) or parts[0]
-        new = list({c for parts in cut for c in parts[1:] if c not in chunks})
-        plain = [c for c in new if c and not c[0].isspace()]
-        chunks.update(dict.fromkeys(new))
-        chunks.update(zip(plain, self._library([" " + c for c in plain])))
-        heads.update(zip(new_heads, self._library(new_heads)))
-        out: list[bytes | None] = []
-        whole = []
-        for i, parts in enumerate(cut):
-            head = parts[0] if isinstance(parts[0], bytes) else heads[parts[0]]
-            try:
-                out.append(head + b"".join([chunks[c] for c in parts[1:]]))
-            except TypeError:  # a chunk that can't stand alone
-                out.append(None)
-                whole.append(i)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+    def _chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks led by a space are encoded in rows: an id that starts with a space starts the next chunk."""
+        led = np.array([c[0] == 32 for c in chunks], bool)
+        spaced = [c for c in chunks if c[0] == 32]
+        rows = [b"".join(spaced[i : i + _ROW]).decode("utf-8", "surrogatepass") for i in range(0, len(spaced), _ROW)]
+        heads = self._library([c.decode("utf-8", "surrogatepass") for c in chunks if c[0] != 32])
+        row_ids = np.concatenate([np.zeros(0, self.dtype), *self._library(rows)])
+        cuts = np.flatnonzero(self.led[row_ids])
+        if len(cuts) != len(spaced):
+            raise ValueError("the ids of a chunk depend on its neighbours")
+        lengths = np.empty(len(chunks), np.int64)
+        lengths[led] = np.diff(cuts, append=len(row_ids))
+        lengths[~led] = [len(x) for x in heads]
+        ids = np.empty(int(lengths.sum()), self.dtype)
+        of_space = np.repeat(led, lengths)
+        ids[of_space] = row_ids
+        ids[~of_space] = np.concatenate([np.zeros(0, self.dtype), *heads])
+        return ids, lengths
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        return self.cache.encode(column)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -82,7 +77,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def small_batches(batches, limit: int = 4 << 20):
+def small_batches(batches, limit: int = BATCH_BYTES):
     """Arrow batches cut so that each holds about ``limit`` bytes at most (one row at least)."""
     for b in batches:
         n = max(1, -(-b.nbytes // limit))

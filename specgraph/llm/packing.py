@@ -143,12 +143,12 @@ class Placement:
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
         enc = encoder(path)
-        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        end = np.array([end_id], "<u4")
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in small_batches(batches):
             rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                ids = np.frombuffer(ids + end, enc.dtype).astype("<u4")
+            for key, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+                ids = np.concatenate([ids.astype("<u4"), end])
                 start, size = 0, (len(ids) - 1) % capacity + 1  # the first piece may be shorter
                 piece = 0
                 while start < len(ids):
@@ -191,9 +191,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 def _piece_ids(path: str, end_id: int):
     def run(batches):
         enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
         for batch in small_batches(batches):
-            ids = [np.frombuffer(x + end, enc.dtype) for x in enc.encode(batch.column(1).to_pylist())]
+            ids = [np.append(x, x.dtype.type(end_id)) for x in enc.encode(batch.column(1))]
             sid, off, out = [], [], []
             for own, places in zip(ids, batch.column(2).to_pylist()):
                 for p in places:

@@ -136,12 +136,12 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             )
 
         for batch in small_batches(batches):
-            for key, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for key, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 key = NULL_KEY if key is None else key
                 part = key if part is None else part
                 keys.append(key)
-                ids.append(own + end)
-                size += len(own) // width + 1
+                ids.append(own.tobytes() + end)
+                size += len(own) + 1
                 if size >= shard_tokens:
                     yield close()
                     keys, ids, size, seq = [], [], 0, seq + 1
@@ -172,7 +172,7 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 def _documents(batches):
     for batch in batches:
-        for base, width, keys, payload, seeds, slots in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for part, seq, width, keys, payload, seeds, slots in zip(*(batch.column(i).to_pylist() for i in range(7))):
             ids = np.frombuffer(payload, f"<u{width}")
             k = np.array(keys, np.int64)
             offset, length = look_up(k, occurrences(k), seeds, slots)
@@ -181,17 +181,19 @@ def _documents(batches):
             crc = [zlib.crc32(ids[o : o + n].astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist())]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([None if x == NULL_KEY else x for x in keys], pa.int64()), "start": pa.array(base + offset, pa.int64()),
+                    "part": pa.array([part] * len(k), pa.int64()), "seq": pa.array([seq] * len(k), pa.int32()),
+                    "doc_id": pa.array([None if x == NULL_KEY else x for x in keys], pa.int64()), "inside": pa.array(offset, pa.int64()),
                     "n_tokens": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                 }
             )
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a token table, cut from the payloads through the index."""
+    """Every document of a token table, cut from the payloads through the index; payloads stay in the task that reads them."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    based = shards.join(shard_starts(shards.select("part", "seq", "n_tokens")), ["part", "seq"])
-    return based.select("base", "width", "keys", "payload", "seeds", "slots").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = shards.select("part", "seq", "width", "keys", "payload", "seeds", "slots").mapInArrow(_documents, "part long, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    starts = shard_starts(shards.select("part", "seq", "n_tokens"))
+    return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _fetch(batches):
