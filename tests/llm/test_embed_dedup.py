@@ -1,0 +1,69 @@
+"""Embedding links against all pairs in numpy."""
+
+import numpy as np
+import pytest
+
+from specgraph.llm import embed_dedup as E
+
+
+def brute(rows, threshold):
+    def fine(x):
+        return x is not None and len(x) and all(c is not None and np.isfinite(c) for c in x) and any(c != 0 for c in x)
+
+    up = {k: k for k, _ in rows if k is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    n = [0] * len(rows)
+    for i, (a, x) in enumerate(rows):
+        for j, (b, y) in enumerate(rows[:i]):
+            if fine(x) and fine(y) and len(x) == len(y):
+                u, v = np.array(x, float), np.array(y, float)
+                if u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= threshold:
+                    n[i] += 1
+                    n[j] += 1
+                    if a is not None and b is not None:
+                        p, q = root(a), root(b)
+                        up[max(p, q)] = min(p, q)
+    return [(k, n[i], None if k is None else root(k)) for i, (k, _) in enumerate(rows)]
+
+
+def table(seed, dim):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(30):
+        centre = rng.normal(size=dim) * np.linspace(2, 0.2, dim)
+        for _ in range(rng.integers(1, 9)):
+            rows.append((centre + rng.normal(size=dim) * rng.choice([0.0, 0.1, 0.35])).tolist())
+    return [(int(k), x) for k, x in zip(rng.permutation(len(rows)), rows)]
+
+
+@pytest.mark.parametrize("dim,tile,kind", [(12, 16, "float"), (1, 50, "double"), (5, 4096, "float")])
+def test_links(spark, monkeypatch, dim, tile, kind):
+    monkeypatch.setattr(E, "BLOCK", 7)
+    rows = table(dim, dim)
+    rows = [(k, np.float32(x).tolist()) for k, x in rows]
+    rows += [(1000, None), (1001, [0.0] * dim), (1002, [float("nan")] * dim), (1003, [None] * dim), (1004, []), (1005, [1.0] * (dim + 1)), (1006, [1.0] * (dim + 1)), (1007, [float("inf")] * dim)]
+    rows += [(2000 + i, rows[0][1]) for i in range(40)]  # one very common vector
+    d = spark.createDataFrame([(k, x, 3) for k, x in rows], f"vec_id long, embedding array<{kind}>, x int").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(d, tile=tile).collect())
+    assert got == sorted(brute(rows, 0.9))
+
+
+def test_chains_across_tiles(spark):
+    angles = np.cumsum(np.full(120, 0.3))  # each links to its neighbours only
+    rows = [(int(k), [float(np.cos(t)), float(np.sin(t)), float(i) * 0]) for i, (k, t) in enumerate(zip(np.random.default_rng(1).permutation(120), angles / 24))]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_vectors(d, tile=10, threshold=0.99).collect())
+    assert got == sorted(brute(rows, 0.99))
+
+
+def test_exact_threshold_repeats_and_nulls(spark):
+    rows = [(1, [9.0, 0.0, 0.0]), (2, [9.0, float(np.sqrt(19.0)), 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 0.0, 2.0]), (None, [0.0, 0.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_vectors(d).collect()], key=str)
+    assert got == sorted([(k, n, c, k is None or k == c) for k, n, c in brute(rows, 0.9)], key=str)
+    assert E.near_vectors(d.limit(0)).count() == 0
