@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import bpe, embed_dedup, html_text, media, minhash, packing, pii, secret_scan, token_output
+from specgraph.llm import bpe, embed_dedup, html_text, media, minhash, packing, pii, quality, secret_scan, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
