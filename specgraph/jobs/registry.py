@@ -3,10 +3,394 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from specgraph.functions import peaks as P
+from specgraph.functions import peptides
+from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
+from specgraph.operators import clusters, enrich, refine, similarity
+from specgraph.operators import preprocess as prep
+from specgraph.sources import tables
+from specgraph.storage import write
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# --- building blocks
+
+
+def part_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.rank_transform(tables.part_peaks(spark, sf_dir), N, LEAST)
+
+
+def part_edges(spark: SparkSession, sf_dir: str, threshold: float = T) -> DataFrame:
+    """Edges by block products, written once for all that builds on them."""
+    arrays = prep.ranked_arrays(part_ranked(spark, sf_dir))
+    return write(similarity.dot_product_edges_block(arrays, tables.part_index(spark, sf_dir), TOL, threshold), "edges").df
+
+
+def part_clusters(spark: SparkSession, sf_dir: str, threshold: float = T) -> tuple[DataFrame, DataFrame]:
+    edges = part_edges(spark, sf_dir, threshold)
+    return edges, clusters.members(edges)
+
+
+def user_edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = prep.ranked_arrays(prep.rank_transform(tables.user_peaks(spark, sf_dir), 50, LEAST))
+    return write(similarity.dot_product_edges_block(arrays, tables.user_index(spark, sf_dir), TOL, T), "edges").df
+
+
+def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.dedup_identifications(enrich.filter_identifications(tables.part_identifications(spark, sf_dir), 0.1, True))
+
+
+def part_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks = tables.read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.count(F.lit(1)).alias("peaks_count"))
+    part = tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_retailprice").alias("precursor_mz"), (1 + F.col("p_size") % 3).alias("charge"))
+    return peaks.join(part, "node_id").withColumn("ms_level", F.when(F.col("node_id") % 7 == 0, 1).otherwise(2))
+
+
+def user_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.user_peaks(spark, sf_dir).groupBy("node_id").agg(F.collect_list(F.struct("mz", "intensity")).alias("peaks"))
+    return rows.join(tables.user_index(spark, sf_dir), "node_id")
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    own = df.where(F.size("peaks") > 0)
+    return own.select("node_id", F.size("peaks").cast("long").alias("n"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"]), 3).alias("intensity"), "peaks")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Spectra to similarity edges to clusters, with their sizes."""
+    edges, member = part_clusters(spark, sf_dir)
+    return rounded(clusters.summary(edges, member, tables.part_index(spark, sf_dir)), "mass_avg")
+
+
+# --- scans, index, peaks
+
+
+@query
+def ms2_scan_filter(spark, sf_dir):
+    scans = part_scans(spark, sf_dir)
+    return prep.accepted_scans(scans, LEAST).select("node_id", "peaks_count", "mass", (F.col("precursor_mz") * F.col("charge")).cast("float").alias("true_mass"))
+
+
+@query
+def scan_counts(spark, sf_dir):
+    return prep.scan_counts(part_scans(spark, sf_dir), LEAST)
+
+
+@query
+def index_by_mass(spark, sf_dir):
+    return prep.mass_index(tables.part_index(spark, sf_dir)).select("native_id", "mass", "position")
+
+
+@query
+def index_slice(spark, sf_dir):
+    return index_by_mass(spark, sf_dir).where("position >= 50 and position < 150")
+
+
+@query
+def index_point(spark, sf_dir):
+    return index_by_mass(spark, sf_dir).where("position = 42")
+
+
+@query
+def input_limit(spark, sf_dir):
+    scans = tables.read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_id"), "l_orderkey", "l_linenumber")
+    return prep.input_limited(scans, 3000).groupBy("file_id").agg(F.count(F.lit(1)).alias("scans"))
+
+
+@query
+def peaks_clip(spark, sf_dir):
+    out = _counted(user_spectra(spark, sf_dir).withColumn("peaks", P.clip(F.col("peaks"), 5, 300)))
+    return out.select("node_id", "n", "intensity", F.array_min("peaks.mz").alias("lowest"), F.array_max("peaks.mz").alias("highest"))
+
+
+@query
+def precursor_removal(spark, sf_dir):
+    return _counted(user_spectra(spark, sf_dir).withColumn("peaks", P.remove_precursor(F.col("peaks"), F.col("mass"), F.col("charge"), -395.0, -370.0))).drop("peaks")
+
+
+@query
+def precursor_removal_true_mass(spark, sf_dir):
+    return _counted(user_spectra(spark, sf_dir).withColumn("peaks", P.remove_precursor(F.col("peaks"), F.col("mass"), F.col("charge"), -95.0, -20.0, True))).drop("peaks")
+
+
+@query
+def sorted_peaks(spark, sf_dir):
+    return user_spectra(spark, sf_dir).select("node_id", P.is_ascending(P.by_mz(F.col("peaks"))).alias("ascending"))
+
+
+@query
+def mz_binning(spark, sf_dir):
+    return prep.binned(tables.user_peaks(spark, sf_dir)).withColumn("intensity", F.round("intensity", 3))
+
+
+@query
+def mz_binning_half(spark, sf_dir):
+    return prep.binned(tables.part_peaks(spark, sf_dir), 2).withColumn("intensity", F.round("intensity", 3))
+
+
+@query
+def rank_transform(spark, sf_dir):
+    return part_ranked(spark, sf_dir)
+
+
+@query
+def rank_transform_ties(spark, sf_dir):
+    return prep.rank_transform(tables.user_peaks(spark, sf_dir), 50, LEAST)
+
+
+@query
+def rank_transform_vectors(spark, sf_dir):
+    return prep.rank_transform(tables.vector_peaks(spark, sf_dir), N, LEAST)
+
+
+@query
+def ranked_norm(spark, sf_dir):
+    return prep.ranked_arrays(part_ranked(spark, sf_dir)).select("node_id", "n", "norm2")
+
+
+# --- similarity
+
+
+@query
+def band_pairs(spark, sf_dir):
+    return similarity.band_pairs(tables.part_index(spark, sf_dir), TOL)
+
+
+@query
+def dot_product_edges(spark, sf_dir):
+    return rounded(similarity.dot_product_edges(part_ranked(spark, sf_dir), tables.part_index(spark, sf_dir), TOL, T), "dp")
+
+
+@query
+def dot_product_edges_prefix(spark, sf_dir):
+    ranked = write(part_ranked(spark, sf_dir), "ranked").df
+    return rounded(similarity.dot_product_edges_prefix(ranked, tables.part_index(spark, sf_dir), TOL, T, N), "dp")
+
+
+@query
+def dot_product_edges_block(spark, sf_dir):
+    return rounded(similarity.dot_product_edges_block(prep.ranked_arrays(part_ranked(spark, sf_dir)), tables.part_index(spark, sf_dir), TOL, T), "dp")
+
+
+@query
+def user_edges(spark, sf_dir):
+    return rounded(user_edges_of(spark, sf_dir), "dp")
+
+
+@query
+def logistic_edges(spark, sf_dir):
+    return rounded(similarity.logistic_edges(part_ranked(spark, sf_dir), tables.part_index(spark, sf_dir), TOL, 0.6, (-0.5275, 4.5572, -1.8332)), "dp")
+
+
+@query
+def verificative_pair(spark, sf_dir):
+    pairs = tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+    return rounded(similarity.pair_dot_products(write(part_ranked(spark, sf_dir), "ranked").df, pairs), "dp")
+
+
+@query
+def edge_audit(spark, sf_dir):
+    ranked = write(part_ranked(spark, sf_dir), "ranked").df
+    return similarity.edge_audit(part_edges(spark, sf_dir), ranked, tables.part_index(spark, sf_dir), TOL, T)
+
+
+@query
+def ion_match(spark, sf_dir):
+    part = tables.read(spark, sf_dir, "part")
+    ions = part.select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("mz")).union(part.select("p_partkey", F.col("p_size") % 10 + 1))
+    return similarity.ion_matches(tables.part_peaks(spark, sf_dir), ions).groupBy("node_id", "ion").agg(F.count(F.lit(1)).alias("matches"))
+
+
+# --- graphs
+
+
+@query
+def vertex_degree(spark, sf_dir):
+    return clusters.degrees(part_edges(spark, sf_dir))
+
+
+@query
+def connected_components(spark, sf_dir):
+    return part_clusters(spark, sf_dir)[1]
+
+
+@query
+def component_histogram(spark, sf_dir):
+    return clusters.size_histogram(part_clusters(spark, sf_dir)[1])
+
+
+@query
+def cluster_summary(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query
+def dbscan_point_types(spark, sf_dir):
+    return clusters.point_types(part_edges(spark, sf_dir), 3)
+
+
+@query
+def dbscan_clusters(spark, sf_dir):
+    return clusters.dbscan(part_edges(spark, sf_dir), 3)
+
+
+def _user_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = user_edges_of(spark, sf_dir)
+    return clusters.inner_edges(edges, clusters.members(edges))
+
+
+@query
+def betweenness(spark, sf_dir):
+    return rounded(refine.cluster_betweenness(_user_inside(spark, sf_dir)), "betweenness")
+
+
+@query
+def refine_round(spark, sf_dir):
+    return refine.refine(_user_inside(spark, sf_dir), (3,))
+
+
+@query
+def refine_multi(spark, sf_dir):
+    return refine.refine(_user_inside(spark, sf_dir), (5, 3))
+
+
+@query
+def cluster_get(spark, sf_dir):
+    member = part_clusters(spark, sf_dir)[1]
+    first = member.agg(F.min("cluster_id").alias("cluster_id"))
+    return member.join(first, "cluster_id", "left_semi").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_nodes"))
+
+
+@query
+def cluster_exists(spark, sf_dir):
+    member = part_clusters(spark, sf_dir)[1]
+    there = member.select(F.col("cluster_id").alias("node_id")).distinct().withColumn("is_cluster", F.lit(True))
+    return tables.part_index(spark, sf_dir).select("node_id").join(there, "node_id", "left").select("node_id", F.coalesce("is_cluster", F.lit(False)).alias("is_cluster"))
+
+
+@query
+def largest_cluster(spark, sf_dir):
+    return clusters.largest(flagship(spark, sf_dir))
+
+
+@query
+def weakest_edge(spark, sf_dir):
+    edges, member = part_clusters(spark, sf_dir)
+    return rounded(clusters.weakest_edges(clusters.inner_edges(edges, member)), "dp")
+
+
+# --- identifications
+
+
+@query
+def iden_filter(spark, sf_dir):
+    return enrich.filter_identifications(tables.part_identifications(spark, sf_dir), 0.9).select("ms_file", "native_id", "peptide", "charge", "iden_file_id")
+
+
+@query
+def iden_dedup(spark, sf_dir):
+    return enrich.dedup_identifications(tables.part_identifications(spark, sf_dir)).select("ms_file", "native_id", "peptide", "iden_file_id")
+
+
+@query
+def iden_lookup_join(spark, sf_dir):
+    return enrich.identified(tables.part_index(spark, sf_dir), usable(spark, sf_dir)).select("node_id", "peptide", "iden_charge")
+
+
+@query
+def unidentified_nodes(spark, sf_dir):
+    return enrich.unidentified(tables.part_index(spark, sf_dir), usable(spark, sf_dir)).select("node_id")
+
+
+def _peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return tables.read(spark, sf_dir, "part").select(
+        key.alias("native_id"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("peptide"), (1 + F.col("p_size") % 3).cast("int").alias("charge"), ((key * 37) % 1000 / 1000.0).alias("probability"), (key % 13 == 0).alias("is_decoy"),
+        F.when(key % 4 != 0, F.lit("K")).alias("prev_aa"), F.when(key % 5 != 0, F.lit("R")).alias("next_aa"), F.when(key % 3 == 0, 43.5).when(key % 3 == 1, 0.0).alias("nterm"), F.when(key % 7 == 0, 17.25).alias("cterm"),
+        F.array(F.struct((1 + key % 3).cast("int").alias("pos"), (100.5 + F.col("p_size")).alias("mass"))).alias("mods"),
+    )
+
+
+@query
+def peptide_string(spark, sf_dir):
+    return _peptides(spark, sf_dir).select("native_id", peptides.with_masses(F.col("peptide"), F.col("mods"), F.col("nterm"), F.col("cterm")).alias("text"))
+
+
+@query
+def peptide_string_int(spark, sf_dir):
+    return _peptides(spark, sf_dir).select("native_id", peptides.with_integer_masses(F.col("peptide"), F.col("mods"), F.col("nterm"), F.col("cterm")).alias("text"))
+
+
+@query
+def display_string(spark, sf_dir):
+    return _peptides(spark, sf_dir).select("native_id", peptides.display(F.col("peptide"), F.col("charge"), F.col("probability"), F.col("is_decoy"), F.col("prev_aa"), F.col("next_aa")).alias("text"))
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    member = part_clusters(spark, sf_dir)[1]
+    return enrich.enrich(member, tables.part_index(spark, sf_dir), usable(spark, sf_dir))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    member = part_clusters(spark, sf_dir)[1]
+    return enrich.named_members(member, tables.part_index(spark, sf_dir), usable(spark, sf_dir))
+
+
+@query
+def cluster_enrichment(spark, sf_dir):
+    return rounded(_enriched(spark, sf_dir), "iden_ratio", "mass_avg")
+
+
+@query
+def major_identification(spark, sf_dir):
+    return _enriched(spark, sf_dir).where("major_iden is not null").select("cluster_id", "major_iden")
+
+
+@query
+def iden_histogram(spark, sf_dir):
+    text = _enriched(spark, sf_dir).where("idens is not null").select("cluster_id", F.explode(peptides.histogram_map(F.col("idens"))).alias("iden", "n"))
+    return text.select("cluster_id", "iden", "n")
+
+
+@query
+def clusters_with_iden(spark, sf_dir):
+    return iden_histogram(spark, sf_dir).groupBy("iden").agg(F.count(F.lit(1)).alias("clusters"), F.min("cluster_id").alias("first_cluster"))
+
+
+@query
+def enrichment_pending(spark, sf_dir):
+    return enrich.needs_enrichment(_enriched(spark, sf_dir)).select("cluster_id")
+
+
+@query
+def cluster_entropy(spark, sf_dir):
+    return rounded(enrich.entropies(_named(spark, sf_dir))[0], "entropy")
+
+
+@query
+def peptide_entropy(spark, sf_dir):
+    return rounded(enrich.entropies(_named(spark, sf_dir))[1], "entropy")
+
+
+@query
+def export_lines(spark, sf_dir):
+    edges, member = part_clusters(spark, sf_dir)
+    index = tables.part_index(spark, sf_dir)
+    named = enrich.named_members(member, index, usable(spark, sf_dir)).select("cluster_id", "node_id", "iden")
+    text = lambda *c: F.concat_ws("\t", *[F.col(x).cast("string") for x in c])
+    nodes = named.withColumn("iden", F.coalesce("iden", F.lit(""))).join(index.select("node_id", "file_stem", "native_id"), "node_id").select("cluster_id", F.lit("Node").alias("kind"), text("node_id", "file_stem", "native_id", "iden").alias("line"))
+    ties = clusters.inner_edges(edges, member).withColumn("dp", F.format_string("%.6f", "dp")).select("cluster_id", F.lit("Edge").alias("kind"), text("src", "dst", "dp").alias("line"))
+    return nodes.union(ties)

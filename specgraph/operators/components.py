@@ -44,7 +44,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Null end points are ignored; self loops and repeated edges change nothing.
     An empty edge table gives an empty result.
     """
-    spark = edges.sparkSession
     left = write(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
         .where("src is not null and dst is not null")
@@ -78,4 +77,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         left = rest
         if left.df.isEmpty():
             left.drop()
-            return spark.read.parquet(labels.path)
+            return labels.df

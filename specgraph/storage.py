@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -34,9 +35,9 @@ def new_path(spark: SparkSession, name: str) -> str:
 class Written:
     """A table in the shared folder: ``df`` reads it, ``drop()`` deletes its files."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
         self.spark, self.path = spark, path
-        self.df = spark.read.parquet(path)
+        self.df = spark.read.schema(schema).parquet(path)  # a known schema needs no look at the files
 
     def drop(self) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -49,4 +50,4 @@ def write(df: DataFrame, name: str, codec: str = "zstd") -> Written:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return Written(spark, path)
+    return Written(spark, path, df.schema)
