@@ -154,6 +154,12 @@ JOIN (SELECT p_partkey AS node_id, p_size AS ion FROM part UNION ALL SELECT p_pa
         CLUSTERS, "SELECT * FROM (SELECT cluster_id, count(*) AS num_nodes FROM members GROUP BY ALL) JOIN (SELECT cluster_id, count(*) AS num_edges FROM inside GROUP BY ALL) USING (cluster_id) ORDER BY num_nodes DESC, cluster_id LIMIT 1"
     ),
     "weakest_edge": with_(CLUSTERS, "SELECT cluster_id, src, dst, round(dp, 6) AS dp FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dp, src, dst) AS rn FROM inside) WHERE rn = 1"),
+    "decode_roundtrip": f"WITH {parts('part_peaks')} SELECT node_id, count(*) AS n, sum(CAST(mz AS DOUBLE)) AS mz, round(sum(CAST(CAST(intensity AS FLOAT) AS DOUBLE)), 1) AS intensity FROM part_peaks GROUP BY ALL",
+    "cluster_texts": with_(
+        CLUSTERS,
+        """SELECT cluster_id, nodes + edges + 4 AS lines, '# Cluster' AS first, last FROM (SELECT cluster_id, count(*) AS nodes FROM members GROUP BY ALL)
+JOIN (SELECT cluster_id, count(*) AS edges, arg_max(concat_ws(chr(9), CAST(src AS VARCHAR), CAST(dst AS VARCHAR), printf('%.8f', dp)), (src, dst)) AS last FROM inside GROUP BY ALL) USING (cluster_id)""",
+    ),
     "export_lines": with_(
         f"{NAMED}",
         """SELECT cluster_id, 'Node' AS kind, concat_ws(chr(9), CAST(i.node_id AS VARCHAR), i.file_stem, CAST(i.native_id AS VARCHAR), coalesce(n.iden, '')) AS line FROM named n JOIN part_index i USING (node_id)

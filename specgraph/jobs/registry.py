@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from specgraph.functions import peaks as P
 from specgraph.functions import peptides
 from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
+from specgraph.jobs import export
 from specgraph.operators import clusters, enrich, refine, similarity
 from specgraph.operators import preprocess as prep
-from specgraph.sources import tables
+from specgraph.sources import binary, tables
 from specgraph.storage import write
 
 QUERIES: dict = {}
@@ -394,3 +395,24 @@ def export_lines(spark, sf_dir):
     nodes = named.withColumn("iden", F.coalesce("iden", F.lit(""))).join(index.select("node_id", "file_stem", "native_id"), "node_id").select("cluster_id", F.lit("Node").alias("kind"), text("node_id", "file_stem", "native_id", "iden").alias("line"))
     ties = clusters.inner_edges(edges, member).withColumn("dp", F.format_string("%.6f", "dp")).select("cluster_id", F.lit("Edge").alias("kind"), text("src", "dst", "dp").alias("line"))
     return nodes.union(ties)
+
+
+@query
+def decode_roundtrip(spark, sf_dir):
+    """Peaks of every part packed as a scan file packs them (big-endian, deflated, base64) and decoded again."""
+    rows = tables.part_peaks(spark, sf_dir).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("mz", F.col("intensity").cast("float").alias("intensity")))).alias("peaks"))
+    return rows.mapInArrow(binary.pack, "node_id long, packed binary").mapInArrow(binary.unpack, "node_id long, peaks array<struct<mz:float,intensity:float>>").select(
+        "node_id", F.size("peaks").cast("long").alias("n"), F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["mz"].cast("double")).alias("mz"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"].cast("double")), 1).alias("intensity")
+    )
+
+
+@query
+def cluster_texts(spark, sf_dir):
+    """The exported text of every cluster, as its length in lines and its first lines' fields."""
+    edges, member = part_clusters(spark, sf_dir)
+    index = tables.part_index(spark, sf_dir)
+    nodes = enrich.named_members(member, index, usable(spark, sf_dir)).drop("mass").join(index, "node_id")
+    inside = clusters.inner_edges(edges, member)
+    summary = enrich.enrich(member, index, usable(spark, sf_dir)).join(inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges")), "cluster_id")
+    lines = F.split("text", "\n")
+    return export.cluster_text(summary, nodes, inside).select("cluster_id", F.size(lines).cast("long").alias("lines"), F.get(lines, F.lit(0)).alias("first"), F.element_at(lines, -1).alias("last"))
