@@ -3,11 +3,13 @@
 1. Each text becomes the set of its distinct word shingles; a task keeps only the
    set's size, a 128-bit key of the whole set, the band keys and one byte of each
    minimum.  Documents with equal sets form a class and go on as its smallest id.
-2. Classes that share a band key are candidates.  A bucket never emits all its
-   pairs: first every class is held against the one pivot it meets in most bands.
-   Once the links found have been contracted, only buckets that still hold several
-   components are looked at again, pivots against members of other components,
-   with more pivots each round until every bucket is exhausted or connected.
+2. Classes that share a band key are candidates.  First every class is held
+   against the one pivot it meets in most bands, and the links found are contracted.
+   Only buckets that still hold several components are looked at again: the pairs
+   of small ones one by one, large ones as groups of blocks.  A block holds some
+   hundred texts; two blocks are compared inside one task, which returns edges that
+   hold the linked texts together and never the pairs.  Members of a group's largest
+   component aren't compared with each other.
 3. A candidate pair's signatures are compared in batches of hashes.  After each
    batch the pair is dropped if the posterior probability that its similarity
    reaches the threshold is below ``MISS``.
@@ -21,10 +23,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specgraph.llm.encoders import small_batches
@@ -36,8 +38,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-7
-#: Pivots of a bucket in the second round; eight times as many in each later one.
-PIVOTS = 64
+#: Largest bucket whose pairs are written out; texts and shingles of a block.
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 16, 256, 50_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -204,6 +206,101 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     return confirmed
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, id, n, component): members of the buckets that hold several components."""
+    labelled = write(members.join(labels, members.id == labels.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
+    mixed = write(labelled.df.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "mixed")
+    out = write(labelled.df.join(mixed.df, "band"), "open")
+    labelled.drop()
+    mixed.drop()
+    return out.df
+
+
+def _group_links(open_: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, miss: float) -> Written:
+    """Edges (a, b) that connect what is linked inside groups of buckets that share classes."""
+    hubs = write(open_.groupBy("band").agg(F.min("id").alias("hub")), "hubs").df
+    groups = connected_components(open_.join(hubs, "band").select("id", "hub"), "id", "hub").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    own = write(open_.select("id", "n", F.col("component").alias("own")).distinct().join(groups, "id"), "grouped").df
+    main = own.groupBy("group", "own").agg(F.count(F.lit(1)).alias("rows")).groupBy("group").agg(F.max_by("own", F.struct("rows", -F.col("own"))).alias("main"))
+    sided = write(own.join(main, "group").withColumn("side", F.when(F.col("own") == F.col("main"), 1).otherwise(0)), "sided").df
+    sizes = sided.groupBy("group", "side").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    placed = sided.join(sizes, ["group", "side"]).select("id", "n", "own", "group", "side", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    full = placed.join(classes.select("id", "signature"), "id").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    blocks = write(full.groupBy("group", "side", "part").agg(F.collect_list(F.struct("id", "own", "n", "signature", "text")).alias("rows")), "blocks").df
+    keys = blocks.select("group", "side", "part")
+    key = lambda s: keys.select("group", F.struct("side", "part").alias(f"key_{s}"))
+    met = write(key("a").join(key("b"), "group").where((F.col("key_a") <= F.col("key_b")) & (F.col("key_a.side") == 0)), "block-pairs").df
+    rows = lambda s: blocks.select("group", F.struct("side", "part").alias(f"key_{s}"), F.col("rows").alias(f"rows_{s}"))
+    both = met.join(rows("a"), ["group", "key_a"]).join(rows("b"), ["group", "key_b"])
+    return write(both.select((F.col("key_a") == F.col("key_b")).alias("same"), "rows_a", "rows_b").mapInPandas(_compare_blocks(words, percent, miss), "a long, b long"), "links")
+
+
+def block_links(a: list, b: list, words: int, percent: int, least: list[int]) -> np.ndarray:
+    """Boolean matrix of the confirmed links between rows of different components of two blocks."""
+    part = lambda rows, k: np.array([r[k] for r in rows], np.int64)
+    sig_a, sig_b = (np.frombuffer(b"".join([bytes(r["signature"]) for r in rows]), np.uint8).reshape(-1, HASHES) for rows in (a, b))
+    n_a, n_b = part(a, "n"), part(b, "n")
+    live = part(a, "own")[:, None] != part(b, "own")[None, :]
+    live &= 100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :])
+    equal = np.zeros(live.shape, np.int64)
+    for k, m in enumerate(least):
+        for j in range(k * BATCH, (k + 1) * BATCH):
+            equal += sig_a[:, j][:, None] == sig_b[:, j][None, :]
+        live &= equal >= m
+        if not live.any():
+            return live
+    rows, cols = np.flatnonzero(live.any(1)), np.flatnonzero(live.any(0))
+    sets_a = shingle_sets(pa.array([a[i]["text"] for i in rows], pa.string()), words)
+    sets_b = shingle_sets(pa.array([b[j]["text"] for j in cols], pa.string()), words)
+    common = np.intersect1d(np.concatenate(sets_a), np.concatenate(sets_b))
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    for first in range(0, len(common), 4096):
+        own = common[first : first + 4096]
+        both += _incidence(sets_a, own) @ _incidence(sets_b, own).T  # whole numbers below 2 ** 24
+    both = both.astype(np.int64)
+    union = n_a[rows][:, None] + n_b[cols][None, :] - both
+    live[np.ix_(rows, cols)] &= (100 * both >= percent * union) & (both > 0)
+    return live
+
+
+def _incidence(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(own)), np.float32)
+    for i, s in enumerate(sets):
+        s = s[np.searchsorted(s, own[0]) : np.searchsorted(s, own[-1], "right")]
+        at = np.searchsorted(own, s)
+        out[i, at[own[at] == s]] = 1
+    return out
+
+
+def holding_edges(linked: np.ndarray, id_a: np.ndarray, id_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each linked row to the smallest id that links reach inside the two blocks."""
+    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    small, a, b = linked[np.ix_(rows, cols)], id_a[rows], id_b[cols]
+    far = np.iinfo(np.int64).max
+    label_a, label_b = a.copy(), b.copy()
+    while len(rows):
+        new_b = np.minimum(label_b, np.where(small, label_a[:, None], far).min(0))
+        new_a = np.minimum(label_a, np.where(small, new_b[None, :], far).min(1))
+        if (new_a == label_a).all() and (new_b == label_b).all():
+            break
+        label_a, label_b = new_a, new_b
+    ids, labels = np.concatenate([a, b]), np.concatenate([label_a, label_b])
+    return ids[ids != labels], labels[ids != labels]
+
+
+def _compare_blocks(words: int, percent: int, miss: float):
+    least = least_matches(percent, miss)
+
+    def run(frames):
+        for frame in frames:
+            for rows_a, rows_b in zip(frame["rows_a"], frame["rows_b"]):
+                linked = block_links(list(rows_a), list(rows_b), words, percent, least)
+                a, b = holding_edges(linked, np.array([r["id"] for r in rows_a], np.int64), np.array([r["id"] for r in rows_b], np.int64))
+                yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
 def _fits(percent: int):
     """Similarity can't exceed the ratio of the set sizes."""
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -238,31 +335,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     found = links.df
     labels = write(connected_components(found, "a", "b"), "labels").df
 
-    active, pivots = members.select("band", "size", "id", "n"), PIVOTS
-    while True:
-        labelled = write(active.join(labels, active.id == labels.node, "left").select("band", "size", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-        mixed = write(labelled.df.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band"), "mixed")
-        open_ = write(labelled.df.join(mixed.df, "band"), "open")
-        labelled.drop()
-        mixed.drop()
-        if open_.df.isEmpty():
-            break
-        ranked = open_.df.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("id"))).where(F.col("rank") <= pivots)
-        chosen = write(ranked.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b")), "pivots")
-        pairs = (
-            open_.df.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))
-            .join(chosen.df, "band")
-            .where((F.col("component_a") != F.col("component_b")) & _fits(percent))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        more = _links(pairs, classes, docs, words, percent, miss)
-        found = found.union(more.df)
-        if not more.df.isEmpty():
-            labels = write(connected_components(found, "a", "b"), "labels").df
-        active = open_.df.where(F.col("size") > pivots).join(chosen.df.select("band", F.col("b").alias("id")), ["band", "id"], "left_anti")
-        active = active.select("band", (F.col("size") - pivots).alias("size"), "id", "n")
-        pivots *= 8
+    # Round two: pairs of different components in small buckets.
+    open_ = _open(members.where(F.col("size") <= SMALL), labels)
+    side = lambda x: open_.select("band", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"component_{x}"))
+    pairs = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _fits(percent)).select("a", "b").distinct()
+    found = found.union(_links(pairs, classes, docs, words, percent, miss).df)
+    labels = write(connected_components(found, "a", "b"), "labels").df
+
+    # Round three: large buckets as groups of blocks.
+    open_ = _open(members.where(F.col("size") > SMALL), labels)
+    if not open_.isEmpty():
+        found = found.union(_group_links(open_, classes, docs, words, percent, miss).df)
+        labels = write(connected_components(found, "a", "b"), "labels").df
 
     named = write(
         classes.select("set_key", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "named"

@@ -77,9 +77,10 @@ def corpus(seed, groups, size):
 ODD = ["", None, " ", "one", "ONE", "one two", "one two three four", "a b c d e", "word " * 30_000, "\n\tone"]
 
 
-@pytest.mark.parametrize("words,pivots", [(4, 64), (5, 2)])
-def test_components(spark, monkeypatch, words, pivots):
-    monkeypatch.setattr(M, "PIVOTS", pivots)
+@pytest.mark.parametrize("words,small,rows_of_block", [(4, 16, 256), (5, 1, 5)])
+def test_components(spark, monkeypatch, words, small, rows_of_block):
+    monkeypatch.setattr(M, "SMALL", small)
+    monkeypatch.setattr(M, "BLOCK_ROWS", rows_of_block)
     rows = corpus(words, 25, 12)
     rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(5000, rows[0][1]), (5001, rows[0][1]), (5001, rows[0][1]), (None, rows[0][1]), (None, None)]
     d = spark.createDataFrame([(k, t, "x", 7) for k, t in rows], "doc_id long, text string, band string, size int").repartition(3)
@@ -94,5 +95,23 @@ def test_components(spark, monkeypatch, words, pivots):
             assert (r.doc_id, r.n_shingles, r.component_id, r.kept) == (r.doc_id, sizes[r.doc_id], want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_block_links_are_exact():
+    rows = corpus(9, 6, 20)
+    sets = [s for s in M.shingle_sets(pa.array([t for _, t in rows]), 4)]
+    sig = (M.signatures(sets) & 0xFF).astype(np.uint8)
+    block = [{"id": k, "own": k, "n": len(s), "signature": g.tobytes(), "text": t} for (k, t), s, g in zip(rows, sets, sig)]
+    got = M.block_links(block, block, 4, 80, M.least_matches(80))
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            n = len(np.intersect1d(s, t))
+            assert got[i, j] == (i != j and 100 * n >= 80 * (len(s) + len(t) - n))
+    ids = np.array([k for k, _ in rows])
+    up = {k: k for k in ids.tolist()}
+    for a, b in zip(*M.holding_edges(got, ids, ids)):
+        up[int(a)] = int(b)
+    want = brute(rows, 4)
+    assert all(up[k] == want[k] for k in up)
+
+
 def test_empty(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
