@@ -88,10 +88,11 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b", re.I)
 
 
-def _named_aside(value: str) -> bool:
+def _named_aside(value: str, in_region: bool) -> bool:
+    """Does a class name or id say so?  Inside an article a header is the article's own."""
     for name in value.split():
         parts = [p.lower() for p in NAME_PART.findall(name)]
-        if parts and parts[0] not in LAYOUT_WORDS and not NAME_WORDS.isdisjoint(parts):
+        if parts and parts[0] not in LAYOUT_WORDS and not NAME_WORDS.isdisjoint(p for p in parts if not (in_region and p == "header")):
             return True
     return False
 
@@ -107,7 +108,7 @@ def _left_out(tag: str, attributes: str, in_region: bool) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    return _named_aside(unescape(found.get("class", ""))) or _named_aside(unescape(found.get("id", "")))
+    return any(_named_aside(unescape(found.get(k, "")), in_region) for k in ("class", "id"))
 
 
 class Block:

@@ -10,6 +10,7 @@ PARA = LONG.strip()
 CASES = {
     "site": (f"<html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>A</a></ul></nav><!-- x > --><div class='ad'>Buy</div><article><h1>Head &amp; line</h1><p><b>One<br><p>Two  three</p><form>f<p>x</p></form></article><footer>&copy; me</footer>", "Head & line\nOne\nTwo three"),
     "header": ("<header><h1>Site</h1></header><main><p>Text</p></main><aside>s</aside>", "Text"),
+    "own header": ("<div class=page-header><p>Site</p></div><article><header class=entry-header><h1>Title</h1></header><p>Text</p><div class=article-footer>x</div></article>", "Title\nText"),
     "comments": ("<article><p>Text</p><section id=comments><p>First!</p></section><div class='share-buttons'>x</div></article>", "Text"),
     "notices": (f"<body><div id='cookie-notice'>We use</div><div class=\"wrap has-sidebar\"><p>{PARA}</p></div><div role=alert>no</div><div hidden>h</div></body>", PARA),
     "no region": (f"<div><a href=1>Home</a> <a href=2>About us</a></div><h2>Title</h2><p>{PARA}</p><p>Short end.</p><p><a href=3>next page of all</a></p><p>© 2020 me</p>", f"Title\n{PARA}\nShort end."),
