@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from specgraph.llm.encoders import small_batches
 from specgraph.llm.html_text import STOP_WORDS
-from specgraph.llm.text_arrays import column_bytes, mix, piece_hashes
+from specgraph.llm.text_arrays import column_bytes, forget, mix, piece_hashes
 
 #: Documents that the scorer is fitted to, at most twice as many; hash buckets; passes of the fit.
-SAMPLE, BUCKETS, PASSES = 4000, 1 << 15, 300
+SAMPLE, BUCKETS, PASSES = 3000, 1 << 15, 200
+#: Bytes of text that a task, and of sampled text that the driver works on at once.
+TASK_SLICE, DRIVER_SLICE = 1 << 20, 1 << 19
 #: A document is rejected when the scorer's probability of "bad" is at least this.
 REJECT = 0.5
 #: Strength of the prior on a labeller's votes, in documents.
@@ -162,7 +164,8 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
 
 
 def _vote(batches):
-    for batch in small_batches(batches):
+    forget()
+    for batch in small_batches(batches, TASK_SLICE):
         yield pa.RecordBatch.from_arrays([pa.array(pattern_of(Texts(batch.column(0)).votes()), pa.int64())], ["pattern"])
 
 
@@ -210,7 +213,14 @@ class Scorer:
     """Logistic regression on hashed features, fitted with Adam on the whole sample."""
 
     def __init__(self, texts: pa.Array, target: np.ndarray):
-        row, bucket, value = _shares(Texts(texts))
+        """The sample is read in small slices: the driver holds its inputs, some hundreds a document, and no more."""
+        parts, rows = [], 0
+        for piece in small_batches([pa.RecordBatch.from_arrays([texts], ["text"])], DRIVER_SLICE):
+            row, bucket, value = _shares(Texts(piece.column(0)))
+            parts.append(((row + rows).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)))
+            rows += piece.num_rows
+        row, bucket, value = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
+        del parts
         self.weight, self.intercept = np.zeros(BUCKETS), 0.0
         n = max(len(target), 1)
         m, s, step = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), 0
@@ -239,16 +249,21 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[Labe
     labels = LabelModel(counts)
     total = sum(counts.values())
     share = min(1.0, sample / max(total, 1))
-    # Drawn by a hash of text and a row of noise-free keys, so that a lost task draws the same rows again.
-    drawn = own.where(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)).limit(2 * sample)
+    # Drawn by a hash of the row, so that a lost task draws the same rows again and copies are drawn one by one.
+    keys = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
+    hashed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.lit(11), *keys).alias("h"))
+    drawn = hashed.where(F.shiftrightunsigned("h", 1) <= int(share * (2**63 - 1024))).limit(2 * sample).select("text")
     texts = drawn.toArrow().column("text").combine_chunks()
     texts = texts if isinstance(texts, pa.Array) else pa.chunked_array(texts).combine_chunks()
-    return labels, Scorer(texts, labels.posterior(Texts(texts).votes().astype(np.int64)))
+    slices = small_batches([pa.RecordBatch.from_arrays([texts], ["text"])], DRIVER_SLICE)
+    target = [labels.posterior(Texts(b.column(0)).votes().astype(np.int64)) for b in slices]
+    return labels, Scorer(texts, np.concatenate([np.zeros(0), *target]))
 
 
 def _judge(labels: LabelModel, scorer: Scorer):
     def run(batches):
-        for batch in small_batches(batches):
+        forget()
+        for batch in small_batches(batches, TASK_SLICE):
             texts = Texts(batch.column(1))
             votes = texts.votes()
             p = scorer.score(texts)
@@ -277,7 +292,8 @@ def keep_good(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Data
     at = docs.columns.index(text)
 
     def run(batches):
-        for batch in small_batches(batches):
+        forget()
+        for batch in small_batches(batches, TASK_SLICE):
             yield batch.filter(pa.array(scorer.score(Texts(batch.column(at))) < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
