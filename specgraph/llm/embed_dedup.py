@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from specgraph.llm.encoders import small_batches
 from specgraph.operators.components import connected_components
-from specgraph.storage import write
+from specgraph.storage import arrow_rows, write
 
 #: Rows of a tile; rows that the basis and the cuts are made from.
 TILE = 4096
@@ -132,7 +132,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         found = outs[0]
         for o in outs[1:]:
             found = found.unionByName(o)
-        found = write(found, "neighbours").df
+        with arrow_rows(spark, 2):
+            found = write(found, "neighbours").df
         edges = found.select(F.explode("edges").alias("e")).select("e.src", "e.dst")
         labels = connected_components(edges)
         per_row = write(found.groupBy("code").agg(F.sum("n").alias("n")), "degrees").df

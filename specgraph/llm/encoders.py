@@ -11,7 +11,7 @@ from specgraph.llm.text_arrays import ChunkCache
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Chunks kept by one Python worker; then the cache starts anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 #: Bytes of an Arrow batch that are worked on together.
 BATCH_BYTES = 3 << 20
 _BATCH, _ROW = 256, 300

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgraph.llm.encoders import small_batches
-from specgraph.llm.text_arrays import column_bytes, mix, piece_hashes
+from specgraph.llm.text_arrays import column_bytes, forget, mix, piece_hashes
 from specgraph.operators.components import connected_components
-from specgraph.storage import Written, write
+from specgraph.storage import Written, arrow_rows, write
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -138,7 +138,8 @@ def least_matches(percent: int, miss: float = MISS) -> list[int]:
 
 def _sketch(words: int):
     def run(batches):
-        for batch in small_batches(batches):
+        forget()
+        for batch in small_batches(batches, 1 << 20):
             sets = shingle_sets(batch.column(1), words)
             filled = [s for s in sets if len(s)]
             sig = signatures(filled)
@@ -180,8 +181,9 @@ def _prune(percent: int, miss: float):
 
 def _confirm(words: int, percent: int):
     def run(batches):
+        forget()
         for batch in batches:
-            for part in small_batches([batch], 2 << 20):
+            for part in small_batches([batch], 1 << 20):
                 sets_a, sets_b = shingle_sets(part.column(2), words), shingle_sets(part.column(3), words)
                 both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets_a, sets_b)], np.int64)
                 union = np.array([len(x) + len(y) for x, y in zip(sets_a, sets_b)], np.int64) - both
@@ -199,9 +201,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     )
     pairs.drop()
     text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-    confirmed = write(
-        survivors.df.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long"), "links"
-    )
+    with arrow_rows(docs.sparkSession, 200):
+        confirmed = write(
+            survivors.df.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a long, b long"), "links"
+        )
     survivors.drop()
     return confirmed
 
@@ -232,7 +235,8 @@ def _group_links(open_: DataFrame, classes: DataFrame, docs: DataFrame, words: i
     met = write(key("a").join(key("b"), "group").where((F.col("key_a") <= F.col("key_b")) & (F.col("key_a.side") == 0)), "block-pairs").df
     rows = lambda s: blocks.select("group", F.struct("side", "part").alias(f"key_{s}"), F.col("rows").alias(f"rows_{s}"))
     both = met.join(rows("a"), ["group", "key_a"]).join(rows("b"), ["group", "key_b"])
-    return write(both.select((F.col("key_a") == F.col("key_b")).alias("same"), "rows_a", "rows_b").mapInPandas(_compare_blocks(words, percent, miss), "a long, b long"), "links")
+    with arrow_rows(docs.sparkSession, 2):
+        return write(both.select("rows_a", "rows_b").mapInPandas(_compare_blocks(words, percent, miss), "a long, b long"), "links")
 
 
 def block_links(a: list, b: list, words: int, percent: int, least: list[int]) -> np.ndarray:
@@ -316,7 +320,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     id has a null component and stays kept.  An empty table gives no rows.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketches = write(sketch(docs, "doc_id", "text", words), "sketches").df
+    with arrow_rows(docs.sparkSession, 500):
+        sketches = write(sketch(docs, "doc_id", "text", words), "sketches").df
     classes = write(
         sketches.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")

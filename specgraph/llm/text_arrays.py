@@ -5,6 +5,8 @@ Everything here is a helper inside tasks; it works on one small Arrow batch at a
 
 from __future__ import annotations
 
+import gc
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -60,6 +62,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+_CACHES: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empty the caches that an earlier operator has left in this Python worker."""
+    for cache in _CACHES:
+        cache.empty()
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class ChunkCache:
     """Ids of texts from the ids of their space-led chunks.
 
@@ -74,9 +88,10 @@ class ChunkCache:
 
     def __init__(self, dtype: np.dtype, encode_new: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], encode_whole: Callable[[list[str]], list[np.ndarray]], most: int):
         self.dtype, self.encode_new, self.encode_whole, self.most = dtype, encode_new, encode_whole, most
-        self._empty()
+        self.empty()
+        _CACHES.add(self)
 
-    def _empty(self) -> None:
+    def empty(self) -> None:
         self.entry: dict[bytes, int] = {}
         self.offset, self.length, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, self.dtype)
         self.filled = 0
@@ -127,7 +142,7 @@ class ChunkCache:
         raw = data.tobytes()
         chunks = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist())]
         if len(self.entry) > self.most:
-            self._empty()
+            self.empty()
         new = [c for c in chunks if c not in self.entry]
         if new:
             self._add(new)
