@@ -6,11 +6,15 @@ footer, sidebars, forms, scripts, adverts, notices, reader comments) are left
 out.  Then
 
 * pass 1 decides each block by its link density, its length and its density of
-  stop words, or leaves it open when it is short.  Inside an article or main
-  element a block is text unless it is part of a run of bare links;
+  stop words, or leaves it open when it is short.  Article and main elements are
+  a prior, and only if they hold at least half of the text that is good by
+  itself: inside, only runs of bare links and longer blocks with links and
+  hardly a stop word are out at once, other doubtful blocks are open; outside,
+  only a high density of stop words makes a block text at once;
 * pass 2 gives open blocks the label of their nearest decided neighbours; where
   these differ, a heading takes the label of what follows it, and any other
-  block that of the closer one (the earlier one if equally close).
+  block that of the closer one (the earlier one if equally close).  Where there is
+  a prior, it decides unless the neighbours on both sides speak against it.
 
 White space inside a block becomes one space; blocks are joined by one newline.
 """
@@ -234,40 +238,64 @@ def stop_density(text: str) -> float:
     return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _evidence(b: Block) -> int:
+    """The label of a block by its own links, length and stop words, wherever it stands."""
+    if COPYRIGHT.search(b.text) or b.linked > LINKS_HIGH * len(b.text):
+        return BAD
+    if len(b.text) < SHORT:
+        return BAD if b.linked else OPEN
+    if len(b.text) >= LONG:
+        return GOOD
+    density = stop_density(b.text)
+    return GOOD if density >= STOP_HIGH else OPEN if density >= STOP_LOW or not b.linked else BAD
+
+
+def priors(found: list[Block], evidence: list[int]) -> list[int]:
+    """GOOD inside and BAD outside article and main, if these hold at least half of the text that is good by itself; else OPEN."""
+    inside = sum(len(b.text) for b, label in zip(found, evidence) if label == GOOD and b.region)
+    outside = sum(len(b.text) for b, label in zip(found, evidence) if label == GOOD and not b.region)
+    if inside < outside or not any(b.region for b in found):
+        return [OPEN] * len(found)
+    return [GOOD if b.region else BAD for b in found]
+
+
 def first_pass(found: list[Block]) -> list[int]:
     bare = [b.linked >= LINKS_ONLY * len(b.text) for b in found]
-    whole_region = any(b.region for b in found)
+    evidence = [_evidence(b) for b in found]
     labels = []
-    for i, b in enumerate(found):
-        if b.region:
+    for i, (b, label, prior) in enumerate(zip(found, evidence, priors(found, evidence))):
+        if prior == GOOD and label == BAD:
             in_run = bare[i] and ((i > 0 and bare[i - 1]) or (i + 1 < len(found) and bare[i + 1]))
-            labels.append(BAD if in_run else OPEN if bare[i] else GOOD)
-        elif whole_region or COPYRIGHT.search(b.text) or b.linked > LINKS_HIGH * len(b.text):
-            labels.append(BAD)
-        elif len(b.text) < SHORT:
-            labels.append(BAD if b.linked else OPEN)
-        elif len(b.text) >= LONG:
-            labels.append(GOOD)
-        else:
-            density = stop_density(b.text)
-            labels.append(GOOD if density >= STOP_HIGH else OPEN if density >= STOP_LOW or not b.linked else BAD)
+            link_text = b.linked and len(b.text) >= SHORT and stop_density(b.text) < STOP_LOW
+            label = BAD if in_run or link_text else OPEN
+        elif prior == BAD and label == GOOD and stop_density(b.text) < STOP_HIGH:
+            label = OPEN
+        labels.append(label)
     return labels
 
 
-def second_pass(found: list[Block], labels: list[int]) -> list[int]:
+def second_pass(found: list[Block], labels: list[int], prior: list[int] | None = None) -> list[int]:
+    """Neighbours are looked for on the block's own side of an article's edge; against the prior they must agree on both sides."""
     n = len(found)
+    prior = prior or [OPEN] * n
     before: list[tuple[int, int]] = []  # label of the nearest decided block before, code points between
     label, gap = OPEN, 0
     for i in range(n):
+        if i and prior[i] != prior[i - 1]:
+            label, gap = OPEN, 0
         before.append((label, gap))
         label, gap = (labels[i], 0) if labels[i] else (label, gap + len(found[i].text))
     out, label, gap = list(labels), OPEN, 0
     for i in range(n - 1, -1, -1):
+        if i + 1 < n and prior[i] != prior[i + 1]:
+            label, gap = OPEN, 0
         if labels[i]:
             label, gap = labels[i], 0
             continue
         earlier, distance = before[i]
-        if not earlier or not label or earlier == label:
+        if prior[i]:
+            out[i] = earlier if earlier and earlier == label else prior[i]
+        elif not earlier or not label or earlier == label:
             out[i] = earlier or label or GOOD
         elif found[i].heading:
             out[i] = label
@@ -279,7 +307,7 @@ def second_pass(found: list[Block], labels: list[int]) -> list[int]:
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    kept = second_pass(found, first_pass(found))
+    kept = second_pass(found, first_pass(found), priors(found, [_evidence(b) for b in found]))
     return "\n".join(b.text for b, label in zip(found, kept) if label == GOOD)
 
 

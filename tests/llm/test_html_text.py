@@ -69,3 +69,13 @@ def test_query_columns(spark):
     text = CASES["site"][1]
     assert got == sorted([(1, "u", text, len(text))] * 2 + [(None, None, "", 0), (3, "v", "", 0)], key=str)
     assert extract(d.limit(0)).count() == 0
+
+
+def test_region_is_only_a_prior():
+    cards = "".join(f"<article class=card><h3><a href={i}>Card {i}</a></h3><p>Short teaser.</p></article>" for i in range(3))
+    got = main_text(f"<div class=body><p>{PARA}</p><p>{PARA}</p></div>{cards}")
+    assert got.startswith(f"{PARA}\n{PARA}") and "Card" not in got
+    advert = "Mega phones sale 80% discount, <a href=x>order Galaxy phones</a>: fast shipping worldwide, top price, free returns"
+    assert main_text(f"<article><p>{PARA}</p><div class=box7>{advert}</div><p>{PARA}</p></article>") == f"{PARA}\n{PARA}"
+    outside = f"<main><p>{PARA}</p><p>{PARA}</p></main><div><p>{PARA}</p></div><div>Contact Imprint</div>"
+    assert main_text(outside) == "\n".join([PARA] * 3)
