@@ -37,7 +37,9 @@ PATTERNS = {
     "iban_like": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 SPEAK_FOR = r"(?i)(?:phone|tel|call|mobile|cell|fax|contact|mail|card|visa|account|iban|ssn|social security|telefon|handy|konto|t[ée]l[ée]phone|correo|tarjeta)[^\n]{0,12}$"
-SPEAK_AGAINST = r"(?i)(?:order|invoice|version|isbn|issue|ticket|page|chapter|item|serial|model|build|ref|no|nr|#|v|§)[.:#\x20]{0,3}$"
+SPEAK_AGAINST = r"(?i)(?:(?<!\p{L})(?:order|invoice|version|isbn|issue|ticket|page|chapter|item|serial|model|build|ref|no|nr|v)|[#§])[.:#\x20]{0,3}$"
+#: Of these, the ones that say no more than "number": after a word that speaks for a span they say nothing against it.
+SAY_NUMBER = r"(?i)(?:(?<!\p{L})(?:ref|no|nr)|#)[.:#\x20]{0,3}$"
 CONTEXT = 24
 UNLABELLED = 0.2
 #: name, number of bits: the features of a pattern, lowest bits first.
@@ -121,7 +123,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     company = F.size("pii_base") > 1
     here = F.col("pii_text")
     yes, no = (lambda m, b: F.lit(1)), (lambda m, b: F.lit(0))
-    unknown = lambda m, b: F.when(b.rlike(SPEAK_AGAINST), 0).when(b.rlike(SPEAK_FOR), 1)
+    # "Phone no: " speaks for its span; other words of both sides ("call order ") leave the label open.
+    unknown = lambda m, b: F.when(b.rlike(SPEAK_FOR), F.when(~b.rlike(SPEAK_AGAINST) | b.rlike(SAY_NUMBER), 1)).when(b.rlike(SPEAK_AGAINST), 0)
     out = with_base.withColumn("fixed", F.concat(*[_described(k, F.col(k), here, company, yes) for k in BASE]))
     loose = [_described(k, _outside(F.col(k)), here, company, unknown) for k in EXTRA]
     failed = [_described(k, _outside(F.col(f"{k}_not")), here, company, no) for k in BASE if k != "email"]
@@ -224,7 +227,7 @@ def select(found: DataFrame, trees: Trees) -> DataFrame:
     if math.isinf(trees.cut):
         return found.withColumn("extra", F.filter("extra", lambda s: F.lit(False))).drop("fixed")
     scored = F.transform("extra", lambda s: F.struct(trees.expression(s["pattern"]).alias("score"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"), s["label"].alias("label")))
-    accepted = F.filter(scored, lambda s: (s["score"] >= F.lit(trees.cut - 1e-9)) & F.coalesce(s["label"] != 0, F.lit(True)))
+    accepted = F.filter(scored, lambda s: s["score"] >= F.lit(trees.cut - 1e-9))
     rank = lambda s: F.struct(s["score"], -s["start"], s["end"], s["kind"])
     lone = lambda all_: F.filter(all_, lambda s: ~F.exists(all_, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (rank(o) > rank(s))))
     return found.withColumn("extra", bound(accepted, lone)).drop("fixed")

@@ -91,3 +91,18 @@ def test_redaction(spark):
     assert out.columns == ["doc_id", "text", "lang"]
     got = {r.doc_id: r.text for r in out.collect()}
     assert got == {1: "é [EMAIL], [PHONE]!", 2: None, None: "plain", 4: "[EMAIL]@b.cc"}
+
+
+def test_number_words_do_not_veto(spark):
+    asked = ["Phone no: 415-555-0132", "Tel. Nr. 415-555-0132", "call Pavlov 415-555-0132", "SSN no 078-05-1120", "Account no. DE89 3704 0044 0532 0130 00"]
+    rows = [f"please call 212-555-{i:04d} now" for i in range(200)] + [f"ssn {i + 100}-05-1120" for i in range(200)] + [f"iban DE89 3704 0044 0532 0130 {i:02d}" for i in range(90)]
+    orders = [f"order no. {10**11 + i}" for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(asked + rows + orders)), "doc_id long, text string")
+    got = {r.doc_id: r.extra for r in P.personal_data(d).collect()}
+    assert [len(got[i]) for i in range(len(asked))] == [1] * len(asked)
+    assert not any(got[i] for i in range(len(asked) + len(rows), len(got)))
+
+
+def test_key_words_stand_alone(spark):
+    d = spark.createDataFrame([("casino ",), ("Pavlov ",), ("see no. ",), ("Foo#",), ("order: ",)], "b string")
+    assert [r.x for r in d.select(F.col("b").rlike(P.SPEAK_AGAINST).alias("x")).collect()] == [False, False, True, True, True]
