@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specgraph.functions.peptides import histogram_text, identity
+from specgraph.functions.peptides import histogram_text, identity, with_integer_masses
+
+
+MODIFICATIONS = {"mods": "array<struct<pos:int,mass:double>>", "nterm_mod": "double", "cterm_mod": "double"}
 
 
 def filter_identifications(idens: DataFrame, threshold: float = 0.9, include_decoy: bool = False) -> DataFrame:
@@ -21,12 +24,13 @@ def dedup_identifications(idens: DataFrame) -> DataFrame:
 
 
 def identified(index: DataFrame, idens: DataFrame, keep_decoys: bool = False) -> DataFrame:
-    """Records of ``index`` with peptide, charge_id and probability of their scan, null where there is none.
+    """Records of ``index`` with peptide, modifications, iden_charge and probability of their scan, null where there is none.
 
-    Spark broadcasts the identifications by itself where they are small.
+    Columns of modifications that ``idens`` doesn't have are null.  Spark broadcasts the identifications by itself where they are small.
     """
     usable = idens if keep_decoys else idens.where(~F.col("is_decoy"))
-    right = usable.select(F.col("ms_file").alias("file_stem"), "native_id", "peptide", F.col("charge").alias("iden_charge"), "probability")
+    modified = [F.col(c) if c in usable.columns else F.lit(None).cast(kind).alias(c) for c, kind in MODIFICATIONS.items()]
+    right = usable.select(F.col("ms_file").alias("file_stem"), "native_id", "peptide", *modified, F.col("charge").alias("iden_charge"), "probability")
     return index.join(right, ["file_stem", "native_id"], "left")
 
 
@@ -35,8 +39,9 @@ def unidentified(index: DataFrame, idens: DataFrame) -> DataFrame:
 
 
 def named_members(member: DataFrame, index: DataFrame, idens: DataFrame) -> DataFrame:
-    """(cluster_id, node_id, mass, iden, probability)"""
-    named = identified(index, idens).select("node_id", "mass", identity(F.col("peptide"), F.col("iden_charge")).alias("iden"), "probability")
+    """(cluster_id, node_id, mass, iden, probability); iden is the peptide with whole modification masses, and the charge."""
+    text = with_integer_masses(*[F.col(c) for c in ("peptide", *MODIFICATIONS)])
+    named = identified(index, idens).select("node_id", "mass", identity(text, F.col("iden_charge")).alias("iden"), "probability")
     return member.select("cluster_id", "node_id").join(named, "node_id")
 
 

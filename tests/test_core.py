@@ -251,6 +251,15 @@ def test_enrichment_and_entropy(spark):
     assert [e.head().entropy for e in enrich.entropies(none)] == [None, None]
 
 
+def test_modified_peptides_count_apart(spark):
+    member = spark.createDataFrame([(1, i) for i in range(1, 6)], "cluster_id long, node_id long")
+    index = spark.createDataFrame([(i, float(i), "f", i) for i in range(1, 6)], "node_id long, mass float, file_stem string, native_id long")
+    rows = [("f", 1, "PEPM", 2, 0.9, False, [], None, None), ("f", 2, "PEPM", 2, 0.9, False, [(4, 147.04)], None, None), ("f", 3, "PEPM", 2, 0.9, False, [(4, 147.04)], None, None), ("f", 4, "PEPM", 2, 0.9, False, None, 43.5, 17.2)]
+    idens = spark.createDataFrame(rows, "ms_file string, native_id long, peptide string, charge int, probability double, is_decoy boolean, mods array<struct<pos:int,mass:double>>, nterm_mod double, cterm_mod double")
+    got = enrich.enrich(member, index, idens).head()
+    assert (got.idens, got.num_idens, got.major_iden, got.iden_ratio) == ("PEPM[147]/2:2;PEPM/2:1;n[43]PEPMc[17]/2:1", 3, "PEPM[147]/2", 0.8)
+
+
 def test_export_text(spark, tmp_path):
     c = spark.createDataFrame([(1, 2, 1, 1, "A/2", 0.5)], "cluster_id long, num_nodes long, num_edges long, num_idens int, major_iden string, iden_ratio double")
     n = spark.createDataFrame([(1, 2, 5.0, "g", 1, None, None), (1, 1, 4.0, "f", 9, "A/2", 0.9)], "cluster_id long, node_id long, mass float, file_stem string, native_id long, iden string, probability double")
