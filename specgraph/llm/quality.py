@@ -7,8 +7,8 @@
 3. A logistic scorer on hashed words and word shapes is fitted to the posteriors of a
    bounded sample of documents; it scores every document.
 
-Votes and scores need nothing but the text.  A text of fewer than twelve words gets no
-votes and is kept.
+Votes and scores need nothing but the text.  Labellers that need length don't vote on
+texts of fewer than twelve words; the scorer judges every text that has a word.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ REJECT = 0.5
 PRIOR = 20.0
 #: What labellers are built for: rarely against a good document, against some bad ones, and in favour of many bad ones too.
 FALSE_ALARMS, DETECTED, FOOLED = 0.001, 0.1, 0.3
-#: Texts with fewer words get no votes and are kept.
-LEAST_WORDS = 12
+#: Words that a labeller needs for a vote: shares over a whole text, and marks that stand in or on its words.
+LEAST_WORDS, LEAST_MARKED = 12, 3
 
 # Byte classes: 0 white space, 1 lower, 2 upper, 3 digit, 4 sentence punctuation, 5 other symbol, 6 beyond ASCII.
 _CLASS = np.full(256, 5, np.uint8)
@@ -116,25 +116,23 @@ class Texts:
         for i, (a, b) in enumerate(zip(self.docs[:-1].tolist(), self.docs[1:].tolist())):
             own = [x for x in self.data[a:b].tobytes().split(b"\n") if x.strip()]
             lines[i] = len(set(own)) / len(own) if len(own) >= 4 else 1.0
-        enough = n >= LEAST_WORDS
-
         never = np.zeros(self.rows, bool)
 
-        def vote(j: int, bad: np.ndarray, good: np.ndarray = never) -> None:
-            out[:, j] = np.where(enough, np.where(bad, -1, np.where(good, 1, 0)), 0)
+        def vote(j: int, bad: np.ndarray, good: np.ndarray = never, least: int = LEAST_WORDS) -> None:
+            out[:, j] = np.where(n >= least, np.where(bad, -1, np.where(good, 1, 0)), 0)
 
         # Detectors of one kind of junk say nothing about texts without it.
-        vote(0, symbols > 0.05)
+        vote(0, symbols > 0.05, least=LEAST_MARKED)
         vote(1, capitals > 0.5)
         vote(2, bangs > 0.3)
-        vote(3, bars > 0.2)
+        vote(3, bars > 0.2, least=LEAST_MARKED)
         vote(4, echo > 0.2, echo < 0.05)
         # Long texts repeat more words: expected variety falls roughly as the root of the length.
         vote(5, variety < 0.35 * np.sqrt(w), variety > 1.2 * np.sqrt(w))
         vote(6, (function < 0.02) & (n >= 20), function > 0.1)
         vote(7, (length < 2.2) | (length > 14.0), (length > 3.0) & (length < 9.0))
         vote(8, lines < 0.5)
-        vote(9, marked > 0.3)
+        vote(9, marked > 0.3, least=LEAST_MARKED)
         return out
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -235,10 +233,15 @@ class Scorer:
             self.intercept -= change[-1]
 
     def score(self, texts: Texts) -> np.ndarray:
-        """Probability of "bad"; 0 for texts of fewer than LEAST_WORDS words."""
+        """Probability of "bad"; 0 for texts without a word."""
         row, bucket, value = _shares(texts)
         score = np.bincount(row, value * self.weight[bucket], texts.rows) + self.intercept
-        return np.where(np.diff(texts.first) >= LEAST_WORDS, 1 / (1 + np.exp(-np.clip(score, -500, 500))), 0.0)
+        return np.where(np.diff(texts.first) > 0, 1 / (1 + np.exp(-np.clip(score, -500, 500))), 0.0)
+
+
+def _openings(texts: pa.Array) -> pa.Array:
+    """The first one to eleven words of each text: they teach the scorer, with the label of the whole, what short texts look like."""
+    return pa.array([" ".join(t.as_py().split(None, LEAST_WORDS - 1)[: 1 + i % (LEAST_WORDS - 1)]) for i, t in enumerate(texts)], texts.type)
 
 
 def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
@@ -257,7 +260,8 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[Labe
     texts = texts if isinstance(texts, pa.Array) else pa.chunked_array(texts).combine_chunks()
     slices = small_batches([pa.RecordBatch.from_arrays([texts], ["text"])], DRIVER_SLICE)
     target = [labels.posterior(Texts(b.column(0)).votes().astype(np.int64)) for b in slices]
-    return labels, Scorer(texts, np.concatenate([np.zeros(0), *target]))
+    target = np.concatenate([np.zeros(0), *target])
+    return labels, Scorer(pa.concat_arrays([texts, _openings(texts)]), np.append(target, target))
 
 
 def _judge(labels: LabelModel, scorer: Scorer):

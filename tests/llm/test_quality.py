@@ -57,6 +57,17 @@ def test_odd_rows(spark):
     assert Q.judged(d.limit(0)).count() == 0 and Q.keep_good(d.limit(0)).count() == 0
 
 
+def test_short_texts_are_judged(spark):
+    """All short documents of sf0.1 with a label, by a scorer that saw sf0.1."""
+    at = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    rows = [r for r in Q.judged(docs).where("n_words between 1 and 11").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").select("doc_id", "kept", "quality").collect()]
+    bad, good = ([r for r in rows if r.quality == q] for q in (0, 1))
+    # Two of the nine bad ones look like any clean text.
+    assert {9598, 519} <= {r.doc_id for r in bad if not r.kept} and sum(not r.kept for r in bad) >= 7
+    assert sum(r.kept for r in good) >= 0.97 * len(good)
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_fits_on_next_to_nothing(n):
     scorer = Q.Scorer(pa.array(["some words here"] * n, pa.string()), np.full(n, 0.1))
