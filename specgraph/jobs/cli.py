@@ -36,7 +36,7 @@ def export_all(run: Engine, path: str) -> None:
     nodes = enrich.named_members(member, index, usable).drop("mass").join(index, "node_id")
     edges = inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges"))
     summary = run.stage("enriched").join(edges, "cluster_id", "left")
-    export.write_text(export.cluster_text(summary, nodes, inside), path, one_file=True)
+    export.write_lines(export.cluster_lines(summary, nodes, inside), path)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Engine:

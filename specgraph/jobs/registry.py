@@ -414,5 +414,5 @@ def cluster_texts(spark, sf_dir):
     nodes = enrich.named_members(member, index, usable(spark, sf_dir)).drop("mass").join(index, "node_id")
     inside = clusters.inner_edges(edges, member)
     summary = enrich.enrich(member, index, usable(spark, sf_dir)).join(inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges")), "cluster_id")
-    lines = F.split("text", "\n")
-    return export.cluster_text(summary, nodes, inside).select("cluster_id", F.size(lines).cast("long").alias("lines"), F.get(lines, F.lit(0)).alias("first"), F.element_at(lines, -1).alias("last"))
+    lines = export.cluster_lines(summary, nodes, inside)
+    return lines.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"), F.min_by("line", "place").alias("first"), F.max_by("line", "place").alias("last"))

@@ -271,6 +271,19 @@ def test_export_text(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted((export.header() + "\n" + want).split("\n"))
 
 
+def test_export_lines_are_rows(spark, tmp_path):
+    c = spark.createDataFrame([(1, 2, 1, 1, "A/2", 0.5)], "cluster_id long, num_nodes long, num_edges long, num_idens int, major_iden string, iden_ratio double")
+    n = spark.createDataFrame([(1, 2, 5.0, "g", 1, None, None), (1, 1, 4.0, "f", 9, "A/2", 0.9), (7, 3, 4.0, "f", 9, None, None)], "cluster_id long, node_id long, mass float, file_stem string, native_id long, iden string, probability double")
+    e = spark.createDataFrame([(1, 1, 2, 0.75)], "cluster_id long, src long, dst long, dp double")
+    lines = export.cluster_lines(c, n, e)
+    want = "# Cluster\n1\t2\t1\t1\tA/2\t0.5\n# Nodes\n1\t4.0\tf\t9\tA/2\t0.9\n2\t5.0\tg\t1\t\t\n# Edges\n1\t2\t0.75000000"
+    assert [r.line for r in lines.orderBy("cluster_id", "place").collect()] == want.split("\n")
+    export.write_lines(lines, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == export.header() + "\n" + want + "\n"
+
+
+
 # --- runs
 
 
