@@ -1,4 +1,8 @@
-"""Exact byte-level BPE ids from the tokenizers library, each distinct chunk of text encoded once."""
+"""Exact byte-level BPE ids from the tokenizers library, each distinct chunk of text encoded once.
+
+The ids are those of ``encode(text, add_special_tokens=False)`` of the tokenizer as its file has it: no
+special token is added, but the text of one that stands in a document gets its id.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from specgraph.llm.text_arrays import ChunkCache
 
@@ -31,11 +36,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.led = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
+        #: Texts of added tokens: the library finds these before it splits a text, so texts that hold one go to it whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = ChunkCache(self.dtype, self._chunks, self._library, CACHE_CHUNKS)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -52,8 +58,9 @@ class ChunkEncoder:
         heads = self._library([c.decode("utf-8", "surrogatepass") for c in chunks if c[0] != 32])
         row_ids = np.concatenate([np.zeros(0, self.dtype), *self._library(rows)])
         cuts = np.flatnonzero(self.led[row_ids])
-        if len(cuts) != len(spaced):
-            raise ValueError("the ids of a chunk depend on its neighbours")
+        if len(cuts) != len(spaced):  # the ids of a chunk depend on its neighbours: each is encoded by itself
+            row_ids = np.concatenate([np.zeros(0, self.dtype), *(alone := self._library([c.decode("utf-8", "surrogatepass") for c in spaced]))])
+            cuts = np.cumsum([0, *map(len, alone)])[:-1]
         lengths = np.empty(len(chunks), np.int64)
         lengths[led] = np.diff(cuts, append=len(row_ids))
         lengths[~led] = [len(x) for x in heads]
@@ -64,7 +71,14 @@ class ChunkEncoder:
         return ids, lengths
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
-        return self.cache.encode(column)
+        out = self.cache.encode(column)
+        whole = np.zeros(len(column), bool)
+        for content in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, content), False).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(whole)
+        for i, ids in zip(at.tolist(), self._library(column.take(pa.array(at)).to_pylist()) if len(at) else []):
+            out[i] = ids
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

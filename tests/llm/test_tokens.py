@@ -12,7 +12,7 @@ from specgraph.llm import packing, token_output
 from specgraph.llm.encoders import ChunkEncoder, default_path
 from specgraph.storage import new_path
 
-TEXTS = ["", " ", "a", "it's  here", "x \n y", "x\n \ty", "  lead", "trail ", "a\n ", "a\n  b", "naïve été  　 ß", "x" * 5000, "The cat. The cat.\n\nThe 12 345 cats!", "\x1c \x1d", "<|endoftext|> a"]
+TEXTS = ["", " ", "a", "it's  here", "x \n y", "x\n \ty", "  lead", "trail ", "a\n ", "a\n  b", "naïve été  　 ß", "x" * 5000, "The cat. The cat.\n\nThe 12 345 cats!", "\x1c \x1d", "<|endoftext|> a", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", " <|endoftext|>  "]
 DOC = "doc_id long, text string, task string, length int"
 
 
@@ -21,7 +21,6 @@ def library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -31,6 +30,11 @@ def chunked():
     return lambda texts: [x.tolist() for x in e.encode(pa.array(texts, pa.string()))]
 
 
+def test_texts_of_special_tokens(library, chunked):
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert chunked(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+
+
 def test_chunks_equal_the_library(library, chunked):
     assert chunked(TEXTS + [None]) == [library(t) for t in TEXTS + [None]]
     assert chunked(TEXTS) == [library(t) for t in TEXTS]  # from the cache
