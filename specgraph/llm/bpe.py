@@ -7,12 +7,18 @@ length of the input.  Positions are never removed from buckets: an entry whose
 pair has changed since is stale and is skipped when its bucket comes up.  A
 bucket is applied as one array operation, so one queue runs over many
 pre-tokens laid end to end, or over one very long pre-token.
+
+That is right as long as no merge of a bucket makes a pair of lower rank, which
+would have to go before the rest of the bucket.  A pre-token in which one does
+leaves the common queue with the tokens it has then and goes on by itself, one
+merge at a time, on the same kind of queue: its buckets are heaps of positions.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -38,31 +44,41 @@ class RankQueue:
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[np.ndarray]] = {}
+        self.buckets: dict[int, list] = {}
 
-    def push(self, rank: int, positions: np.ndarray) -> None:
+    def bucket(self, rank: int) -> list:
+        """The bucket of a rank, marked as filled."""
         bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(positions)
-            return
-        self.buckets[rank] = [positions]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, np.ndarray] | None:
-        """The lowest filled rank and its positions, ascending and distinct."""
+        if bucket is None:
+            bucket = self.buckets[rank] = []
+            self.low[rank >> 6] |= 1 << (rank & 63)
+            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
+            self.top |= 1 << (rank >> 12)
+        return bucket
+
+    def lowest(self) -> int:
+        """The lowest filled rank, -1 if there is none."""
         if not self.top:
-            return None
+            return -1
         a = (self.top & -self.top).bit_length() - 1
         b = a << 6 | (self.mid[a] & -self.mid[a]).bit_length() - 1
-        rank = b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
-        self.low[b] &= self.low[b] - 1
+        return b << 6 | (self.low[b] & -self.low[b]).bit_length() - 1
+
+    def clear(self, rank: int) -> list:
+        """Take the bucket of a rank out."""
+        a, b = rank >> 12, rank >> 6
+        self.low[b] &= ~(1 << (rank & 63))
         if not self.low[b]:
-            self.mid[a] &= self.mid[a] - 1
+            self.mid[a] &= ~(1 << (b & 63))
             if not self.mid[a]:
-                self.top &= self.top - 1
-        parts = self.buckets.pop(rank)
+                self.top &= ~(1 << a)
+        return self.buckets.pop(rank)
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """The lowest filled rank and its positions, ascending and distinct."""
+        if (rank := self.lowest()) < 0:
+            return None
+        parts = self.clear(rank)
         return rank, parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
@@ -83,7 +99,8 @@ class Bpe:
         keys = np.array([a * self.size + b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array(list(pairs.values()), np.int32)[order]
-        #: Tokens with a pair of lower rank than their own: these are merged one at a time in each pre-token.
+        self.pairs = dict(zip(keys.tolist(), pairs.values()))
+        #: Tokens with a pair of lower rank than their own: a merge into one may make a pair that goes first.
         self.early = {t for (a, b), r in pairs.items() for t in (a, b) if r < t}
         self.cache = ChunkCache(np.dtype("<u4"), self._chunks, self.encode_texts, CACHE_CHUNKS)
 
@@ -119,27 +136,31 @@ class Bpe:
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
             start = 0
             for end in [*cuts.tolist(), len(at)]:
-                queue.push(int(rank[start]), at[start:end])
+                queue.bucket(int(rank[start])).append(at[start:end])
                 start = end
 
         push(np.arange(n))
+        alone = np.zeros(len(pieces), bool)  # pre-tokens that have left the queue
         while (item := queue.pop()) is not None:
             rank, at = item
-            at = at[pair[at] == rank]  # the others are stale
+            at = at[(pair[at] == rank) & ~alone[own[at]]]  # the others are stale
+            if rank in self.early and len(at):
+                same = np.full(len(at), rank, np.int32)
+                ahead = np.minimum(self.pair_ranks(token[before[at]], same), self.pair_ranks(same, token[after[after[at]]])) < rank
+                if self.pairs.get(rank * self.size + rank, NONE) < rank:
+                    ahead |= np.isin(after[after[at]], at)
+                if ahead.any():
+                    alone[own[at[ahead]]] = True
+                    at = at[~alone[own[at]]]
             if not len(at):
                 continue
             if len(at) > 1:
-                if rank in self.early:
-                    first = np.r_[True, own[at[1:]] != own[at[:-1]]]
-                    queue.push(rank, at[~first]) if not first.all() else None
-                    at = at[first]
-                else:
-                    follows = np.r_[False, at[1:] == after[at[:-1]]]
-                    if follows.any():  # a run of overlapping pairs: every other one from the left
-                        i = np.arange(len(at))
-                        begin = np.maximum.accumulate(np.where(follows, 0, i))
-                        late = (i - begin) & 1 == 1
-                        at = at[~late]
+                follows = np.r_[False, at[1:] == after[at[:-1]]]
+                if follows.any():  # a run of overlapping pairs: every other one from the left
+                    i = np.arange(len(at))
+                    begin = np.maximum.accumulate(np.where(follows, 0, i))
+                    late = (i - begin) & 1 == 1
+                    at = at[~late]
             gone = after[at]
             right = after[gone]
             token[at], token[gone] = rank, -1
@@ -152,7 +173,43 @@ class Bpe:
             push(touched)
         alive = np.flatnonzero(token[:n] >= 0)
         ids, counts = token[alive], np.bincount(own[alive], minlength=len(pieces))
-        return np.split(ids, np.cumsum(counts)[:-1]) if pieces else []
+        out = np.split(ids, np.cumsum(counts)[:-1]) if pieces else []
+        for i in np.flatnonzero(alone).tolist():
+            out[i] = np.array(self._merge_one(out[i].tolist()), np.int32)
+        return out
+
+    def _merge_one(self, token: list[int]) -> list[int]:
+        """The rest of the merges of one pre-token, one at a time: the lowest rank, of equal ones the leftmost."""
+        n, size, pairs = len(token), self.size, self.pairs
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        rank_at = [pairs.get(a * size + b, -1) for a, b in zip(token, token[1:])] + [-1]
+        queue = RankQueue(size)
+        for i, r in enumerate(rank_at):
+            if r >= 0:
+                queue.bucket(r).append(i)  # ascending, so a heap
+        while (rank := queue.lowest()) >= 0:
+            heap = queue.buckets[rank]
+            while heap:
+                i = heapq.heappop(heap)
+                if rank_at[i] != rank:
+                    continue  # stale
+                j = after[i]
+                k = after[j]
+                token[i], token[j], rank_at[j], after[i] = rank, -1, -1, k
+                if k >= 0:
+                    before[k] = i
+                h, ahead = before[i], False
+                for p, q in ((h, i), (i, k)):
+                    if p >= 0:
+                        r = rank_at[p] = pairs.get(token[p] * size + token[q], -1) if q >= 0 else -1
+                        if r >= 0:
+                            heapq.heappush(queue.bucket(r), p)
+                            ahead |= r < rank
+                if ahead:
+                    break
+            if not heap:
+                queue.clear(rank)
+        return [t for t in token if t >= 0]
 
     def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts, each match of the pattern merged by itself and equal ones once."""

@@ -1,6 +1,7 @@
 """The rank queue against the tiktoken library."""
 
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,31 @@ def test_any_texts(ours, library, texts):
     assert [x.tolist() for x in ours.encode(pa.array(texts, pa.string()))] == [library(t) for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["nd", "an", "ing", "er", "e", "th", "s", "ation", "aa", "ß"]), max_size=60), st.integers(1, 4))
+def test_unbroken_texts(ours, library, parts, times):
+    text = "".join(parts) * times
+    assert ours.encode_texts([text])[0].tolist() == library(text)
+    one = [ours.byte_rank[b] for b in text.encode()]
+    if len(ours.pattern.findall(text)) == 1 and text.encode() not in ours.ranks:
+        assert ours._merge_one([int(x) for x in one]) == library(text)
+
+
+def test_very_long_pre_tokens(ours, library):
+    """Pre-tokens full of merges that make pairs of lower rank, and a random one: right, and time in proportion to the length."""
+    rng = np.random.default_rng(4)
+    for text in ("nd" * 40_000, "".join(rng.choice(list("etaoinshr"), 40_000)), "ingrand" * 6_000):
+        assert ours.encode_texts([text])[0].tolist() == library(text)
+
+    def seconds(n: int) -> float:
+        start = time.process_time()
+        ours.encode_texts(["nd" * n])
+        return time.process_time() - start
+
+    short, long = min(seconds(20_000) for _ in range(3)), min(seconds(80_000) for _ in range(2))
+    assert long < 8 * short + 0.2
+
+
 def test_tokens_with_early_pairs_are_known(ours):
     for r in list(ours.early)[:20]:
         assert any(v < r for v in ours.values[(ours.keys // ours.size == r) | (ours.keys % ours.size == r)])
@@ -50,8 +76,8 @@ def test_tokens_with_early_pairs_are_known(ours):
 def test_queue_order():
     q = B.RankQueue(60000)
     for r in (50000, 3, 4096, 64, 63):
-        q.push(r, np.array([r]))
-    q.push(64, np.array([1, 64]))
+        q.bucket(r).append(np.array([r]))
+    q.bucket(64).append(np.array([1, 64]))
     assert [q.pop()[0] for _ in range(5)] == [3, 63, 64, 4096, 50000]
     assert q.pop() is None
 
