@@ -28,6 +28,8 @@ from specgraph.llm.encoders import default_path, encoder, small_batches
 from specgraph.storage import write
 
 CAPACITY = 2048
+#: Rows of the counts by task and length (24 bytes each) up to which Spark may broadcast them; beyond, both sides are shuffled.
+BROADCAST_ROWS = 20_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -175,9 +177,11 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     """
     pieces = write(cut_pieces(docs, key, text, tokenizer, end_id, capacity), "pieces").df
     own = write(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts").df
-    histogram = {int(r.length): int(r.n) for r in own.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    placement = Placement(plan_packing(histogram, capacity))
+    lengths = own.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tasks")).collect()  # at most ``capacity`` rows
+    placement = Placement(plan_packing({int(r.length): int(r.n) for r in lengths}, capacity))
     before = own.select("task", "length", (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    if sum(r.tasks for r in lengths) > BROADCAST_ROWS:  # one row for each task and length: it grows with the input
+        before = before.hint("merge")
 
     def place(frames):
         for f in frames:

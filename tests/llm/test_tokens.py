@@ -133,6 +133,32 @@ def test_packing(spark, library):
     assert len(at) <= -(-sum(r.length for r in got) // 2048) + 2
 
 
+def test_packing_without_a_broadcast_is_the_same(spark, monkeypatch):
+    rows = [(i, "word " * (37 * i % 1500)) for i in range(90)]
+    whole = sorted(map(tuple, packing.pack(docs(spark, rows).repartition(3)).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    plan = packing.pack(docs(spark, rows).repartition(3))
+    assert "SortMergeJoin" in plan._jdf.queryExecution().toString()
+    assert len(whole) == plan.count() and {r[0] for r in whole} == {r.doc_id for r in plan.collect()}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_is_near_the_lower_bound(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(5.5, 1.2, 4000).astype(int) + 1, 1, 2048)
+    counts = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True))}
+    gaps: list[int] = []  # plain best fit decreasing, one piece at a time
+    for x in sorted(lengths.tolist(), reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - x)
+        else:
+            gaps.append(2048 - x)
+    bins = sum(n for _, n in packing.plan_packing(counts))
+    assert bins <= len(gaps) + 1 and bins <= -(-int(lengths.sum()) // 2048) * 1.01 + 1
+
+
 def test_sequences(spark, library):
     d = docs(spark, [(1, "word " * 3000), (2, "a"), (3, None)])
     placed = packing.pack(d)
