@@ -115,3 +115,34 @@ def test_block_links_are_exact():
 
 def test_empty(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_of_one_family_differ(spark):
+    """Words that every polynomial hash modulo a power of two sends to one value."""
+
+    def word(turned):
+        bits = [bin(i).count("1") % 2 ^ turned for i in range(2048)]
+        return "".join("ab"[b] for b in bits)
+
+    d = spark.createDataFrame([(1, word(0)), (2, word(1)), (3, word(0))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in M.near_duplicates(d, words=4).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of a similarity between 0.80 and 0.85, and others just below 0.80: every link found, none invented."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(200):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(10, 290), rng.choice([6, 7, 8, 9, 10])):
+            other[at] = f"x{rng.randrange(10**6)}"
+        a, b = shingles(" ".join(words), 4), shingles(" ".join(other), 4)
+        similar = len(a & b) / len(a | b)
+        if 0.75 <= similar <= 0.85:
+            rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+            want[2 * i + 1] = 2 * i if 100 * len(a & b) >= 80 * len(a | b) else 2 * i + 1
+    assert sum(k != v for k, v in want.items()) > 20 and sum(k == v for k, v in want.items()) > 20
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(d, words=4).collect()}
+    assert all(got[k] == v for k, v in want.items())
