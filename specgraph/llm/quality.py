@@ -3,12 +3,14 @@
 1. Heuristic labellers vote bad, nothing or good on every document.
 2. Spark counts the documents of each vote pattern (at most 3 ** labellers rows).
    Expectation-maximisation on these counts estimates how often each labeller votes
-   how on good and on bad documents, and so a posterior for each pattern.
+   how on good and on bad documents, and so a posterior for each pattern.  The only
+   anchor is a prior of stated weight; a labeller that is often wrong is found out.
 3. A logistic scorer on hashed words and word shapes is fitted to the posteriors of a
    bounded sample of documents; it scores every document.
 
 Votes and scores need nothing but the text.  Labellers that need length don't vote on
-texts of fewer than twelve words; the scorer judges every text that has a word.
+texts of fewer than twelve words, and those that know four languages or need spaces
+don't vote against other languages and scripts; the scorer judges every text that has a word.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ SAMPLE, BUCKETS, PASSES = 3000, 1 << 15, 200
 TASK_SLICE, DRIVER_SLICE = 1 << 20, 1 << 19
 #: A document is rejected when the scorer's probability of "bad" is at least this.
 REJECT = 0.5
-#: Strength of the prior on a labeller's votes, in documents.
-PRIOR = 20.0
-#: What labellers are built for: rarely against a good document, against some bad ones, and in favour of many bad ones too.
-FALSE_ALARMS, DETECTED, FOOLED = 0.001, 0.1, 0.3
+#: What labellers are built for, as (votes bad, nothing, good) on bad and on good documents; the share of bad documents.
+#: This prior weighs ``PRIOR`` times as much as the table itself, so the estimates can leave it but the classes keep their meaning.
+DETECTOR, TWO_SIDED = ((0.3, 0.699, 0.001), (0.001, 0.998, 0.001)), ((0.3, 0.1, 0.6), (0.001, 0.199, 0.8))
+BAD_SHARE, PRIOR = 0.1, 1.0
 #: Words that a labeller needs for a vote: shares over a whole text, and marks that stand in or on its words.
 LEAST_WORDS, LEAST_MARKED = 12, 3
 
@@ -42,7 +44,9 @@ _CLASS[97:123], _CLASS[65:91], _CLASS[48:58] = 1, 2, 3
 _CLASS[[ord(c) for c in ".,;:?'\"()-!"]] = 4
 _CLASS[128:] = 6
 
-LABELLERS = ["symbols", "capitals", "shouting", "columns", "echo", "variety", "function words", "word length", "lines", "marks on words"]
+LABELLERS = ["symbols", "capitals", "shouting", "columns", "echo", "variety", "function words", "word length", "lines", "marks on words", "one word"]
+#: Those that also speak for documents.
+BOTH_WAYS = {"echo", "variety", "function words", "word length"}
 
 
 def _words(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,12 +114,18 @@ class Texts:
         stops = _stop_hashes()
         at = np.minimum(np.searchsorted(stops, self.plain), len(stops) - 1)
         function = _sums(stops[at] == self.plain, self.first) / w
-        length = _sums(self.ends - self.starts, self.first) / w
+        points = _sums((self.data & 0xC0) != 0x80, self.docs)  # code points
+        spaces = points - _sums((kind != 0) & ((self.data & 0xC0) != 0x80), self.docs)
+        length = (points - spaces) / w
+        beyond = count[6] / chars
         marked = _sums((_CLASS[self.data[self.ends - 1]] == 5) & (self.ends - self.starts > 1), self.first) / w
         lines = np.ones(self.rows)
         for i, (a, b) in enumerate(zip(self.docs[:-1].tolist(), self.docs[1:].tolist())):
             own = [x for x in self.data[a:b].tobytes().split(b"\n") if x.strip()]
             lines[i] = len(set(own)) / len(own) if len(own) >= 4 else 1.0
+        begins = np.flatnonzero(~same)
+        run = np.ones(self.rows)  # most repeats of one word in a row
+        np.maximum.at(run, np.searchsorted(self.first, begins, "right") - 1, np.diff(begins, append=len(same)))
         never = np.zeros(self.rows, bool)
 
         def vote(j: int, bad: np.ndarray, good: np.ndarray = never, least: int = LEAST_WORDS) -> None:
@@ -129,10 +139,13 @@ class Texts:
         vote(4, echo > 0.2, echo < 0.05)
         # Long texts repeat more words: expected variety falls roughly as the root of the length.
         vote(5, variety < 0.35 * np.sqrt(w), variety > 1.2 * np.sqrt(w))
-        vote(6, (function < 0.02) & (n >= 20), function > 0.1)
-        vote(7, (length < 2.2) | (length > 14.0), (length > 3.0) & (length < 9.0))
+        # Only four languages are known, so few function words say nothing.
+        vote(6, never, function > 0.1)
+        # Scripts beyond ASCII may do without spaces.
+        vote(7, (beyond < 0.3) & ((length < 2.2) | (length > 14.0)), (length > 3.0) & (length < 9.0))
         vote(8, lines < 0.5)
         vote(9, marked > 0.3, least=LEAST_MARKED)
+        vote(10, run >= 8)
         return out
 
     def buckets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -171,24 +184,20 @@ class LabelModel:
     """Class-conditional votes of independent labellers, fitted by expectation-maximisation on pattern counts."""
 
     def __init__(self, counts: dict[int, int], rounds: int = 100):
-        silent = pattern_of(np.zeros((1, len(LABELLERS)), np.int8))[0]
-        patterns = np.array(sorted(p for p in counts if p != silent), np.int64)
+        patterns = np.array(sorted(counts), np.int64)
         n = np.array([counts[p] for p in patterns.tolist()], float)
         votes = votes_of(patterns)
         hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
-        expected = np.array([[0.4, 0.2, 0.4], [0.005, 0.195, 0.8]])  # votes on bad and on good documents before any data
-        against = (votes < 0).sum(1)
-        bad = np.where(against >= 2, 0.95, np.where(against == 1, 0.6, 0.01))
+        prior = np.array([TWO_SIDED if name in BOTH_WAYS else DETECTOR for name in LABELLERS]).transpose(1, 0, 2)
+        share = np.array([BAD_SHARE, 1 - BAD_SHARE])
+        self.table, self.share = prior, share
+        weigh = PRIOR * max(n.sum(), 1.0)
         for _ in range(rounds):
+            bad = self.posterior(votes)
             weight = np.stack([n * bad, n * (1 - bad)])
-            self.share = (weight.sum(1) + [1.0, 9.0]) / (n.sum() + 10.0)
-            seen = np.einsum("cp,pjv->cjv", weight, hot) + PRIOR * expected[:, None, :]
+            self.share = (weight.sum(1) + weigh * share) / (n.sum() + weigh)
+            seen = np.einsum("cp,pjv->cjv", weight, hot) + weigh * share[:, None, None] * prior
             self.table = seen / seen.sum(2, keepdims=True)
-            self.table[0, :, 0] = np.maximum(self.table[0, :, 0], DETECTED)
-            self.table[0, :, 2] = np.maximum(self.table[0, :, 2], FOOLED)
-            self.table[1, :, 0] = np.minimum(self.table[1, :, 0], FALSE_ALARMS)
-            self.table /= self.table.sum(2, keepdims=True)
-            bad = self.posterior(votes)
         self.accuracy = {name: float((self.share[0] * t0[0] + self.share[1] * t1[1:].sum()) / self.share.sum()) for name, t0, t1 in zip(LABELLERS, self.table[0], self.table[1])}
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
@@ -244,16 +253,19 @@ def _openings(texts: pa.Array) -> pa.Array:
     return pa.array([" ".join(t.as_py().split(None, LEAST_WORDS - 1)[: 1 + i % (LEAST_WORDS - 1)]) for i, t in enumerate(texts)], texts.type)
 
 
-def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
-    """The label model from all documents, the scorer from about ``sample`` of them (twice as many at most)."""
+def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> tuple[LabelModel, Scorer]:
+    """The label model from all documents, the scorer from about ``sample`` of them (twice as many at most).
+
+    The sample is drawn by a hash of key (where the table has it) and text; other columns change nothing.
+    """
     own = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counted = own.mapInArrow(_vote, "pattern long").groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** labellers rows
     counts = {int(r.pattern): int(r.n) for r in counted}
     labels = LabelModel(counts)
     total = sum(counts.values())
     share = min(1.0, sample / max(total, 1))
-    # Drawn by a hash of the row, so that a lost task draws the same rows again and copies are drawn one by one.
-    keys = [F.col(f"`{c}`") for c, kind in docs.dtypes if kind in ("bigint", "int", "string")]
+    # A lost task draws the same rows again, and copies are drawn one by one.
+    keys = [F.col(f"`{c}`").cast("string") for c in (key, text) if c in docs.columns]
     hashed = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.lit(11), *keys).alias("h"))
     drawn = hashed.where(F.shiftrightunsigned("h", 1) <= int(share * (2**63 - 1024))).limit(2 * sample).select("text")
     texts = drawn.toArrow().column("text").combine_chunks()
@@ -285,14 +297,14 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     Null texts count as empty and are kept; null and repeated keys stay row by row;
     an empty table gives no rows.
     """
-    model = fit(docs, text, sample)
+    model = fit(docs, text, sample, key)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(_judge(*model), "doc_id long, n_words long, votes_bad long, votes_good long, weak_bad double, p_bad double, kept boolean")
 
 
-def keep_good(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the scorer doesn't reject, all columns as they are."""
-    _, scorer = fit(docs, text, sample)
+    _, scorer = fit(docs, text, sample, key)
     at = docs.columns.index(text)
 
     def run(batches):

@@ -30,6 +30,49 @@ def test_em_finds_the_bad_class():
     assert np.corrcoef(model.table[0, :, 0], hit)[0, 1] > 0.9
 
 
+@pytest.mark.parametrize("name", ["function words", "symbols", "echo"])
+def test_em_finds_a_labeller_that_is_often_wrong(name):
+    """One labeller votes against a fifth of the good documents; nobody else does."""
+    rng = np.random.default_rng(3)
+    n, k, j = 20_000, len(Q.LABELLERS), Q.LABELLERS.index(name)
+    bad = rng.random(n) < 0.12
+    both = np.array([x in Q.BOTH_WAYS for x in Q.LABELLERS])
+    u = rng.random((n, k))
+    votes = np.where(bad[:, None], np.where(u < 0.25, -1, np.where((u > 0.6) & both, 1, 0)), np.where(u < 0.0005, -1, np.where((u > 0.2) & both, 1, 0)))
+    wrong = ~bad & (rng.random(n) < 0.2)
+    votes[wrong, j] = -1
+    pattern, count = np.unique(Q.pattern_of(votes), return_counts=True)
+    model = Q.LabelModel(dict(zip(pattern.tolist(), count.tolist())))
+    p = model.posterior(votes)
+    assert model.table[1, j, 0] > 0.05 and all(model.table[1, i, 0] < 0.02 for i in range(k) if i != j)
+    assert (p[wrong] > 0.5).mean() < 0.02
+    assert (p[bad] > 0.5).mean() > 0.75
+
+
+SOUND = [
+    "Кошка сидела на коврике, и ей было там хорошо весь день. Потом она встала, потянулась и пошла на кухню, где её уже ждала миска молока.",
+    "बिल्ली चटाई पर बैठी थी और वह वहाँ पूरे दिन खुश थी। फिर वह उठी और रसोई में चली गई जहाँ दूध का कटोरा उसका इंतज़ार कर रहा था।",
+    "Kot siedział na macie i był tam szczęśliwy przez cały dzień. Potem wstał, przeciągnął się i poszedł do kuchni, gdzie czekała już miska mleka.",
+    "猫坐在垫子上，整天都很开心。 然后它站起来，伸了个懒腰，走进厨房， 那里有一碗牛奶在等着它。 " * 4,
+    "แมวนั่งอยู่บนเสื่อและมีความสุขทั้งวัน จากนั้นมันก็ลุกขึ้นยืดตัวแล้วเดินเข้าไปในครัว " * 5,
+]
+
+
+def test_sound_texts_of_other_languages(spark):
+    assert (Q.Texts(pa.array(SOUND)).votes() >= 0).all()
+    own = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10**6 + i, f"{t} {i % 7}.") for i in range(400) for t in [SOUND[i % len(SOUND)]]], "doc_id long, text string")
+    rows = Q.judged(own.union(more)).where("doc_id >= 1000000").collect()
+    assert sum(r.kept for r in rows) == len(rows) == 400
+
+
+def test_other_columns_change_nothing(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    scores = lambda d: {r.doc_id: r.p_bad for r in Q.judged(d, sample=300).collect()}
+    plain = scores(docs.select("doc_id", "text"))
+    assert plain == scores(docs.selectExpr("*", "'x' AS extra", "doc_id AS p_bad"))
+
+
 def test_votes_on_plain_texts():
     texts = ["The cat sat on the mat and it was happy there for the whole of the day. " * 3, "WOW!! BUY!! NOW!! " * 10, "a | b | c | d | " * 8, "x*** y### z$$$ " * 8, "word " * 50, "Too short", "", None]
     votes = Q.Texts(pa.array(texts, pa.string())).votes()
