@@ -5,10 +5,11 @@
 2. A principal-component basis orders the dimensions.  Unit vectors are rotated
    into it inside tasks; a rotation leaves dot products as they are.
 3. A tree of median cuts along the leading components, made from a bounded sample,
-   deals rows to tiles of similar vectors.  A tile that outgrows its size is dealt
-   on by a hash, so no group of rows is unbounded.
+   deals rows to tiles of similar vectors.  A leaf that outgrows a tile is dealt on
+   by a hash before rows are shuffled, so no group of rows is unbounded.  A tile is
+   packed to one row of byte strings and cut into blocks by finer leaves.
 4. Tiles whose bounding boxes in the leading components are further apart than the
-   threshold allows are never compared.  For the others, dot products accumulate
+   threshold allows are never compared, and neither are blocks of near tiles.  For the others, dot products accumulate
    the leading components first; what is left is bounded by the product of the
    suffix norms, and rows that can't reach the threshold any more stop there.
 5. A comparison returns for each row its number of links and the smallest id that
@@ -20,7 +21,6 @@ The basis and the cuts decide only how much is skipped, never which links are fo
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -31,11 +31,12 @@ from specgraph.llm.encoders import small_batches
 from specgraph.operators.components import connected_components
 from specgraph.storage import arrow_rows, write
 
-#: Rows of a tile; rows that the basis and the cuts are made from.
-TILE = 4096
+#: Rows of a tile, and of one of its blocks; tables are cut into ``LEAST_TILES`` tiles at least.
+TILE, TILE_BLOCK, LEAST_TILES = 16_384, 4096, 8
+#: Rows that the basis and the cuts are made from; the tree has no more than twice as many leaves.
 SAMPLE = 20_000
-#: Rows compared with a tile at once; components of a tile's bounding box; leading ones whose grid finds near boxes.
-BLOCK, BOX, GRID = 1024, 16, 2
+#: Rows compared with a block at once; components of a bounding box; leading ones whose grid finds near boxes.
+BLOCK, BOX, GRID = 1024, 16, 3
 #: Products this close to the threshold are settled by the plain formula.
 CLOSE = 1e-9
 NO_ID = np.iinfo(np.int64).max
@@ -121,7 +122,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("x")).withColumn("usable", _usable("x"))
-    rows = write(own.select("vec_id", "usable", F.when(F.col("usable"), F.col("x")).alias("x"), F.when(F.col("usable"), F.md5(F.array_join(F.col("x"), ","))).alias("code")), "vectors").df
+    rows = write(own.select("vec_id", "usable", F.when(F.col("usable"), F.col("x")).alias("x"), F.when(F.col("usable"), F.unhex(F.md5(F.array_join(F.col("x"), ",")))).alias("code")), "vectors").df
     distinct = write(
         rows.where("usable").groupBy("code").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("id"), F.any_value("x").alias("x")).select("code", "copies", "id", "x", F.size("x").alias("dim")),
         "distinct",
@@ -157,28 +158,23 @@ def _of_one_length(distinct: DataFrame, dim: int, n: int, threshold: float, tile
     # The basis is fitted by Spark on the bounded sample; its rows come to the driver to cut the leading components.
     basis = np.linalg.qr(PCA(k=dim, inputCol="v", outputCol="p").fit(few.select(array_to_vector("x").alias("v"))).pc.toArray())[0] if n > 1 else np.eye(dim)
     points = np.array([r.x for r in few.limit(2 * sample).collect()], np.float64).reshape(-1, dim)
-    tree = _cuts(_unit(points) @ basis, -(-n // tile))
+    rows_of_tile = min(tile, max(tile // 32, -(-n // LEAST_TILES)))
+    tree = _cuts(_unit(points) @ basis, -(-4 * n // rows_of_tile))
+    kind = distinct.schema["x"].dataType.simpleString()
+    width = "<f4" if kind == "array<float>" else "<f8"
 
     def deal(batches):
         for batch in small_batches(batches):
-            rotated = _unit(_stack(batch.column(3))) @ basis
-            leaf = _leaf_of(rotated, tree)
-            box = rotated[:, :BOX]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(list(box), pa.list_(pa.float64()))], ["code", "copies", "id", "x", "leaf", "box"])
-
-    kind = distinct.schema["x"].dataType.simpleString()
-    dealt = write(distinct.select("code", "copies", "id", "x").mapInArrow(deal, f"code string, copies long, id long, x {kind}, leaf long, box array<double>"), "dealt").df
-    sizes = dealt.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"))
-    spread = dealt.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("code"), F.ceil(F.col("rows") / tile)))
-    axes = range(min(BOX, dim))
-    tiles = write(
-        spread.groupBy("leaf", "part").agg(
-            F.collect_list(F.struct("code", "copies", "id", "x")).alias("rows"),
-            F.array(*[F.min(F.col("box")[i]) for i in axes]).alias("low"),
-            F.array(*[F.max(F.col("box")[i]) for i in axes]).alias("high"),
-        ).withColumn("tile", F.xxhash64("leaf", "part")),
-        "tiles",
-    ).df
+            leaf = _leaf_of(_unit(_stack(batch.column(3))) @ basis, tree)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], ["code", "copies", "id", "x", "leaf"])
+
+    dealt = write(distinct.select("code", "copies", "id", "x").mapInArrow(deal, f"code binary, copies long, id long, x {kind}, leaf long"), "dealt").df
+    coarse = F.greatest(F.shiftright("leaf", 2), F.lit(1))
+    sizes = dealt.groupBy(coarse.alias("coarse")).agg(F.count(F.lit(1)).alias("rows"))
+    # One row for each leaf of a tree made from the sample: 2 * SAMPLE at most, whatever the table's size.
+    spread = dealt.withColumn("coarse", coarse).join(F.broadcast(sizes), "coarse").withColumn("tile", F.xxhash64("coarse", F.pmod(F.xxhash64("code"), F.ceil(F.col("rows") / rows_of_tile))))
+    packed = spread.select("tile", "leaf", "code", "copies", "id", "x").repartition("tile").sortWithinPartitions("tile", "leaf", "code")
+    tiles = write(packed.mapInArrow(_pack(basis, width), "tile long, low array<double>, high array<double>, codes binary, copies binary, ids binary, x binary"), "tiles").df
     # Boxes of tiles are small rows, one for each ``tile`` rows of the table.  Boxes that come close enough share a cell
     # of a grid over the leading components: a box lies in the cells it covers, and in those within reach on one side.
     reach = float(np.sqrt(2.0 - 2.0 * threshold)) + 1e-6
@@ -199,32 +195,102 @@ def _of_one_length(distinct: DataFrame, dim: int, n: int, threshold: float, tile
         "tile-pairs",
     ).df
 
-    side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), F.col("rows").alias(f"rows_{s}"))
-    return near.join(side("a"), "tile_a").join(side("b"), "tile_b").select("tile_a", "tile_b", "rows_a", "rows_b").mapInPandas(
-        _pairs(basis, threshold), "code string, n long, edges array<struct<src:long,dst:long>>"
-    )
+    side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in _PACKED])
+    both = near.join(side("a"), "tile_a").join(side("b"), "tile_b").select("tile_a", "tile_b", *[f"{c}_{s}" for s in "ab" for c in _PACKED])
+    return both.mapInArrow(_pairs(basis, width, threshold), "code binary, n long, edges array<struct<src:long,dst:long>>")
+
+
+_PACKED = ["codes", "copies", "ids", "x"]
+
+
+def _pack(basis: np.ndarray, width: str):
+    """Rows sorted by tile become one row for each tile; only one tile is held."""
+
+    def close(tile: int, parts: list) -> pa.RecordBatch:
+        codes, copies, ids = (sum((p[i] for p in parts), []) for i in range(3))
+        x = np.concatenate([p[3] for p in parts])
+        box = (_unit(x) @ basis)[:, :BOX]
+        known = [NO_ID if i is None else i for i in ids]
+        row = [[tile], [box.min(0).tolist()], [box.max(0).tolist()], [b"".join(codes)], [np.array(copies, np.int64).tobytes()], [np.array(known, np.int64).tobytes()], [x.astype(width).tobytes()]]
+        kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["tile", "low", "high", *_PACKED])
+
+    def run(batches):
+        tile, parts = None, []
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if parts and own[a] != tile:
+                    yield close(tile, parts)
+                    parts = []
+                tile = int(own[a])
+                piece = batch.slice(a, b - a)
+                parts.append((piece.column(2).to_pylist(), piece.column(3).to_pylist(), piece.column(4).to_pylist(), _stack(piece.column(5))))
+        if parts:
+            yield close(tile, parts)
+
+    return run
+
 
+class _Tile:
+    """A packed tile, its rows rotated block by block."""
 
-def _pairs(basis: np.ndarray, threshold: float):
-    def table(rows):
-        x = np.array([r["x"] for r in rows], np.float64)
-        ids = np.array([NO_ID if r["id"] is None else r["id"] for r in rows], np.int64)
-        return [r["code"] for r in rows], np.array([r["copies"] for r in rows], np.int64), ids, x, _unit(x) @ basis
+    def __init__(self, codes: bytes, copies: bytes, ids: bytes, x: bytes, basis: np.ndarray, width: str):
+        self.codes, self.copies, self.ids = codes, np.frombuffer(copies, np.int64), np.frombuffer(ids, np.int64)
+        self.x = np.frombuffer(x, width).reshape(len(self.ids), -1).astype(np.float64)
+        self.rotated = _unit(self.x) @ basis
+        self.cuts = [slice(a, min(a + TILE_BLOCK, len(self.ids))) for a in range(0, len(self.ids), TILE_BLOCK)]
+        self.boxes = [(r.min(0), r.max(0)) for r in (self.rotated[c, :BOX] for c in self.cuts)]
 
-    def run(frames):
-        for frame in frames:
-            for tile_a, tile_b, rows_a, rows_b in zip(frame["tile_a"], frame["tile_b"], frame["rows_a"], frame["rows_b"]):
-                a = table(rows_a)
+
+def _pairs(basis: np.ndarray, width: str, threshold: float):
+    reach = 2.0 - 2.0 * threshold + 1e-6
+
+    def run(batches):
+        for batch in batches:
+            for tile_a, tile_b, *rest in zip(*(batch.column(i).to_pylist() for i in range(10))):
                 same = tile_a == tile_b
-                b = a if same else table(rows_b)
-                linked = _compare(a[4], b[4], threshold, a[3], b[3])
-                if same:
-                    np.fill_diagonal(linked, False)
-                yield from _summary(a, b, linked, same)
+                a = _Tile(*rest[:4], basis, width)
+                yield from _tile_links(a, a if same else _Tile(*rest[4:], basis, width), threshold, reach, same)
 
     return run
 
 
+def _tile_links(a: _Tile, b: _Tile, threshold: float, reach: float, same: bool):
+    """(code, n, edges) of the rows of both tiles that have links."""
+    counts = {id(t): np.zeros(len(t.ids), np.int64) for t in (a, b)}
+    edges: dict[int, dict[int, set]] = {id(t): {} for t in (a, b)}
+    for i, (cut_a, box_a) in enumerate(zip(a.cuts, a.boxes)):
+        for j, (cut_b, box_b) in enumerate(zip(b.cuts, b.boxes)):
+            gap = np.maximum(np.maximum(box_a[0] - box_b[1], box_b[0] - box_a[1]), 0.0)
+            if (same and j < i) or gap @ gap > reach:
+                continue
+            own = same and i == j
+            linked = _compare(a.rotated[cut_a], b.rotated[cut_b], threshold, a.x[cut_a], b.x[cut_b])
+            if own:
+                np.fill_diagonal(linked, False)
+            rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            if not len(rows):
+                continue
+            small, at_a, at_b = linked[np.ix_(rows, cols)], rows + cut_a.start, cols + cut_b.start
+            label_a, label_b = _reached(small, a.ids[at_a], b.ids[at_b], own)
+            for t, at, labels, n in [(a, at_a, label_a, small @ b.copies[at_b]), (b, at_b, label_b, a.copies[at_a] @ small)][: 1 if own else 2]:
+                counts[id(t)][at] += n
+                for r, k in zip(at.tolist(), labels.tolist()):
+                    if k != t.ids[r]:
+                        edges[id(t)].setdefault(r, set()).add(k)
+    for t in [a] if same else [a, b]:
+        rows = np.flatnonzero(counts[id(t)]).tolist()
+        lists = [[{"src": int(t.ids[r]), "dst": k} for k in sorted(edges[id(t)].get(r, ()))] for r in rows]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t.codes[16 * r : 16 * r + 16] for r in rows], pa.binary()), pa.array(counts[id(t)][rows], pa.int64()), pa.array(lists, pa.list_(pa.struct([("src", pa.int64()), ("dst", pa.int64())])))],
+            ["code", "n", "edges"],
+        )
+
+
 def _reached(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id that links between the two sides reach from each row, by min-label propagation."""
     label_a, label_b = ids_a.copy(), ids_b.copy()
@@ -237,15 +303,3 @@ def _reached(linked: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, same: boo
         if (new_a == label_a).all() and (new_b == label_b).all():
             return label_a, label_b
         label_a, label_b = new_a, new_b
-
-
-def _summary(a, b, linked: np.ndarray, same: bool):
-    """(code, n, edges) of the rows of both tiles that have links."""
-    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-    if not len(rows):
-        return
-    small = linked[np.ix_(rows, cols)]
-    label_a, label_b = _reached(small, a[2][rows], b[2][cols], same)
-    for (codes, _, ids, _, _), at, labels, n in [(a, rows, label_a, small @ b[1][cols]), (b, cols, label_b, a[1][rows] @ small)][: 1 if same else 2]:
-        edges = [[{"src": int(i), "dst": int(k)}] if i != k else [] for i, k in zip(ids[at], labels)]
-        yield pd.DataFrame({"code": [codes[r] for r in at], "n": n.astype(np.int64), "edges": edges})

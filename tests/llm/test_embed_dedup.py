@@ -67,3 +67,45 @@ def test_exact_threshold_repeats_and_nulls(spark):
     got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in E.near_vectors(d).collect()], key=str)
     assert got == sorted([(k, n, c, k is None or k == c) for k, n, c in brute(rows, 0.9)], key=str)
     assert E.near_vectors(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [5, 16, 1000])
+def test_blocks_of_tiles(monkeypatch, block):
+    """Two packed tiles, compared block by block: counts and components of all pairs."""
+    monkeypatch.setattr(E, "TILE_BLOCK", block)
+    rows = table(3, 6)
+    x = np.array([v for _, v in rows])
+    ids = np.array([k for k, _ in rows], np.int64)
+    half = len(rows) // 2
+    tile = lambda at: E._Tile(b"".join(int(k).to_bytes(16, "big") for k in ids[at]), np.ones(len(ids[at]), np.int64).tobytes(), ids[at].tobytes(), x[at].tobytes(), np.eye(6), "<f8")
+    a, b = tile(slice(0, half)), tile(slice(half, None))
+    count, up = {int(k): 0 for k in ids}, {int(k): int(k) for k in ids}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for s, t in ((a, a), (b, b), (a, b)):
+        for batch in E._tile_links(s, t, 0.9, 0.2 + 1e-6, s is t):
+            for r in batch.to_pylist():
+                count[int.from_bytes(r["code"], "big")] += r["n"]
+                for e in r["edges"]:
+                    p, q = root(e["src"]), root(e["dst"])
+                    up[max(p, q)] = min(p, q)
+    assert sorted((k, count[k], root(k)) for k in count) == sorted(brute(rows, 0.9))
+
+
+def test_rows_of_one_hot_place_are_dealt_to_many_tiles(spark, monkeypatch):
+    """Half of the rows are near copies of one vector: no tile holds more than its share, and every link is counted."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=8)
+    rows = [(i, (centre + rng.normal(size=8) * 0.01).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(300)]
+    d = spark.createDataFrame([(k, [float(c) for c in x]) for k, x in rows], "vec_id long, embedding array<double>")
+    written = []
+    plain = E.write
+    monkeypatch.setattr(E, "write", lambda df, name, *a: (written.append((name, w := plain(df, name, *a))), w)[1])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(d, tile=64).collect()}
+    sizes = [len(r.ids) // 8 for n, w in written if n == "tiles" for r in w.df.select("ids").collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 110 and len(sizes) >= 8
+    assert all(got[k] == (n, c) for k, n, c in brute(rows, 0.9))
