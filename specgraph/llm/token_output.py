@@ -1,29 +1,39 @@
 """Token-id output: documents in key order as raw id payloads with a minimal perfect hash index.
 
-File format.  A token table is a Parquet folder in which every row is one shard:
-
-=============  =====================================================================
-part, seq      key order: smallest key of the writing task, number of the shard in it
-n_tokens       ids in the payload
-keys           document keys in the order of the payload
-payload        ids, little endian, ``width`` bytes each, documents one after another
-seeds          one 32-bit displacement for each bucket of the hash
-slots          one (fingerprint u32, offset u64, length u64) for each document
-=============  =====================================================================
+File format.  A token folder holds
+
+``raw/NAME.ids``
+    ids of one shard, little endian, ``width`` bytes each, documents one after another;
+``raw/NAME.mph``
+    the shard's index: one 32-bit displacement for each bucket of the hash, one
+    (fingerprint u32, offset u64, length u64) for each document, then keys (i64)
+    and a byte for each key that is null, in payload order;
+``directory``
+    a small Parquet table, one row for each shard: its name, place (part, seq),
+    smallest and largest key, documents, tokens, width, and the buckets of its hash.
 
 The hash sends a key to a bucket, the bucket's displacement sends it to its slot,
-the fingerprint tells a foreign key, and (offset, length) cut the payload: a
-keyed read costs the same whatever the shard holds.  A key that repeats is
-indexed with its occurrence number, so every row stays reachable; null keys are
-indexed likewise and come first.
+the fingerprint tells a foreign key, and (offset, length) cut the payload.  A
+keyed read takes one displacement, one slot and the document's own ids, by their
+byte offsets, whatever the shard holds.  A key that repeats is indexed with its
+occurrence number, so every row stays reachable; null keys are indexed likewise
+(with a mark of their own) and come first.
+
+Tasks write raw files under names that nobody else uses; the directory, which
+Spark commits, names those that count.  A task that runs twice leaves files that
+no reader sees.  Raw files go through Arrow's file systems (local or mounted
+folders, hdfs, s3, gs, abfs), which executors must reach.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +42,12 @@ from specgraph.llm.encoders import default_path, encoder, small_batches
 
 #: Ids after which a shard is closed; one document is never split.
 SHARD_TOKENS = 2_000_000
-NULL_KEY = -(1 << 63)
+#: Most tasks that read a folder; beyond so many shards a task reads several, one after another.
+MOST_TASKS = 100_000
+#: Code points of a text that help to deal out the rows of a key that repeats.
+PREFIX = 32
 SLOT = np.dtype([("print", "<u4"), ("offset", "<u8"), ("length", "<u8")])
-SHARD_SCHEMA = "part long, seq int, n_tokens long, width int, keys array<long>, payload binary, seeds binary, slots binary"
+DIRECTORY = "part int, seq int, name string, low long, high long, nulls long, docs long, n_tokens long, width int, buckets long"
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -46,9 +59,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _hashed(keys: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+def _hashed(keys: np.ndarray, occurrence: np.ndarray, null=False) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix(_mix(keys.astype(np.int64).view(np.uint64) + _A) + occurrence.astype(np.uint64) * _A)
+        return _mix(_mix(keys.astype(np.int64).view(np.uint64) + _A) + occurrence.astype(np.uint64) * _A + np.where(null, _B, np.uint64(0)))
 
 
 def _place(h: np.ndarray, seed, n: int) -> np.ndarray:
@@ -96,8 +109,11 @@ def build_hash(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seeds, slot
 
 
-def build_index(keys: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
-    h = _hashed(keys, occurrences(keys))
+def build_index(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
+    """(seeds, slots); a null key counts as 0 with a mark."""
+    occurrence = np.where(nulls, np.cumsum(nulls) - 1, 0)
+    occurrence[~nulls] = occurrences(keys[~nulls])
+    h = _hashed(keys, occurrence, nulls)
     seeds, slot = build_hash(h)
     table = np.zeros(len(keys), SLOT)
     table["print"][slot] = (h >> np.uint64(32)).astype("<u4")
@@ -106,39 +122,81 @@ def build_index(keys: np.ndarray, lengths: np.ndarray) -> tuple[bytes, bytes]:
     return seeds.tobytes(), table.tobytes()
 
 
-def look_up(keys: np.ndarray, occurrence: np.ndarray, seeds: bytes, slots: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(offset, length) of each key, offset -1 where the fingerprint shows that the shard lacks it."""
-    seed, table = np.frombuffer(seeds, "<u4"), np.frombuffer(slots, SLOT)
-    h = _hashed(keys, occurrence)
-    got = table[_place(h, seed[(h % np.uint64(len(seed))).astype(np.int64)], len(table))]
-    there = got["print"] == (h >> np.uint64(32)).astype("<u4")
-    return np.where(there, got["offset"].astype(np.int64), -1), np.where(there, got["length"].astype(np.int64), 0)
-
-
-def _shards(path: str, end_id: int, shard_tokens: int):
+class Shard:
+    """One shard, read by byte offsets; ``bytes_read`` counts what was asked for."""
+
+    def __init__(self, path: str, name: str, docs: int, width: int, buckets: int):
+        self.fs, base = FileSystem.from_uri(path)
+        self.ids_at, self.index_at = f"{base}/raw/{name}.ids", f"{base}/raw/{name}.mph"
+        self.docs, self.width, self.buckets, self.bytes_read = docs, width, buckets, 0
+
+    def _read(self, path: str, at: int = 0, n: int | None = None) -> bytes:
+        with self.fs.open_input_file(path) as f:
+            f.seek(at)
+            out = f.read(n)
+        self.bytes_read += len(out)
+        return out
+
+    def find(self, key: int | None, occurrence: int = 0) -> tuple[int, int] | None:
+        """(offset, length) in ids of one row of a key, None where the fingerprint shows that the shard lacks it."""
+        h = _hashed(np.array([key or 0]), np.array([occurrence]), key is None)
+        seed = np.frombuffer(self._read(self.index_at, 4 * int(h[0] % np.uint64(self.buckets)), 4), "<u4")
+        slot = int(_place(h, seed, self.docs)[0])
+        got = np.frombuffer(self._read(self.index_at, 4 * self.buckets + SLOT.itemsize * slot, SLOT.itemsize), SLOT)[0]
+        return (int(got["offset"]), int(got["length"])) if got["print"] == int(h[0]) >> 32 else None
+
+    def ids(self, offset: int, length: int) -> np.ndarray:
+        return np.frombuffer(self._read(self.ids_at, offset * self.width, length * self.width), f"<u{self.width}")
+
+    def rows(self, key: int | None):
+        """Ids of every row of a key."""
+        occurrence = 0
+        while (at := self.find(key, occurrence)) is not None:
+            yield self.ids(*at)
+            occurrence += 1
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, keys, nulls, offset, length) of the whole shard, each document found through the index."""
+        index, ids = self._read(self.index_at), np.frombuffer(self._read(self.ids_at), f"<u{self.width}")
+        slots_at, keys_at = 4 * self.buckets, 4 * self.buckets + SLOT.itemsize * self.docs
+        seeds, table = np.frombuffer(index[:slots_at], "<u4"), np.frombuffer(index[slots_at:keys_at], SLOT)
+        keys = np.frombuffer(index[keys_at : keys_at + 8 * self.docs], "<i8")
+        nulls = np.frombuffer(index[keys_at + 8 * self.docs :], np.uint8).astype(bool)
+        occurrence = np.where(nulls, np.cumsum(nulls) - 1, 0)
+        occurrence[~nulls] = occurrences(keys[~nulls])
+        h = _hashed(keys, occurrence, nulls)
+        got = table[_place(h, seeds[(h % np.uint64(self.buckets)).astype(np.int64)], self.docs)]
+        if (got["print"] != (h >> np.uint64(32)).astype("<u4")).any():
+            raise ValueError("token folder: an index misses a key of its shard")
+        return ids, keys, nulls, got["offset"].astype(np.int64), got["length"].astype(np.int64)
+
+
+def _shards(path: str, tokenizer: str, end_id: int, shard_tokens: int):
     def make(batches):
-        enc = encoder(path)
+        enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
-        width, part, seq = enc.dtype.itemsize, None, 0
-        keys: list[int] = []
+        width, part, seq = enc.dtype.itemsize, TaskContext.get().partitionId(), 0
+        keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
 
         def close():
-            lengths = np.array([len(x) // width for x in ids], np.int64)
-            seeds, slots = build_index(np.array(keys, np.int64), lengths)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part], pa.int64()), "seq": pa.array([seq], pa.int32()), "n_tokens": pa.array([int(lengths.sum())], pa.int64()),
-                    "width": pa.array([width], pa.int32()), "keys": pa.array([keys], pa.list_(pa.int64())), "payload": pa.array([b"".join(ids)], pa.binary()),
-                    "seeds": pa.array([seeds], pa.binary()), "slots": pa.array([slots], pa.binary()),
-                }
-            )
+            fs, base = FileSystem.from_uri(path)
+            fs.create_dir(f"{base}/raw", recursive=True)
+            name = uuid.uuid4().hex
+            lengths, nulls = np.array([len(x) // width for x in ids], np.int64), np.array([k is None for k in keys])
+            known = np.array([k or 0 for k in keys], "<i8")
+            seeds, slots = build_index(known, nulls, lengths)
+            for kind, data in (("ids", b"".join(ids)), ("mph", seeds + slots + known.tobytes() + nulls.astype(np.uint8).tobytes())):
+                with fs.open_output_stream(f"{base}/raw/{name}.{kind}") as f:
+                    f.write(data)
+            some = known[~nulls]
+            row = [part, seq, name, int(some.min()) if len(some) else None, int(some.max()) if len(some) else None, int(nulls.sum()), len(keys), int(lengths.sum()), width, len(seeds) // 4]
+            kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "seq", "name", "low", "high", "nulls", "docs", "n_tokens", "width", "buckets"])
 
         for batch in small_batches(batches):
             for key, own in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
-                key = NULL_KEY if key is None else key
-                part = key if part is None else part
                 keys.append(key)
                 ids.append(own.tobytes() + end)
                 size += len(own) + 1
@@ -152,72 +210,74 @@ def _shards(path: str, end_id: int, shard_tokens: int):
 
 
 def write_token_table(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Encode ``docs`` and write them in ascending key order as a token table.
+    """Encode ``docs`` and write them in ascending key order as a token folder.
 
     Texts cross one range shuffle and are encoded behind it, so ids are never
-    shuffled.  Null texts are empty (just the end id); null keys come first;
-    repeated keys keep all their rows; an empty table gives an empty folder.
+    shuffled.  The rows of a key that repeats are dealt on by the start of their
+    text and a random number, so a hot key takes many tasks.  Null texts are empty
+    (just the end id); null keys come first; repeated keys keep all their rows; an
+    empty table gives an empty folder.
     """
-    ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-    ordered.mapInArrow(_shards(tokenizer or default_path(), end_id, shard_tokens), SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    first = F.col("key").asc_nulls_first()
+    dealt = own.withColumns({"prefix": F.substring("text", 1, PREFIX), "lot": F.rand(1)}).repartitionByRange(first, F.col("prefix").asc_nulls_first(), "lot")
+    ordered = dealt.select("key", "text").sortWithinPartitions(first, "text")
+    ordered.mapInArrow(_shards(path, tokenizer or default_path(), end_id, shard_tokens), DIRECTORY).write.parquet(f"{path}/directory")
+
+
+def directory(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
-    """(part, seq, base): ids before each shard.  The unpartitioned window sees one row for each writing task only."""
+    """(name, base): ids before each shard.  The unpartitioned window sees one row for each writing task only."""
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("own"))
     before = parts.select("part", (F.sum("own").over(W.orderBy("part")) - F.col("own")).alias("before"))
-    inner = shards.select("part", "seq", (F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("inside"))
-    return inner.join(before, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
-
-
-def _documents(batches):
-    for batch in batches:
-        for part, seq, width, keys, payload, seeds, slots in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            ids = np.frombuffer(payload, f"<u{width}")
-            k = np.array(keys, np.int64)
-            offset, length = look_up(k, occurrences(k), seeds, slots)
-            if (offset < 0).any():
-                raise ValueError("token table: an index misses a key of its shard")
-            crc = [zlib.crc32(ids[o : o + n].astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist())]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array([part] * len(k), pa.int64()), "seq": pa.array([seq] * len(k), pa.int32()),
-                    "doc_id": pa.array([None if x == NULL_KEY else x for x in keys], pa.int64()), "inside": pa.array(offset, pa.int64()),
-                    "n_tokens": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
-                }
-            )
+    inner = shards.select("part", "name", (F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("inside"))
+    return inner.join(before, "part").select("name", (F.col("before") + F.col("inside")).alias("base"))
+
+
+def _documents(path: str):
+    def run(batches):
+        for batch in batches:
+            for name, docs, width, buckets, base in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                ids, keys, nulls, offset, length = Shard(path, name, docs, width, buckets).all()
+                crc = [zlib.crc32(ids[o : o + n].astype("<u4").tobytes()) for o, n in zip(offset.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64(), mask=nulls), pa.array(base + offset, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                )
+
+    return run
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a token table, cut from the payloads through the index; payloads stay in the task that reads them."""
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    found = shards.select("part", "seq", "width", "keys", "payload", "seeds", "slots").mapInArrow(_documents, "part long, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    starts = shard_starts(shards.select("part", "seq", "n_tokens"))
-    return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def _fetch(batches):
-    for batch in batches:
-        for want, width, payload, seeds, slots in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            ids = np.frombuffer(payload, f"<u{width}")
-            k = np.array(want, np.int64)
-            offset, length = look_up(k, np.zeros(len(k), np.int64), seeds, slots)
-            found = offset >= 0
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array(k[found], pa.int64()),
-                    "ids": pa.array([ids[o : o + n].astype(np.int64) for o, n in zip(offset[found].tolist(), length[found].tolist())], pa.list_(pa.int64())),
-                }
-            )
+    """(doc_id, start, n_tokens, ids_crc32) of every document, cut from the raw files through the index; a task holds one shard at a time."""
+    shards = directory(spark, path)
+    based = shards.join(shard_starts(shards), "name").select("name", "docs", "width", "buckets", "base")
+    many = max(1, shards.count())  # rows are small and stand for large files: one task a shard, not what their own size suggests
+    return based.repartition(min(many, MOST_TASKS), "name").mapInArrow(_documents(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _fetch(path: str):
+    def run(batches):
+        for batch in batches:
+            for want, name, docs, width, buckets in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                shard = Shard(path, name, docs, width, buckets)
+                found = [(k, ids.astype(np.int64)) for k in want for ids in shard.rows(k)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.list_(pa.int64())), pa.array([shard.bytes_read] * len(found), pa.int64())], ["doc_id", "ids", "bytes_read"]
+                )
+
+    return run
 
 
 def fetch(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """(doc_id, ids) of the first row of each wanted key; keys that the table lacks give no row.
+    """(doc_id, ids, bytes_read) of all rows of the wanted keys; keys that the folder lacks give no row.
 
-    ``keys`` is a stated list of the caller.  Shards whose key range holds none
-    of them are skipped before their payload is read.
+    ``keys`` is a stated list of the caller.  Only shards whose key range holds one
+    of them are opened, and of these only index entries and the documents' own ids
+    are read; bytes_read is what the shard's task has read for all of its keys.
     """
-    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     wanted = F.array(*[F.lit(int(k)).cast("long") for k in sorted(set(keys))]) if keys else F.array().cast("array<long>")
-    inside = F.filter(wanted, lambda k: (k >= F.array_min("keys")) & (k <= F.array_max("keys")))
-    return shards.withColumn("want", inside).where(F.size("want") > 0).select("want", "width", "payload", "seeds", "slots").mapInArrow(_fetch, "doc_id long, ids array<long>")
+    inside = F.filter(wanted, lambda k: (k >= F.col("low")) & (k <= F.col("high")))
+    return directory(spark, path).withColumn("want", inside).where(F.size("want") > 0).select("want", "name", "docs", "width", "buckets").mapInArrow(_fetch(path), "doc_id long, ids array<long>, bytes_read long")

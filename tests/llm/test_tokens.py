@@ -68,6 +68,37 @@ def test_token_table(spark, library):
     assert sorted(got, key=lambda r: r[1]) == want
     found = {r.doc_id: r.ids for r in token_output.fetch(spark, path, [3, 99, 12345]).collect()}
     assert found == {3: library(TEXTS[3]) + [0], 99: [0]}
+    assert sorted(r.ids for r in token_output.fetch(spark, path, [5]).collect()) == sorted([library(TEXTS[5]) + [0], library("again") + [0]])
+
+
+def test_keyed_reads_touch_one_document(spark, library):
+    rows = [(i, f"word{i} " * 50) for i in range(2000)]
+    path = new_path(spark, "t")
+    token_output.write_token_table(docs(spark, rows).repartition(3), path)
+    folder = token_output.directory(spark, path)
+    assert folder.agg({"n_tokens": "sum"}).head()[0] > 200_000
+    got = token_output.fetch(spark, path, [777]).collect()
+    ids = library(rows[777][1]) + [0]
+    assert [(r.doc_id, r.ids) for r in got] == [(777, ids)]
+    assert got[0].bytes_read == 4 + 20 + 2 * len(ids) + 24  # displacement, slot, ids, and a look for another row of the key
+
+
+def test_a_hot_key_takes_many_tasks(spark, library):
+    """Half of the rows have one key, a third none; some keys have the value that other formats keep for null."""
+    rows = [(7, f"text {i % 90} of the key") for i in range(600)] + [(None, f"none {i}") for i in range(400)] + [(-(1 << 63), "lowest"), (1 << 62, "x")] + [(7, "same")] * 200
+    path = new_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_output.write_token_table(docs(spark, rows).repartition(5), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = token_output.directory(spark, path).collect()
+    assert len({s.part for s in shards if s.low is not None and s.low <= 7 <= s.high}) >= 2 and len({s.part for s in shards if s.nulls}) >= 2
+    got = sorted(map(tuple, token_output.read_documents(spark, path).collect()), key=lambda r: r[1])
+    assert sorted([(k, n, c) for k, _, n, c in got], key=str) == sorted([(k, len(i), crc(i)) for k, t in rows for i in [library(t) + [0]]], key=str)
+    assert [r[1] for r in got] == np.cumsum([0] + [r[2] for r in got])[:-1].tolist()
+    assert [r[0] for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert token_output.fetch(spark, path, [7]).count() == 800 and token_output.fetch(spark, path, [-(1 << 63)]).count() == 1
 
 
 def test_empty_tables(spark):
@@ -82,10 +113,16 @@ def test_hash_is_minimal_and_perfect():
     h = token_output._hashed(keys, token_output.occurrences(keys))
     seeds, slot = token_output.build_hash(h)
     assert sorted(slot) == list(range(len(keys)))
-    seeds, slots = token_output.build_index(keys, np.ones(len(keys), np.int64))
-    missing = np.arange(10**6, 10**6 + 2000)
-    offset, _ = token_output.look_up(missing, np.zeros(2000, np.int64), seeds, slots)
-    assert (offset < 0).all()
+
+
+def test_foreign_keys_are_told(tmp_path):
+    keys = np.arange(3000, dtype="<i8") * 7
+    seeds, slots = token_output.build_index(keys, np.zeros(3000, bool), np.ones(3000, np.int64))
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.mph").write_bytes(seeds + slots)
+    shard = token_output.Shard(str(tmp_path), "a", 3000, 2, len(seeds) // 4)
+    assert [shard.find(int(k)) for k in keys[:50]] == [(i, 1) for i in range(50)]
+    assert all(shard.find(10**6 + k) is None for k in range(500)) and shard.find(None) is None
 
 
 @settings(max_examples=200, deadline=None)
