@@ -217,9 +217,26 @@ def test_refinement(spark):
     assert split == {(1, 0): set(range(8)), (1, 8): set(range(8, 16)), (100, 100): set(range(100, 111))}
     assert {r.node_id for r in refine.refine(d.where("cluster_id = 1"), (20,)).collect()} == set(range(17))
     assert refine.refine(d, (10, 1)).count() <= 27
-    with pytest.raises(Exception, match="cluster 1 has 17 nodes"):
-        refine.refine(d, (10,), max_nodes=16).collect()
-    assert refine.refine(d, (10,), max_nodes=16, leave_large=True).count() == 11
+    with pytest.raises(Exception, match="cluster 1 has 20 edges"):
+        refine.refine(d.where("cluster_id = 1"), (10,), max_edges=19).collect()
+    left = sorted(map(tuple, refine.refine(d, (10,), max_edges=19, leave_large=True).collect()))
+    assert left == [(1, i, 1) for i in range(17)] + [(100, 100 + i, 100) for i in range(11)]
+
+
+def test_large_clusters_are_dealt_over_tasks(spark):
+    """The same betweenness and the same clusters whether a cluster's sources stay in one task or go to many."""
+    rng = np.random.default_rng(5)
+    rows = [(1, a, b) for a, b in RINGS] + [(100, a + 100, b + 100) for a, b in CLIQUES]
+    for c in range(200, 500, 100):
+        part = rng.integers(0, 3, 60)
+        pairs = {(i, j) for i in range(60) for j in range(i) if rng.random() < (0.15 if part[i] == part[j] else 0.01)} | {(i, i - 1) for i in range(1, 60)}
+        rows += [(c, c + i, c + j) for i, j in pairs]
+    d = spark.createDataFrame(rows, "cluster_id long, src long, dst long")
+    one, many = ({(r.cluster_id, r.node_id): r.betweenness for r in refine.cluster_betweenness(d, work=w).collect()} for w in (refine.WORK, 200))
+    assert one.keys() == many.keys() and np.allclose(list(one.values()), [many[k] for k in one])
+    for thresholds in ((3,), (5, 3)):
+        whole, dealt = (sorted(map(tuple, refine.refine(d, thresholds, work=w).collect())) for w in (refine.WORK, 700))
+        assert whole == dealt and len(whole) > 0
 
 
 # --- identifications and text
