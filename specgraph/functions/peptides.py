@@ -41,11 +41,11 @@ def identity(peptide: Column, charge: Column) -> Column:
     return F.concat(peptide, F.lit("/"), charge.cast("string"))
 
 
-def display(peptide: Column, charge: Column, probability: Column, is_decoy: Column, prev_aa: Column, next_aa: Column) -> Column:
-    """DECOY_K.PEPTIDE.R/2 (0.9876); missing neighbours are left out with their dots."""
-    before = F.coalesce(F.concat(prev_aa, F.lit(".")), F.lit(""))
-    after = F.coalesce(F.concat(F.lit("."), next_aa), F.lit(""))
-    return F.concat(F.when(is_decoy, F.lit("DECOY_")).otherwise(""), before, peptide, after, F.lit("/"), charge.cast("string"), F.lit(" ("), F.format_string("%.4f", probability), F.lit(")"))
+def display(text: Column, charge: Column, probability: Column, is_decoy: Column, prev_aa: Column, next_aa: Column) -> Column:
+    """DECOY_K.n[43.0]PEPTIDE.R/2 (0.9876): ``text`` is the peptide with its modifications, missing neighbours are empty, the probability as it is."""
+    return F.concat(
+        F.when(is_decoy, F.lit("DECOY_")).otherwise(""), F.coalesce(prev_aa, F.lit("")), F.lit("."), text, F.lit("."), F.coalesce(next_aa, F.lit("")), F.lit("/"), charge.cast("string"), F.lit(" ("), probability.cast("string"), F.lit(")")
+    )
 
 
 def histogram_text(counts: Column) -> Column:

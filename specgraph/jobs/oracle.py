@@ -13,11 +13,13 @@ PARTS = {
         (p_partkey * 37) % 1000 / 1000.0::DOUBLE AS probability, p_partkey % 13 = 0 AS is_decoy, 0 AS iden_file_id, p_partkey AS position FROM part
         UNION ALL SELECT 'f' || CAST(p_partkey % 5 AS VARCHAR), p_partkey, p_brand || 'x', CAST(1 + p_size % 3 AS INTEGER),
         (p_partkey * 37) % 1000 / 1000.0::DOUBLE, p_partkey % 13 = 0, 1, p_partkey + 1 FROM part WHERE p_partkey % 3 = 0""",
+    "modified": """SELECT *, CASE WHEN native_id % 6 = 0 THEN 'n[43]' ELSE '' END || CASE WHEN native_id % 4 = 0 THEN substr(peptide, 1, CAST(1 + native_id % 3 AS INTEGER)) || '[' || CAST(100 + native_id % 2 AS VARCHAR) || ']' || substr(peptide, CAST(2 + native_id % 3 AS INTEGER))
+        ELSE peptide END || CASE WHEN native_id % 10 = 0 THEN 'c[17]' ELSE '' END || '/' || CAST(charge AS VARCHAR) AS iden FROM usable""",
     "usable": "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY ms_file, native_id ORDER BY iden_file_id, position DESC) AS rn FROM idens WHERE probability >= 0.1) WHERE rn = 1 AND NOT is_decoy",
     "both_ways": "SELECT src AS node_id, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges",
     "members": "SELECT min(other) AS cluster_id, node_id FROM reach GROUP BY node_id",
     "inside": "SELECT a.cluster_id, e.src, e.dst, e.dp FROM edges e JOIN members a ON a.node_id = e.src",
-    "named": "SELECT m.cluster_id, m.node_id, i.mass, u.peptide || '/' || CAST(u.charge AS VARCHAR) AS iden FROM members m JOIN part_index i USING (node_id) LEFT JOIN usable u ON u.ms_file = i.file_stem AND u.native_id = i.native_id",
+    "named": "SELECT m.cluster_id, m.node_id, i.mass, u.iden FROM members m JOIN part_index i USING (node_id) LEFT JOIN modified u ON u.ms_file = i.file_stem AND u.native_id = i.native_id",
 }
 
 
@@ -49,7 +51,7 @@ def reach(source: str = "both_ways") -> str:
 
 
 CLUSTERS = EDGES + ",\n" + parts("both_ways") + ",\n" + reach() + ",\n" + parts("members", "inside")
-NAMED = CLUSTERS + ",\n" + parts("idens", "usable", "named")
+NAMED = CLUSTERS + ",\n" + parts("idens", "usable", "modified", "named")
 
 
 def with_(head: str, body: str) -> str:
@@ -137,10 +139,11 @@ JOIN (SELECT p_partkey AS node_id, p_size AS ion FROM part UNION ALL SELECT p_pa
     "unidentified_nodes": f"WITH {parts('part_index', 'idens', 'usable')} SELECT i.node_id FROM part_index i WHERE NOT EXISTS (SELECT 1 FROM usable u WHERE u.ms_file = i.file_stem AND u.native_id = i.native_id)",
     "peptide_string": f"WITH {PEPTIDES} {peptide('CAST(CAST({} AS DOUBLE) AS VARCHAR)')}",
     "peptide_string_int": f"WITH {PEPTIDES} {peptide('CAST(CAST(trunc({}) AS BIGINT) AS VARCHAR)')}",
-    "display_string": f"""WITH {PEPTIDES} SELECT native_id, CASE WHEN is_decoy THEN 'DECOY_' ELSE '' END || coalesce(prev_aa || '.', '') || peptide || coalesce('.' || next_aa, '') || '/' || CAST(charge AS VARCHAR) || ' (' || printf('%.4f', probability) || ')' AS text FROM peps""",
+    "display_string": f"""WITH {PEPTIDES} SELECT native_id, CASE WHEN is_decoy THEN 'DECOY_' ELSE '' END || coalesce(prev_aa, '') || '.' || text || '.' || coalesce(next_aa, '') || '/' || CAST(charge AS VARCHAR) || ' (' || CAST(probability AS VARCHAR) || ')' AS text
+FROM peps JOIN ({peptide('CAST(CAST({} AS DOUBLE) AS VARCHAR)')}) USING (native_id)""",
     "cluster_enrichment": with_(
         f"{NAMED}, {ENRICHED}",
-        "SELECT cluster_id, num_nodes, CAST(coalesce(num_idens, 0) AS INTEGER) AS num_idens, idens, major_iden, CASE WHEN named_nodes > 0 THEN round(named_nodes / num_nodes, 6) END AS iden_ratio, round(mass_avg, 6) AS mass_avg FROM totals LEFT JOIN lists USING (cluster_id)",
+        "SELECT cluster_id, num_nodes, CAST(coalesce(num_idens, 0) AS INTEGER) AS num_idens, idens, major_iden, round(named_nodes / num_nodes, 6) AS iden_ratio, round(mass_avg, 6) AS mass_avg FROM totals LEFT JOIN lists USING (cluster_id)",
     ),
     "major_identification": with_(f"{NAMED}, {ENRICHED}", "SELECT cluster_id, major_iden FROM lists"),
     "iden_histogram": with_(f"{NAMED}, {ENRICHED}", "SELECT cluster_id, iden, n FROM counts"),

@@ -337,7 +337,8 @@ def peptide_string_int(spark, sf_dir):
 
 @query
 def display_string(spark, sf_dir):
-    return _peptides(spark, sf_dir).select("native_id", peptides.display(F.col("peptide"), F.col("charge"), F.col("probability"), F.col("is_decoy"), F.col("prev_aa"), F.col("next_aa")).alias("text"))
+    text = peptides.with_masses(F.col("peptide"), F.col("mods"), F.col("nterm"), F.col("cterm"))
+    return _peptides(spark, sf_dir).select("native_id", peptides.display(text, F.col("charge"), F.col("probability"), F.col("is_decoy"), F.col("prev_aa"), F.col("next_aa")).alias("text"))
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def enrich(member: DataFrame, index: DataFrame, idens: DataFrame) -> DataFrame:
     """(cluster_id, num_nodes, num_idens, idens, major_iden, iden_ratio, mass_avg).
 
     num_idens counts different identifications; idens lists them by count, then name;
-    iden_ratio is the share of identified nodes.  Without any, num_idens is 0 and the rest null.
+    iden_ratio is the share of identified nodes.  Without any, num_idens and iden_ratio are 0 and the rest null.
     """
     nodes = named_members(member, index, idens)
     totals = nodes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_nodes"), F.count("iden").alias("named"), F.avg(F.col("mass").cast("double")).alias("mass_avg"))
@@ -58,10 +58,32 @@ def enrich(member: DataFrame, index: DataFrame, idens: DataFrame) -> DataFrame:
     out = totals.join(lists, "cluster_id", "left")
     return out.select(
         "cluster_id", "num_nodes", F.coalesce(F.size("h"), F.lit(0)).alias("num_idens"), histogram_text(F.col("h")).alias("idens"), F.get(F.col("h"), F.lit(0))["iden"].alias("major_iden"),
-        F.when(F.col("named") > 0, F.col("named") / F.col("num_nodes")).alias("iden_ratio"), "mass_avg",
+        (F.col("named") / F.col("num_nodes")).alias("iden_ratio"), "mass_avg",
     )
 
 
+IDENTIFICATIONS = (
+    "ms_file string, native_id long, peptide string, charge int, probability double, source string, is_decoy boolean, prev_aa string, next_aa string, "
+    "mods array<struct<pos:int,mass:double>>, nterm_mod double, cterm_mod double, iden_file_id int, position long"
+)
+
+
+def stored_identifications(idens: DataFrame | None, spark: SparkSession, threshold: float = 0.9, include_decoy: bool = False) -> DataFrame:
+    """The table that a run keeps: one row for each scan, all columns of IDENTIFICATIONS (null where the input lacks them); empty without input."""
+    if idens is None:
+        return spark.createDataFrame([], IDENTIFICATIONS)
+    kinds = [(f.name, f.dataType) for f in spark.createDataFrame([], IDENTIFICATIONS).schema.fields]
+    whole = idens.select(*[(F.col(n) if n in idens.columns else F.lit(None)).cast(t).alias(n) for n, t in kinds])
+    return dedup_identifications(filter_identifications(whole, threshold, include_decoy))
+
+
+def update_enrichment(clusters: DataFrame, member: DataFrame, index: DataFrame, idens: DataFrame, update: bool = False) -> DataFrame:
+    """``clusters`` (columns of ``enrich``) with the pending ones, or all with ``update``, enriched anew; the others stay as they are."""
+    pending = needs_enrichment(clusters, update).select("cluster_id")
+    fresh = enrich(member.join(pending, "cluster_id", "left_semi"), index, idens)
+    return clusters.join(pending, "cluster_id", "left_anti").select(fresh.columns).unionByName(fresh)
+
+
 def needs_enrichment(clusters: DataFrame, update: bool = False) -> DataFrame:
     return clusters if update else clusters.where(F.coalesce("num_idens", F.lit(0)) == 0)
 

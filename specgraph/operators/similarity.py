@@ -6,13 +6,13 @@ sit exactly on the tolerance would be lost.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specgraph.storage import write
+
 #: Records of a mass bucket that are compared with others as one block.
 BLOCK_ROWS = 1024
 
@@ -143,18 +143,54 @@ def dot_product_edges_block(arrays: DataFrame, index: DataFrame, tolerance: floa
     """The same edges by matrix products of blocks.
 
     ``arrays`` is (node_id, n, norm2, bins, ranks).  A mass bucket is dealt by a hash
-    into blocks of about ``block_rows``; blocks meet others of their bucket and of the
-    next one, so a bucket with a third of all rows becomes many bounded tasks.
+    into blocks of about ``block_rows``, which are shuffled by bucket and part; the list
+    of block pairs (own bucket and the next) is made from the number of parts of a
+    bucket, and rows join it by the blocks' own keys.  So a bucket with a third of all
+    rows becomes many bounded tasks.
     """
     own = arrays.join(index.select("node_id", "mass"), "node_id").withColumn("bucket", _bucket(F.col("mass"), tolerance))
-    sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    dealt = own.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node_id"), F.ceil(F.col("rows") / block_rows)))
-    blocks = dealt.groupBy("bucket", "part").agg(F.collect_list(F.struct(F.col("node_id").alias("id"), "mass", "norm2", "bins", "ranks")).alias("rows"))
-    a = blocks.select("bucket", F.col("part").alias("part_a"), F.col("rows").alias("rows_a"))
-    b = blocks.select(F.col("bucket").alias("bucket_b"), F.col("part").alias("part_b"), F.col("rows").alias("rows_b")).withColumn("bucket", F.explode(F.array(F.col("bucket_b"), F.col("bucket_b") - 1)))
-    met = a.join(b, "bucket").where((F.col("bucket") != F.col("bucket_b")) | (F.col("part_a") <= F.col("part_b")))
-    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("part_a") == F.col("part_b"))
-    return met.select(same.alias("same"), "rows_a", "rows_b").mapInPandas(_compare_blocks(tolerance, threshold), "src long, dst long, dp double")
+    return _block_edges(_blocks(own, block_rows), tolerance, threshold)
+
+
+def _blocks(own: DataFrame, block_rows: int) -> DataFrame:
+    """(bucket, part, parts, rows): records (node_id, mass, norm2, bins, ranks, bucket) packed by block."""
+    sizes = own.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    dealt = own.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node_id"), F.col("parts")))
+    packed = dealt.repartition("bucket", "part").groupBy("bucket", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct(F.col("node_id").alias("id"), "mass", "norm2", "bins", "ranks")).alias("rows"))
+    return write(packed, "blocks").df
+
+
+def _block_pairs(keys: DataFrame, others: DataFrame, same: bool) -> DataFrame:
+    """(bucket, part, bucket_b, part_b) of blocks whose buckets meet; inside ``same`` table each pair of its own bucket once."""
+    parts = others.select("bucket", "parts").distinct()
+    here = parts.select(F.col("bucket").alias("bucket_b"), F.col("parts").alias("parts_b"))
+    at = keys.select("bucket", "part")
+    inside = at.join(here, F.col("bucket") == F.col("bucket_b")).select("bucket", "part", "bucket_b", F.explode(F.sequence(F.col("part") if same else F.lit(0).cast("long"), F.col("parts_b") - 1)).alias("part_b"))
+    steps = [1] if same else [1, -1]
+    for step in steps:
+        beside = at.join(here, F.col("bucket") + step == F.col("bucket_b")).select("bucket", "part", "bucket_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_b") - 1)).alias("part_b"))
+        inside = inside.unionByName(beside)
+    return inside
+
+
+def _block_edges(blocks: DataFrame, tolerance: float, threshold: float, others: DataFrame | None = None) -> DataFrame:
+    """Edges inside ``blocks``, or between them and the blocks of ``others``."""
+    met = _block_pairs(blocks, blocks if others is None else others, others is None)
+    right = (blocks if others is None else others).select(F.col("bucket").alias("bucket_b"), F.col("part").alias("part_b"), F.col("rows").alias("rows_b"))
+    both = met.join(blocks.select("bucket", "part", F.col("rows").alias("rows_a")), ["bucket", "part"]).join(right, ["bucket_b", "part_b"])
+    same = (F.col("bucket") == F.col("bucket_b")) & (F.col("part") == F.col("part_b")) if others is None else F.lit(False)
+    return both.select(same.alias("same"), "rows_a", "rows_b").mapInPandas(_compare_blocks(tolerance, threshold), "src long, dst long, dp double")
+
+
+def edges_between(fresh: DataFrame, known: DataFrame, tolerance: float = 1.1, threshold: float = 0.7, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges between two tables of (node_id, mass, n, norm2, bins, ranks) with different nodes; pairs inside one table aren't looked at.
+
+    Blocks of the second table are made of the buckets that the first one meets only.
+    """
+    bucketed = lambda df: df.withColumn("bucket", _bucket(F.col("mass"), tolerance))
+    own = _blocks(bucketed(fresh), block_rows)
+    reached = own.select(F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
+    return _block_edges(own, tolerance, threshold, _blocks(bucketed(known).join(reached, "bucket", "left_semi"), block_rows))
 
 
 def logistic(delta: Column, dp: Column, coefficients: tuple[float, float, float]) -> Column:
@@ -206,11 +242,3 @@ def ion_matches(a: DataFrame, b: DataFrame) -> DataFrame:
     """Peaks of two tables (node_id, mz) that share a node and a whole-number m/z."""
     cut = lambda df, s: df.select("node_id", F.col("mz").cast("int").alias("ion"), F.col("mz").alias(s))
     return cut(a, "mz_observed").join(cut(b, "mz_expected"), ["node_id", "ion"])
-
-
-def largest_exact_rank() -> int:
-    """The most ranks whose squared length still is an exact float32 whole number."""
-    n = 1
-    while (n + 1) * (n + 2) * (2 * n + 3) // 6 < 1 << 24:
-        n += 1
-    return math.floor(n)

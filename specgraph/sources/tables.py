@@ -33,11 +33,13 @@ def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_identifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two files of identifications for the same scans; the second repeats a third of them with another name."""
+    """Two files of identifications for the same scans, some with modifications; the second repeats a third of them with another name."""
     key = F.col("p_partkey")
     first = read(spark, sf_dir, "part").select(
         F.concat(F.lit("f"), (key % 5).cast("string")).alias("ms_file"), key.alias("native_id"), F.col("p_brand").alias("peptide"), (1 + F.col("p_size") % 3).cast("int").alias("charge"),
         ((key * 37) % 1000 / 1000.0).alias("probability"), (key % 13 == 0).alias("is_decoy"), F.lit(0).alias("iden_file_id"), key.alias("position"),
+        F.when(key % 4 == 0, F.array(F.struct((1 + key % 3).cast("int").alias("pos"), (F.lit(100.5) + key % 2).alias("mass")))).otherwise(F.array().cast("array<struct<pos:int,mass:double>>")).alias("mods"),
+        F.when(key % 6 == 0, 43.5).alias("nterm_mod"), F.when(key % 10 == 0, 17.25).alias("cterm_mod"),
     )
     second = first.where("native_id % 3 = 0").withColumns({"peptide": F.concat("peptide", F.lit("x")), "iden_file_id": F.lit(1), "position": F.col("position") + 1})
     return first.unionByName(second)

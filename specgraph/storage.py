@@ -19,12 +19,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
@@ -47,12 +49,30 @@ class Written:
         fs.delete(hadoop, True)
 
 
+#: Tables written inside the innermost ``scratch`` block.
+_SCRATCH: list[list[Written]] = []
+
+
 def write(df: DataFrame, name: str, codec: str = "zstd") -> Written:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return Written(spark, path, df.schema)
+    out = Written(spark, path, df.schema)
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end; what is to stay must be written elsewhere by then (a stage's output)."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for table in _SCRATCH.pop():
+            table.drop()
 
 
 @contextmanager

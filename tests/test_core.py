@@ -117,7 +117,23 @@ def test_prefix_and_rank_bounds():
         k = similarity.prefix_skip(n, 0.6)
         length = lambda m: m * (m + 1) * (2 * m + 1)
         assert math.sqrt(length(k) / length(n)) <= 0.6 + 1e-12 and (k == n or math.sqrt(length(k + 1) / length(n)) > 0.6)
-    assert similarity.largest_exact_rank() >= 191
+    # The longest records allowed have a squared length that is an exact float32 whole number.
+    assert 191 * 192 * 383 // 6 < 1 << 24
+
+
+def test_edges_of_a_hot_mass_come_from_many_blocks(spark):
+    ranked, index = random_ranked(spark, 9, 90)
+    index = index.withColumn("mass", F.when(F.col("node_id") % 3 > 0, F.lit(101.0)).otherwise(F.col("mass")).cast("float"))
+    arrays = prep.ranked_arrays(ranked)
+    blocks = similarity._blocks(arrays.join(index, "node_id").withColumn("bucket", similarity._bucket(F.col("mass"), 1.1)), 8)
+    assert max(len(r.rows) for r in blocks.collect()) <= 24 and blocks.count() >= 8
+    key = lambda df: sorted((r.src, r.dst) for r in df.collect())
+    whole = key(similarity.dot_product_edges(ranked, index, 1.1, 0.55))
+    assert key(similarity.dot_product_edges_block(arrays, index, 1.1, 0.55, 8)) == whole and whole
+    records = arrays.join(index, "node_id")
+    fresh, known = records.where("node_id >= 60"), records.where("node_id < 60")
+    between = key(similarity.edges_between(fresh, known, 1.1, 0.55, 8))
+    assert between == [(a, b) for a, b in whole if (a >= 60) != (b >= 60)] and between
 
 
 # --- graphs
@@ -249,7 +265,7 @@ def test_peptide_texts(spark):
     got = d.select(peptides.with_masses(*args).alias("a"), peptides.with_integer_masses(*args).alias("b")).collect()
     assert [tuple(r) for r in got] == [("n[43.0]P[97.05]EK[128.1]", "n[43]P[97]EK[128]"), ("Ac[17.5]", "Ac[17]"), ("", "")]
     shown = d.limit(1).select(peptides.display(F.col("p"), F.lit(2), F.lit(0.5), F.lit(True), F.lit("K"), F.lit(None).cast("string")).alias("t")).head()
-    assert shown.t == "DECOY_K.PEK/2 (0.5000)"
+    assert shown.t == "DECOY_K.PEK./2 (0.5)"
     back = spark.createDataFrame([("a:1;b:c:2",), ("",)], "t string").select(peptides.histogram_map(F.col("t")).alias("m")).collect()
     assert [r.m for r in back] == [{"a": 1, "b:c": 2}, {}]
 
@@ -260,7 +276,7 @@ def test_enrichment_and_entropy(spark):
     idens = spark.createDataFrame([("f", 1, "A", 2, 0.9, False), ("f", 2, "A", 2, 0.9, False), ("f", 3, "B", 2, 0.9, False), ("f", 4, "A", 2, 0.9, False), ("f", 5, "C", 1, 0.9, True)], "ms_file string, native_id long, peptide string, charge int, probability double, is_decoy boolean")
     got = {r.cluster_id: r for r in enrich.enrich(member, index, idens).collect()}
     assert (got[1].idens, got[1].major_iden, got[1].num_idens, got[1].iden_ratio, got[1].mass_avg) == ("A/2:2;B/2:1", "A/2", 2, 1.0, 2.0)
-    assert (got[4].idens, got[4].iden_ratio, got[6].num_idens, got[6].major_iden, got[6].iden_ratio) == ("A/2:1", 0.5, 0, None, None)
+    assert (got[4].idens, got[4].iden_ratio, got[6].num_idens, got[6].major_iden, got[6].iden_ratio) == ("A/2:1", 0.5, 0, None, 0.0)
     inside, across = (e.head().entropy for e in enrich.entropies(enrich.named_members(member, index, idens)))
     h = lambda *p: -sum(x * math.log2(x) for x in p)
     assert inside == pytest.approx((3 * h(2 / 3, 1 / 3) + 0) / 4) and across == pytest.approx(3 * h(2 / 3, 1 / 3) / 4)
