@@ -65,6 +65,37 @@ def test_malformed_scans(spark, tmp_path):
     assert mzxml.read(spark, []).count() == 0
 
 
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """Byte ranges of a file go to different tasks; every scan is found once, with its place in the file."""
+    xml, ml = tmp_path / "big.mzXML", tmp_path / "big.mzML"
+    xml.write_text("<mzXML><msRun>é" + "".join(mzxml_scan(k, 1 + (k % 7 > 0), 400.5 + k, 2) + "\n  " for k in range(1, 400)) + "</msRun><index><offset id='1'>9</offset></index></mzXML>")
+    ml.write_text("<mzML><spectrumList>" + "".join(mzml_spectrum(k, 2) + "\n" for k in range(1, 200)) + "</spectrumList></mzML>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for path, reader, want in ((xml, mzxml, [k for k in range(1, 400) if k % 7]), (ml, mzml, list(range(1, 200)))):
+            pieces = spark.read.option("lineSep", "</peaks>").text(str(path))
+            assert pieces.rdd.getNumPartitions() >= 6
+            rows = reader.read(spark, [str(path)]).collect()
+            assert sorted(r.native_id for r in rows) == want
+            raw = path.read_bytes()
+            for r in rows:
+                block = raw[r.start : r.end].decode()
+                assert block.startswith("<s") and (f'num="{r.native_id}"' in block or f'scan={r.native_id}"' in block) and block.count("<s" + block[2:5]) == 1
+            assert xmlscan.raw_block(spark, str(path), rows[5].start, rows[5].end) == raw[rows[5].start : rows[5].end].decode()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_unsorted_peaks(spark, tmp_path):
+    path = tmp_path / "u.mzXML"
+    path.write_text(f"<msRun>{mzxml_scan(1, 2, 400.5, peaks=[PEAKS[1], PEAKS[0], PEAKS[2]])}{mzxml_scan(2, 2, 400.5)}</msRun>")
+    with pytest.raises(Exception, match="aren't in order"):
+        mzxml.read(spark, [str(path)]).collect()
+    rows = {r.native_id: [(p.mz, p.intensity) for p in r.peaks] for r in mzxml.read(spark, [str(path)], "DROPMALFORMED").collect()}
+    assert rows == {1: PEAKS, 2: PEAKS}
+
+
 def test_mzml(spark, tmp_path):
     path = tmp_path / "c.mzML"
     path.write_text("<mzML>" + mzml_spectrum(1, 1) + mzml_spectrum(2, 2, bits=64, packed=True) + mzml_spectrum(3, 2, charge=None) + mzml_spectrum(4, 2, precursors=2) + "</mzML>")
@@ -90,6 +121,27 @@ def test_pepxml(spark, tmp_path):
     assert (rows[1].probability, rows[1].source, rows[1].is_decoy, rows[1].ms_file) == (0.95, "ip", False, "f")
     assert (rows[2].probability, rows[2].source, rows[2].is_decoy, rows[2].nterm_mod) == (0.7, "pp", True, 43.0)
     assert [len(rows[i].mods) for i in (1, 2)] == [1, 2] and rows[1].mods[0].mass == 160.03
+    raw = path.read_text()
+    assert all(f'start_scan="{k}"' in raw[r.l_offset : r.r_offset] for k, r in rows.items())
+
+
+def test_pepxml_files_and_order(spark, tmp_path):
+    """All files in one load; the last row of a scan has the highest position, however the file is cut."""
+    paths = []
+    for i in range(3):
+        paths.append(str(tmp_path / f"x +{i}.pep.xml"))
+        body = "".join(query("f", k % 50, "PEP" + "ACDEFGHIKL"[k // 50], pp="0.9") for k in range(200))
+        (tmp_path / f"x +{i}.pep.xml").write_text(f"<a><b>{body}</b></a>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6k")
+    try:
+        rows = pepxml.read(spark, paths).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 600
+    for i in range(3):
+        own = sorted((r for r in rows if r.iden_file_id == i), key=lambda r: r.position)
+        assert [(r.native_id, r.peptide) for r in own] == [(k % 50, "PEP" + "ACDEFGHIKL"[k // 50]) for k in range(200)]
 
 
 def test_paths():
