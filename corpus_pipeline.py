@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.llm import minhash, packing, pii, quality
-from specgraph.storage import write
+from specgraph.storage import new_path, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = write(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-")).df
+        path = new_path(spark, "stage-" + name.lower().replace(" ", "-"))
+        with scratch():  # what a stage writes for itself goes when its output is there
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
