@@ -1,8 +1,8 @@
-"""Column functions on peak arrays (array<struct<mz:float,intensity:...>>)."""
+"""Column functions on peak arrays (array<struct<mz:float,intensity:...>>), and the same filters on long peaks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,19 @@ def remove_precursor(peaks: Column, mass: Column, charge: Column, lo: float, hi:
     return F.filter(peaks, lambda p: (p["mz"] < (at + F.lit(lo).cast("float"))) | (p["mz"] > (at + F.lit(hi).cast("float"))))
 
 
+def in_range(peaks: DataFrame, lo: float, hi: float) -> DataFrame:
+    """``clip`` on long peaks (mz)."""
+    return peaks if lo == 0 and hi == 0 else peaks.where(F.col("mz").cast("float").between(F.lit(lo).cast("float"), F.lit(hi).cast("float")))
+
+
+def outside_precursor(peaks: DataFrame, lo: float, hi: float, true_mass: bool = False) -> DataFrame:
+    """``remove_precursor`` on long peaks (mz, mass, charge)."""
+    if lo == 0 and hi == 0:
+        return peaks
+    at, mz = precursor_mz(F.col("mass"), F.col("charge"), true_mass), F.col("mz").cast("float")
+    return peaks.where((mz < (at + F.lit(lo).cast("float"))) | (mz > (at + F.lit(hi).cast("float"))))
+
+
 def is_ascending(peaks: Column) -> Column:
     """Strictly ascending in mz: equal neighbours count as unsorted."""
     n = F.size(peaks)

@@ -1,42 +1,53 @@
 """Command line: files to clusters, and clusters to text.
 
-    spark-submit -m specgraph.jobs.cli ROOT FILE... [--config FILE] [--list FILE] [--ignore-errors] [--preparation-only] [--export PATH]
+    spark-submit -m specgraph.jobs.cli ROOT FILE... [--config FILE] [--list FILE] [--ignore-errors] [--preparation-only] [--export PATH] [--export-one CLUSTER PATH]
 """
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgraph.config import Params, parse
 from specgraph.jobs import export
-from specgraph.jobs.engine import Engine
+from specgraph.jobs.engine import STAGES, Engine
 from specgraph.jobs.ingest import gather, ingest
 from specgraph.operators import clusters, enrich
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="specgraph", description="Cluster spectra by rank dot products.")
-    p.add_argument("root", help="folder of the run; a finished stage found there is reused")
+    p.add_argument("root", help="folder of the run; a finished stage found there is reused if files and parameters are the same")
     p.add_argument("files", nargs="*", help="mzXML, mzML and pepXML files, or folders that hold them")
     p.add_argument("--list", help="file with one path on each line")
     p.add_argument("--config", help="file of key = value lines")
     p.add_argument("--ignore-errors", action="store_true", help="skip scans and files that can't be read")
     p.add_argument("--preparation-only", action="store_true", help="stop before similarities")
     p.add_argument("--export", help="folder for the text of all clusters")
+    p.add_argument("--export-one", nargs=2, metavar=("CLUSTER", "FOLDER"), help="add the text of one cluster to a folder")
     return p.parse_args(argv)
 
 
-def export_all(run: Engine, path: str) -> None:
+def exported(run: Engine) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, nodes, edges) of a run as the export takes them."""
     member, index = run.stage("refined"), run.stage("index")
     inside = clusters.inner_edges(run.stage("edges"), member)
-    usable = enrich.dedup_identifications(enrich.filter_identifications(run.inputs["idens"], run.params.iden_prob_threshold, run.params.iden_include_decoy))
-    nodes = enrich.named_members(member, index, usable).drop("mass").join(index, "node_id")
+    nodes = enrich.named_members(member, index, run.stage("idens")).drop("mass").join(index, "node_id")
     edges = inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges"))
-    summary = run.stage("enriched").join(edges, "cluster_id", "left")
-    export.write_lines(export.cluster_lines(summary, nodes, inside), path)
+    return run.stage("enriched").join(edges, "cluster_id", "left"), nodes, inside
+
+
+def export_all(run: Engine, path: str) -> None:
+    export.write_lines(export.cluster_lines(*exported(run)), path)
+
+
+def export_one(run: Engine, path: str, cluster_id: int) -> None:
+    """One cluster's text, added to a folder that may hold others; an unknown cluster is an error."""
+    if not clusters.exists(run.stage("refined"), cluster_id):
+        raise ValueError(f"cluster {cluster_id} doesn't exist")
+    export.append_lines(export.cluster_lines(*(t.where(F.col("cluster_id") == cluster_id) for t in exported(run))), path)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Engine:
@@ -45,12 +56,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
     text = lambda path: "\n".join(r.value for r in spark.read.text(path).collect()) if path else ""
     params = parse(text(args.config)) if args.config else Params()
     files = gather(spark, args.files, text(args.list), args.ignore_errors)
-    found = ingest(spark, files, params, "DROPMALFORMED" if args.ignore_errors else "FAILFAST")
-    run = Engine(spark, args.root, found.index, found.peaks, found.idens, params)
-    for stage in ("index", "ranked") if args.preparation_only else ("index", "ranked", "edges", "members", "refined", "enriched"):
+
+    def source():
+        found = ingest(spark, files, "DROPMALFORMED" if args.ignore_errors else "FAILFAST")
+        return found.index, found.peaks, found.idens
+
+    run = Engine(spark, args.root, params=params, renumber=True, source=source, label=sorted(p for own in files.values() for p in own))
+    run.load()
+    for stage in ("index", "ranked") if args.preparation_only else STAGES:
         run.stage(stage)
+    run.save()
     if args.export and not args.preparation_only:
         export_all(run, args.export)
+    if args.export_one and not args.preparation_only:
+        export_one(run, args.export_one[1], int(args.export_one[0]))
     return run
 
 

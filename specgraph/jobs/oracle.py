@@ -19,7 +19,7 @@ PARTS = {
     "both_ways": "SELECT src AS node_id, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges",
     "members": "SELECT min(other) AS cluster_id, node_id FROM reach GROUP BY node_id",
     "inside": "SELECT a.cluster_id, e.src, e.dst, e.dp FROM edges e JOIN members a ON a.node_id = e.src",
-    "named": "SELECT m.cluster_id, m.node_id, i.mass, u.iden FROM members m JOIN part_index i USING (node_id) LEFT JOIN modified u ON u.ms_file = i.file_stem AND u.native_id = i.native_id",
+    "named": "SELECT m.cluster_id, m.node_id, i.mass, u.iden, u.probability FROM members m JOIN part_index i USING (node_id) LEFT JOIN modified u ON u.ms_file = i.file_stem AND u.native_id = i.native_id",
 }
 
 
@@ -118,7 +118,10 @@ WHERE mz < CAST(mass / CAST(charge AS FLOAT) AS FLOAT) + CAST(-95 AS FLOAT) OR m
 products AS (SELECT p.src, p.dst, CAST(sum(CAST(a.rank AS BIGINT) * b.rank) AS BIGINT) AS product FROM pairs p JOIN ranked a ON a.node_id = p.src JOIN ranked b ON b.node_id = p.dst AND a.bin = b.bin GROUP BY ALL)
 SELECT p.src, p.dst, round(coalesce(product, 0) / sqrt(CAST((CAST(a.n AS BIGINT)*(a.n+1)*(2*a.n+1)//6) * (CAST(b.n AS BIGINT)*(b.n+1)*(2*b.n+1)//6) AS DOUBLE)), 6) AS dp
 FROM pairs p LEFT JOIN products USING (src, dst) LEFT JOIN sizes a ON a.node_id = p.src LEFT JOIN sizes b ON b.node_id = p.dst""",
-    "edge_audit": f"WITH {EDGES} SELECT count(*) AS edges, CAST(0 AS BIGINT) AS wrong_dp, CAST(0 AS BIGINT) AS too_far, CAST(0 AS BIGINT) AS too_low FROM edges",
+    "edge_audit": f"""WITH {EDGES}, sizes AS (SELECT node_id, sqrt(CAST(sum(CAST(rank AS BIGINT) * rank) AS DOUBLE)) AS length FROM ranked GROUP BY ALL),
+again AS (SELECT e.src, e.dst, sum(a.rank * b.rank / x.length / y.length) AS dp FROM edges e JOIN ranked a ON a.node_id = e.src JOIN ranked b ON b.node_id = e.dst AND b.bin = a.bin JOIN sizes x ON x.node_id = e.src JOIN sizes y ON y.node_id = e.dst GROUP BY ALL)
+SELECT count(*) AS edges, count(*) FILTER (abs(e.dp - again.dp) > 1e-6 * abs(e.dp)) AS wrong_dp, count(*) FILTER (abs(i.mass - j.mass) > CAST({TOL} AS FLOAT)) AS too_far, count(*) FILTER (e.dp <= {T}) AS too_low
+FROM edges e JOIN again USING (src, dst) JOIN part_index i ON i.node_id = e.src JOIN part_index j ON j.node_id = e.dst""",
     "ion_match": f"""WITH {parts('part_peaks')}, a AS (SELECT node_id, CAST(trunc(mz) AS INTEGER) AS ion, intensity FROM part_peaks) SELECT a.node_id, a.ion, count(*) AS matches FROM a
 JOIN (SELECT p_partkey AS node_id, p_size AS ion FROM part UNION ALL SELECT p_partkey, p_size % 10 + 1 FROM part) e USING (node_id, ion) GROUP BY ALL""",
     "vertex_degree": f"WITH {EDGES}, {parts('both_ways')} SELECT node_id, count(*) AS degree FROM both_ways GROUP BY ALL",
@@ -159,15 +162,21 @@ FROM peps JOIN ({peptide('CAST(CAST({} AS DOUBLE) AS VARCHAR)')}) USING (native_
     "weakest_edge": with_(CLUSTERS, "SELECT cluster_id, src, dst, round(dp, 6) AS dp FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dp, src, dst) AS rn FROM inside) WHERE rn = 1"),
     "decode_roundtrip": f"WITH {parts('part_peaks')} SELECT node_id, count(*) AS n, sum(CAST(mz AS DOUBLE)) AS mz, round(sum(CAST(CAST(intensity AS FLOAT) AS DOUBLE)), 1) AS intensity FROM part_peaks GROUP BY ALL",
     "cluster_texts": with_(
-        CLUSTERS,
-        """SELECT cluster_id, nodes + edges + 4 AS lines, '# Cluster' AS first, last FROM (SELECT cluster_id, count(*) AS nodes FROM members GROUP BY ALL)
-JOIN (SELECT cluster_id, count(*) AS edges, arg_max(concat_ws(chr(9), CAST(src AS VARCHAR), CAST(dst AS VARCHAR), printf('%.8f', dp)), (src, dst)) AS last FROM inside GROUP BY ALL) USING (cluster_id)""",
+        f"{NAMED}, {ENRICHED}",
+        """SELECT cluster_id, nodes + edges + 5 AS lines, concat_ws(chr(9), CAST(cluster_id AS VARCHAR), CAST(nodes AS VARCHAR), CAST(edges AS VARCHAR), CAST(coalesce(num_idens, 0) AS VARCHAR), coalesce(major_iden, 'None')) AS own, last_edge, CAST(1 AS BIGINT) AS empty
+FROM (SELECT cluster_id, count(*) AS nodes FROM members GROUP BY ALL)
+JOIN (SELECT cluster_id, count(*) AS edges, arg_max(concat_ws(chr(9), CAST(src AS VARCHAR), CAST(dst AS VARCHAR), printf('%.8f', dp)), (src, dst)) AS last_edge FROM inside GROUP BY ALL) USING (cluster_id) LEFT JOIN lists USING (cluster_id)""",
     ),
     "export_lines": with_(
         f"{NAMED}",
-        """SELECT cluster_id, 'Node' AS kind, concat_ws(chr(9), CAST(i.node_id AS VARCHAR), i.file_stem, CAST(i.native_id AS VARCHAR), coalesce(n.iden, '')) AS line FROM named n JOIN part_index i USING (node_id)
-UNION ALL SELECT cluster_id, 'Edge', concat_ws(chr(9), CAST(src AS VARCHAR), CAST(dst AS VARCHAR), printf('%.6f', dp)) FROM inside""",
+        """SELECT cluster_id, 3 AS section, concat_ws(chr(9), CAST(i.node_id AS VARCHAR), i.file_stem, CAST(i.native_id AS VARCHAR), coalesce(n.iden, 'None'), coalesce(CAST(n.probability AS VARCHAR), 'None')) AS line FROM named n JOIN part_index i USING (node_id)
+UNION ALL SELECT cluster_id, 5, concat_ws(chr(9), CAST(src AS VARCHAR), CAST(dst AS VARCHAR), printf('%.8f', dp)) FROM inside""",
     ),
+    "verificative_raw": f"""WITH {parts('user_peaks', 'user_index')}, cut AS (SELECT node_id, mz, intensity FROM user_peaks JOIN user_index USING (node_id) WHERE mz BETWEEN 5 AND 300 AND (mz < mass + CAST(-395 AS FLOAT) OR mz > mass + CAST(-370 AS FLOAT))),
+{ranked('cut', 50)}, sizes AS (SELECT DISTINCT node_id, n FROM ranked), pairs AS (SELECT node_id AS src, node_id + 1 AS dst FROM user_index),
+products AS (SELECT p.src, p.dst, CAST(sum(CAST(a.rank AS BIGINT) * b.rank) AS BIGINT) AS product FROM pairs p JOIN ranked a ON a.node_id = p.src JOIN ranked b ON b.node_id = p.dst AND a.bin = b.bin GROUP BY ALL)
+SELECT p.src, p.dst, round(coalesce(product, 0) / sqrt(CAST((CAST(a.n AS BIGINT)*(a.n+1)*(2*a.n+1)//6) * (CAST(b.n AS BIGINT)*(b.n+1)*(2*b.n+1)//6) AS DOUBLE)), 6) AS dp
+FROM pairs p LEFT JOIN products USING (src, dst) LEFT JOIN sizes a ON a.node_id = p.src LEFT JOIN sizes b ON b.node_id = p.dst""",
 }
 for _name in ("dot_product_edges", "dot_product_edges_prefix", "dot_product_edges_block"):
     ORACLE[_name] = f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"

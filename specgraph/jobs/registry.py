@@ -202,6 +202,13 @@ def verificative_pair(spark, sf_dir):
     return rounded(similarity.pair_dot_products(write(part_ranked(spark, sf_dir), "ranked").df, pairs), "dp")
 
 
+@query
+def verificative_raw(spark, sf_dir):
+    """Pairs of neighbouring users verified from their raw peaks: clip, removal around the precursor, ranks, product."""
+    pairs = tables.user_index(spark, sf_dir).select(F.col("node_id").alias("src"), (F.col("node_id") + 1).alias("dst"))
+    return rounded(similarity.verified(tables.user_peaks(spark, sf_dir), tables.user_index(spark, sf_dir), pairs, (5, 300), (-395.0, -370.0), 50, LEAST), "dp")
+
+
 @query
 def edge_audit(spark, sf_dir):
     ranked = write(part_ranked(spark, sf_dir), "ranked").df
@@ -387,15 +394,20 @@ def peptide_entropy(spark, sf_dir):
     return rounded(enrich.entropies(_named(spark, sf_dir))[1], "entropy")
 
 
-@query
-def export_lines(spark, sf_dir):
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the export of all part clusters."""
     edges, member = part_clusters(spark, sf_dir)
     index = tables.part_index(spark, sf_dir)
-    named = enrich.named_members(member, index, usable(spark, sf_dir)).select("cluster_id", "node_id", "iden")
-    text = lambda *c: F.concat_ws("\t", *[F.col(x).cast("string") for x in c])
-    nodes = named.withColumn("iden", F.coalesce("iden", F.lit(""))).join(index.select("node_id", "file_stem", "native_id"), "node_id").select("cluster_id", F.lit("Node").alias("kind"), text("node_id", "file_stem", "native_id", "iden").alias("line"))
-    ties = clusters.inner_edges(edges, member).withColumn("dp", F.format_string("%.6f", "dp")).select("cluster_id", F.lit("Edge").alias("kind"), text("src", "dst", "dp").alias("line"))
-    return nodes.union(ties)
+    nodes = enrich.named_members(member, index, usable(spark, sf_dir)).drop("mass").join(index, "node_id")
+    inside = clusters.inner_edges(edges, member)
+    summary = enrich.enrich(member, index, usable(spark, sf_dir)).join(inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges")), "cluster_id")
+    return export.cluster_lines(summary, nodes, inside)
+
+
+@query
+def export_lines(spark, sf_dir):
+    """The exported lines of all nodes and edges."""
+    return _lines(spark, sf_dir).where(F.col("place.section").isin(export.NODE, export.EDGE)).select("cluster_id", F.col("place.section").alias("section"), "line")
 
 
 @query
@@ -409,11 +421,8 @@ def decode_roundtrip(spark, sf_dir):
 
 @query
 def cluster_texts(spark, sf_dir):
-    """The exported text of every cluster, as its length in lines and its first lines' fields."""
-    edges, member = part_clusters(spark, sf_dir)
-    index = tables.part_index(spark, sf_dir)
-    nodes = enrich.named_members(member, index, usable(spark, sf_dir)).drop("mass").join(index, "node_id")
-    inside = clusters.inner_edges(edges, member)
-    summary = enrich.enrich(member, index, usable(spark, sf_dir)).join(inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges")), "cluster_id")
-    lines = export.cluster_lines(summary, nodes, inside)
-    return lines.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("lines"), F.min_by("line", "place").alias("first"), F.max_by("line", "place").alias("last"))
+    """The exported text of every cluster: its number of lines, the first fields of its own line, its last edge."""
+    own, edge = F.col("place.section") == export.OWN, F.col("place.section") == export.EDGE
+    return _lines(spark, sf_dir).groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.max(F.when(own, F.substring_index("line", "\t", 5))).alias("own"), F.max_by(F.when(edge, F.col("line")), F.when(edge, F.col("place"))).alias("last_edge"), F.count_if(F.col("line") == "").alias("empty")
+    )

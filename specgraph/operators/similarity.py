@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specgraph.functions.peaks import in_range, outside_precursor
+from specgraph.operators.preprocess import rank_transform
 from specgraph.storage import write
 
 #: Records of a mass bucket that are compared with others as one block.
@@ -225,6 +227,14 @@ def pair_dot_products(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("src", "dst", (F.coalesce("product", F.lit(0)) / F.sqrt((F.col("n2_a") * F.col("n2_b")).cast("double"))).alias("dp"))
 
 
+def verified(peaks: DataFrame, index: DataFrame, pairs: DataFrame, mz_range: tuple, removal: tuple, num_peaks: int = 50, min_bins: int = 10, bins_per_th: int = 1, true_mass: bool = False) -> DataFrame:
+    """(src, dst, dp) of stated pairs from raw long peaks: clip, removal around the precursor, ranks, product; only the pairs' records are ranked."""
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    raw = peaks.join(wanted, "node_id", "left_semi").join(index.select("node_id", "mass", "charge"), "node_id")
+    kept = outside_precursor(in_range(raw, *mz_range), *removal, true_mass).select("node_id", "mz", "intensity")
+    return pair_dot_products(write(rank_transform(kept, num_peaks, min_bins, bins_per_th), "ranked").df, pairs)
+
+
 def edge_audit(edges: DataFrame, ranked: DataFrame, index: DataFrame, tolerance: float, threshold: float, relative: float = 1e-6) -> DataFrame:
     """One row of counts over all edges: edges, wrong dot products, masses too far apart, scores not above the threshold."""
     again = pair_dot_products(ranked, edges.select("src", "dst")).withColumnRenamed("dp", "dp_again")

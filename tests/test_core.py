@@ -1,6 +1,7 @@
 """Parameters, column functions, similarity, clusters, refinement, enrichment, export, engine, streaming."""
 
 import math
+from dataclasses import replace
 import random
 
 import numpy as np
@@ -293,28 +294,37 @@ def test_modified_peptides_count_apart(spark):
     assert (got.idens, got.num_idens, got.major_iden, got.iden_ratio) == ("PEPM[147]/2:2;PEPM/2:1;n[43]PEPMc[17]/2:1", 3, "PEPM[147]/2", 0.8)
 
 
-def test_export_text(spark, tmp_path):
-    c = spark.createDataFrame([(1, 2, 1, 1, "A/2", 0.5)], "cluster_id long, num_nodes long, num_edges long, num_idens int, major_iden string, iden_ratio double")
-    n = spark.createDataFrame([(1, 2, 5.0, "g", 1, None, None), (1, 1, 4.0, "f", 9, "A/2", 0.9)], "cluster_id long, node_id long, mass float, file_stem string, native_id long, iden string, probability double")
-    e = spark.createDataFrame([(1, 1, 2, 0.75)], "cluster_id long, src long, dst long, dp double")
-    text = export.cluster_text(c, n, e)
-    want = "# Cluster\n1\t2\t1\t1\tA/2\t0.5\n# Nodes\n1\t4.0\tf\t9\tA/2\t0.9\n2\t5.0\tg\t1\t\t\n# Edges\n1\t2\t0.75000000"
-    assert text.head().text == want
-    export.write_text(text, str(tmp_path / "out"), one_file=True)
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted((export.header() + "\n" + want).split("\n"))
-
-
-def test_export_lines_are_rows(spark, tmp_path):
-    c = spark.createDataFrame([(1, 2, 1, 1, "A/2", 0.5)], "cluster_id long, num_nodes long, num_edges long, num_idens int, major_iden string, iden_ratio double")
-    n = spark.createDataFrame([(1, 2, 5.0, "g", 1, None, None), (1, 1, 4.0, "f", 9, "A/2", 0.9), (7, 3, 4.0, "f", 9, None, None)], "cluster_id long, node_id long, mass float, file_stem string, native_id long, iden string, probability double")
+def test_export_layout(spark, tmp_path):
+    c = spark.createDataFrame([(1, 2, 1, 1, "A/2", 0.5, 4.5), (5, 2, 0, 0, None, 0.0, 4.0)], "cluster_id long, num_nodes long, num_edges long, num_idens int, major_iden string, iden_ratio double, mass_avg double")
+    n = spark.createDataFrame([(1, 2, "g", 1, None, None), (1, 1, "f", 9, "A/2", 0.9), (7, 3, "f", 9, None, None), (5, 8, "f", 10, None, None)], "cluster_id long, node_id long, file_stem string, native_id long, iden string, probability double")
     e = spark.createDataFrame([(1, 1, 2, 0.75)], "cluster_id long, src long, dst long, dp double")
     lines = export.cluster_lines(c, n, e)
-    want = "# Cluster\n1\t2\t1\t1\tA/2\t0.5\n# Nodes\n1\t4.0\tf\t9\tA/2\t0.9\n2\t5.0\tg\t1\t\t\n# Edges\n1\t2\t0.75000000"
-    assert [r.line for r in lines.orderBy("cluster_id", "place").collect()] == want.split("\n")
+    one = "# Cluster\n1\t2\t1\t1\tA/2\t0.5\t4.5\n# Nodes\n1\tf\t9\tA/2\t0.9\n2\tg\t1\tNone\tNone\n# Edges\n1\t2\t0.75000000\n\n"
+    two = "# Cluster\n5\t2\t0\t0\tNone\t0.0\t4.0\n# Nodes\n8\tf\t10\tNone\tNone\n# Edges\n\n"
+    assert "".join(r.line + "\n" for r in lines.orderBy("cluster_id", "place").collect()) == one + two
+    head = "# Columns\n# Cluster\nID\tNum of nodes\tNum of edges\tNum of identifications\tMajor identification\tIdentified ratio\tAverage precursor mass\n# Nodes\nID\tFile\tScan num\tIdentification\tProbability\n# Edges\nID of source\tID of target\tDot product\n\n# Clusters\n"
+    text = lambda folder: "".join(f.read_text() for f in sorted(folder.glob("part-*")))
     export.write_lines(lines, str(tmp_path / "out"))
-    files = sorted((tmp_path / "out").glob("part-*"))
-    assert "".join(f.read_text() for f in files) == export.header() + "\n" + want + "\n"
-
+    assert text(tmp_path / "out") == head + one + two
+    for k in (5, 1):
+        export.append_lines(lines.where(F.col("cluster_id") == k), str(tmp_path / "some"))
+    got = text(tmp_path / "some")
+    assert head in got and one in got and two in got and len(got) == len(head + one + two)
+
+
+def test_stored_identifications_and_updates(spark):
+    idens = spark.createDataFrame([("f", 1, "A", 2, 0.95, False, 0, 1), ("f", 1, "B", 2, 0.99, False, 0, 2), ("f", 1, "C", 2, 0.99, False, 1, 9), ("f", 2, "D", 3, 0.5, False, 0, 3), ("f", 3, "E", 3, 0.97, True, 0, 4)], "ms_file string, native_id long, peptide string, charge int, probability double, is_decoy boolean, iden_file_id int, position long")
+    kept = enrich.stored_identifications(idens, spark)
+    assert [(r.native_id, r.peptide, r.mods) for r in kept.collect()] == [(1, "B", None)]
+    assert enrich.stored_identifications(None, spark).count() == 0 and enrich.stored_identifications(None, spark).columns == kept.columns
+    member = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "cluster_id long, node_id long")
+    index = spark.createDataFrame([(i, float(i), "f", i) for i in (1, 2, 3)], "node_id long, mass float, file_stem string, native_id long")
+    first = enrich.enrich(member, index, kept)
+    later = enrich.stored_identifications(idens.withColumn("peptide", F.lit("Z")), spark, 0.1, True).withColumn("is_decoy", F.lit(False))
+    major = lambda df: {r.cluster_id: r.major_iden for r in df.collect()}
+    assert major(first) == {1: "B/2", 3: None}
+    assert major(enrich.update_enrichment(first, member, index, later)) == {1: "B/2", 3: "Z/3"}
+    assert major(enrich.update_enrichment(first, member, index, later, update=True)) == {1: "Z/2", 3: "Z/3"}
 
 
 # --- runs
@@ -333,8 +343,24 @@ def test_engine_reuses_stages(spark, tmp_path):
     again = engine.Engine(spark, str(tmp_path / "a"), index, peaks, idens, params).load()
     assert again.manifest["stages"] == before
     fork = run.fork(str(tmp_path / "b"), config.Params(num_peaks=12, dp_threshold=0.7))
-    assert set(fork.manifest["stages"]) == {"index", "ranked"}
+    assert set(fork.manifest["stages"]) == {"index", "ranked", "idens"}
     assert fork.stage("edges").count() < run.stage("edges").count()
+    # A parameter of a stage runs it and what follows from it again, and changes its rows.
+    assert set(run.fork(str(tmp_path / "c"), replace(params, mz_range=(5, 300))).manifest["stages"]) == {"index", "idens"}
+    other = run.fork(str(tmp_path / "d"), replace(params, mz_range=(5, 18), min_bins=3))
+    assert max(max(r.bins) for r in other.stage("ranked").collect()) == 18 < max(max(r.bins) for r in run.stage("ranked").collect())
+    near = run.fork(str(tmp_path / "e"), replace(params, removal_range=(-200.0, -88.0), min_bins=3))
+    assert min(min(r.bins) for r in near.stage("ranked").collect()) >= 12
+    assert run.fork(str(tmp_path / "f"), replace(params, min_scan_peaks=1000)).stage("index").count() == 0
+    assert run.fork(str(tmp_path / "g"), replace(params, true_precursor_mass=True)).stage("index").count() == 40
+    # Only what was asked for is there, and it is reused by itself; another run in the same folder takes it over.
+    lone = engine.Engine(spark, str(tmp_path / "h"), index, peaks, None, params)
+    lone.stage("ranked")
+    assert set(lone.fork(str(tmp_path / "i"), params).manifest["stages"]) == {"index", "ranked"}
+    assert lone.stage("enriched").agg({"num_idens": "sum"}).head()[0] == 0
+    again = engine.Engine(spark, str(tmp_path / "h"), params=params).load()
+    assert again.stage("enriched").count() == lone.stage("enriched").count() and again._inputs is None
+    assert "ranked" not in engine.Engine(spark, str(tmp_path / "h"), params=params, label=["other"]).load().manifest["stages"]
     run.views("t_")
     assert spark.sql("select count(*) c from t_edges").head().c == run.stage("edges").count()
     nodes, edges = run.cluster(run.stage("members").head().cluster_id)

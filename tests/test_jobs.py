@@ -44,9 +44,19 @@ def test_command_line(spark, folder, tmp_path):
     rows = run.stage("enriched").collect()
     assert [(r.num_nodes, r.num_idens, r.major_iden) for r in rows] == [(3, 1, "PEPK/2")]
     lines = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
-    assert lines.count("# Cluster") == 1 and sum("PEPK/2" in x for x in lines) == 3 and "# Edges" in lines
+    assert lines.count("# Cluster") == 2 and sum("PEPK/2" in x for x in lines) == 3 and "# Edges" in lines
     index = {(r.file_stem, r.native_id): r.node_id for r in run.stage("index").collect()}
     assert index == {("a", 1): 0, ("a", 2): 1, ("b", 9): 2, ("a", 3): 3}
+    # Again: nothing is read or computed anew; one cluster can be exported by itself.
+    cluster = str(rows[0].cluster_id)
+    again = cli.main([str(tmp_path / "run"), str(folder), "--config", f"{folder}/run.conf", "--export-one", cluster, str(tmp_path / "one")], spark)
+    assert again.manifest["stages"] == run.manifest["stages"] and again._inputs is None
+    assert [r.value for r in spark.read.text(str(tmp_path / "one")).collect()].count("# Cluster") == 2  # one in the header
+    with pytest.raises(ValueError, match="doesn't exist"):
+        cli.export_one(again, str(tmp_path / "one"), 12345)
+    (folder / "run.conf").write_text("removal_range = (0, 0)\nmin_scan_peaks = 1\n")
+    more = cli.main([str(tmp_path / "run"), str(folder), "--config", f"{folder}/run.conf"], spark)
+    assert more.stage("index").count() == 5 and more.manifest["stages"]["idens"] == run.manifest["stages"]["idens"]
 
 
 def test_preparation_only_and_bad_files(spark, folder, tmp_path):
