@@ -2,8 +2,10 @@
 
 A page is read once, tag by tag; block-level tags cut its text into blocks.
 Containers that hold no article text by their name (navigation, page header and
-footer, sidebars, forms, scripts, adverts, notices, reader comments) are left
-out.  Then
+footer, sidebars, scripts, adverts, notices, reader comments) are left out.  A
+form, or a container whose name also speaks of the page's layout, is left out
+unless it holds most of the page's text (a page wrapped in one form, a layout
+named after its sidebar).  Then
 
 * pass 1 decides each block by its link density, its length and its density of
   stop words, or leaves it open when it is short.  Article and main elements are
@@ -54,7 +56,7 @@ STOP_WORDS = frozenset(
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math canvas iframe object audio video textarea title xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form button select menu dialog datalist".split())
+DROPPED = frozenset("head nav footer aside button select menu dialog datalist".split())
 REGION = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = (
@@ -83,6 +85,13 @@ NAME_WORDS = frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 LAYOUT_WORDS = frozenset("has with no without is js enabled open".split())
+# Words in names of containers that may wrap a whole page.
+SCOPE_WORDS = frozenset("layout content page wrap wrapper container main body site outer inner holder".split())
+# Of the words above, those that such names may have for what stands beside the text.
+BESIDE_WORDS = frozenset("banner modal notice overlay popup rail sidebar toolbar widget widgets".split())
+#: Share of the page's text from which such a container, or a form, is the page rather than an aside.
+MOST = 2 / 3
+NO, OUT, DOUBTFUL = 0, 1, 2
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -92,42 +101,63 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b", re.I)
 
 
-def _named_aside(value: str, in_region: bool) -> bool:
+def _named_aside(value: str, in_region: bool) -> int:
     """Does a class name or id say so?  Inside an article a header is the article's own."""
+    found = NO
     for name in value.split():
         parts = [p.lower() for p in NAME_PART.findall(name)]
-        if parts and parts[0] not in LAYOUT_WORDS and not NAME_WORDS.isdisjoint(p for p in parts if not (in_region and p == "header")):
-            return True
-    return False
+        # What follows "with" and the like says what a container has, not what it is.
+        parts = parts[: next((i for i, p in enumerate(parts) if p in LAYOUT_WORDS), len(parts))]
+        aside = {p for p in parts if p in NAME_WORDS and not (in_region and p == "header")}
+        if aside and (SCOPE_WORDS.isdisjoint(parts) or not aside <= BESIDE_WORDS):
+            return OUT
+        found = DOUBTFUL if aside else found
+    return found
 
 
-def _left_out(tag: str, attributes: str, in_region: bool) -> bool:
+def _left_out(tag: str, attributes: str, in_region: bool) -> int:
     """Does the element hold no article text?"""
     if tag in DROPPED or (tag == "header" and not in_region):
-        return True
+        return OUT
+    doubtful = DOUBTFUL if tag == "form" else NO
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return doubtful
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return True
+        return OUT
     if found.get("role", "").lower() in ROLES:
-        return True
-    return any(_named_aside(unescape(found.get(k, "")), in_region) for k in ("class", "id"))
+        return OUT
+    named = [_named_aside(unescape(found.get(k, "")), in_region) for k in ("class", "id")]
+    return OUT if OUT in named else max(*named, doubtful)
 
 
 class Block:
-    __slots__ = ("text", "linked", "heading", "region")
+    __slots__ = ("text", "linked", "heading", "region", "doubts")
 
-    def __init__(self, text: str, linked: int, heading: bool, region: bool):
-        self.text, self.linked, self.heading, self.region = text, linked, heading, region
+    def __init__(self, text: str, linked: int, heading: bool, region: bool, doubts: tuple[int, ...] = ()):
+        self.text, self.linked, self.heading, self.region, self.doubts = text, linked, heading, region, doubts
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks of text outside the containers that are left out, in page order."""
+    found = all_blocks(html)
+    if not any(b.doubts for b in found):
+        return found
+    sizes: dict[int, int] = {}
+    for b in found:
+        for d in b.doubts:
+            sizes[d] = sizes.get(d, 0) + len(b.text)
+    whole = sum(len(b.text) for b in found)
+    return [b for b in found if all(sizes[d] >= MOST * whole for d in b.doubts)]
+
+
+def all_blocks(html: str) -> list[Block]:
+    """Blocks with the numbers of the doubtful containers around them."""
     out: list[Block] = []
     stack: list[str] = []
     text: list[str] = []
-    linked = out_at = region = links = paragraphs = 0
+    doubts: list[tuple[int, int]] = []  # depth and number of the doubtful containers that are open
+    linked = out_at = region = links = paragraphs = numbered = 0
     heading, breaks, at, end = False, 0, 0, len(html)
 
     def flush() -> None:
@@ -135,7 +165,7 @@ def blocks(html: str) -> list[Block]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, min(linked, len(joined)), heading, region > 0))
+                out.append(Block(joined, min(linked, len(joined)), heading, region > 0, tuple(d for _, d in doubts)))
         text, linked, heading = [], 0, False
 
     def pop(depth: int) -> None:
@@ -147,6 +177,8 @@ def blocks(html: str) -> list[Block]:
             paragraphs -= gone == "p"
         if out_at > depth:
             out_at = 0
+        while doubts and doubts[-1][0] > depth:
+            doubts.pop()
 
     while at < end:
         k = html.find("<", at)
@@ -224,10 +256,15 @@ def blocks(html: str) -> list[Block]:
         links += tag == "a"
         paragraphs += tag == "p"
         if not out_at:
-            if _left_out(tag, attributes, region > 0):
+            left_out = _left_out(tag, attributes, region > 0)
+            if left_out == OUT:
                 flush()
                 out_at = len(stack)
-            elif tag in HEADINGS:
+            elif left_out == DOUBTFUL:
+                flush()
+                numbered += 1
+                doubts.append((len(stack), numbered))
+            if tag in HEADINGS:
                 heading = True
     flush()
     return out
@@ -240,7 +277,7 @@ def stop_density(text: str) -> float:
 
 def _evidence(b: Block) -> int:
     """The label of a block by its own links, length and stop words, wherever it stands."""
-    if COPYRIGHT.search(b.text) or b.linked > LINKS_HIGH * len(b.text):
+    if b.linked > LINKS_HIGH * len(b.text) or (len(b.text) < LONG and COPYRIGHT.search(b.text)):
         return BAD
     if len(b.text) < SHORT:
         return BAD if b.linked else OPEN

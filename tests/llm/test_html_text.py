@@ -1,7 +1,10 @@
 """Main text of pages: markup cases, left-out containers, the two passes, odd input."""
 
+import re
+
 import pytest
 
+from specgraph.llm import html_text as H
 from specgraph.llm.html_text import BAD, GOOD, OPEN, Block, extract, first_pass, main_text, second_pass
 
 LONG = "The cat sat on the mat and it was very happy there because the sun had come out and all of the birds were in the trees. " * 2
@@ -79,3 +82,81 @@ def test_region_is_only_a_prior():
     assert main_text(f"<article><p>{PARA}</p><div class=box7>{advert}</div><p>{PARA}</p></article>") == f"{PARA}\n{PARA}"
     outside = f"<main><p>{PARA}</p><p>{PARA}</p></main><div><p>{PARA}</p></div><div>Contact Imprint</div>"
     assert main_text(outside) == "\n".join([PARA] * 3)
+
+
+def test_containers_that_wrap_the_page():
+    page = f"<p>{PARA}</p><p>{PARA}</p>"
+    for name in ("layout-sidebar-right", "content-with-comments", "page-banner-wrap"):
+        assert main_text(f"<nav>n</nav><div class={name}>{page}<div class=comments><p>First! {PARA}</p></div></div>") == f"{PARA}\n{PARA}"
+    assert main_text(f"<form action=x>{page}<select><option>a</select><button>Go</button></form>") == f"{PARA}\n{PARA}"
+    assert main_text(f"{page}<form><p>Your mail address</p></form><div class=page-banner><p>Buy this now, only today.</p></div>") == f"{PARA}\n{PARA}"
+    assert main_text(f"<p>{PARA}</p><div class=page-comments>{page * 5}</div>") == PARA
+
+
+def test_copyright_is_a_short_line():
+    law = "The law of copyright protects authors, and this is what it is for: " + PARA
+    assert main_text(f"<div><p>{law}</p><p>{PARA}</p><p>Photo: (c) 2020 Agency</p><p>Copyright Example Ltd.</p></div>") == f"{law}\n{PARA}"
+
+
+def plain_labels(found):
+    """The two passes written down again, block by block, from their description."""
+    def evidence(b):
+        words = b.text.lower().split()
+        density = sum(w.strip(".,;:!?\"'()") in H.STOP_WORDS for w in words) / len(words)
+        n, link_share = len(b.text), b.linked / len(b.text)
+        if link_share > 0.33 or (n < 200 and H.COPYRIGHT.search(b.text)):
+            return BAD, density
+        if n < 70:
+            return (BAD if b.linked else OPEN), density
+        if n >= 200 or density >= 0.30:
+            return GOOD, density
+        return (OPEN if density >= 0.15 or not b.linked else BAD), density
+
+    one = [evidence(b) for b in found]
+    size = lambda region: sum(len(b.text) for b, (label, _) in zip(found, one) if label == GOOD and b.region == region)
+    prior = [0] * len(found)
+    if any(b.region for b in found) and size(True) >= size(False):
+        prior = [GOOD if b.region else BAD for b in found]
+    bare = lambda i: 0 <= i < len(found) and found[i].linked >= 0.8 * len(found[i].text)
+    labels = []
+    for i, (b, (label, density)) in enumerate(zip(found, one)):
+        if prior[i] == GOOD and label == BAD and not (bare(i) and (bare(i - 1) or bare(i + 1))) and not (b.linked and len(b.text) >= 70 and density < 0.15):
+            label = OPEN
+        if prior[i] == BAD and label == GOOD and density < 0.30:
+            label = OPEN
+        labels.append(label)
+    out = []
+    for i, label in enumerate(labels):
+        if label == OPEN:
+            sides = []
+            for step in (-1, 1):
+                j, gap = i + step, 0
+                while 0 <= j < len(found) and prior[j] == prior[i] and labels[j] == OPEN:
+                    gap += len(found[j].text)
+                    j += step
+                there = 0 <= j < len(found) and prior[j] == prior[i]
+                sides.append((labels[j] if there else 0, gap))
+            (before, near), (after, far) = sides
+            if prior[i]:
+                label = before if before and before == after else prior[i]
+            elif before and after and before != after:
+                label = after if found[i].heading or near > far else before
+            else:
+                label = before or after or GOOD
+        out.append(label)
+    return out, labels
+
+
+@pytest.mark.parametrize("wrap", ["{}", "no region"])
+def test_all_pages_against_a_plain_version(spark, wrap):
+    """Every page of sf0.01, and the same pages without their article element: the labels of the two passes, mostly by evidence of the blocks."""
+    by_evidence = inherited = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        html = r.html if wrap == "{}" else re.sub("</?(article|main)\\b", lambda m: m[0].replace(m[1], "div"), r.html)
+        found = H.blocks(html)
+        want, first = plain_labels(found)
+        assert main_text(html) == "\n".join(b.text for b, label in zip(found, want) if label == GOOD)
+        by_evidence += sum(label != OPEN for label in first)
+        inherited += sum(label == OPEN for label in first)
+        assert main_text(html) == main_text(r.html)  # the article is found without its element too
+    assert by_evidence > inherited > 0
