@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specgraph.llm import bpe, embed_dedup, html_text, media, minhash, packing, pii, quality, secret_scan, token_output
+from specgraph.llm import bpe, embed_dedup, html_text, media, minhash, oracle, packing, pii, quality, secret_scan, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracle.NEAR_VECTORS, "base_secret_spans": oracle.BASE_SECRETS, "base_personal_data": oracle.BASE_PERSONAL_DATA,
+}
 
 
 def query(f):
@@ -70,3 +72,15 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed formats of op6's operator alone: the part of its result that SQL can express."""
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents"))).drop("spans", "n_random")
+
+
+@query
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed formats of op10's operator alone: the part of its result that SQL can express."""
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents"))).drop("spans", "n_extra")
