@@ -89,7 +89,46 @@ def peptide(number: str) -> str:
  || CASE WHEN coalesce(cterm, 0) <> 0 THEN 'c[' || {number.format('cterm')} || ']' ELSE '' END AS text FROM peps"""
 
 
+def betweenness_of(k: int) -> str:
+    """bet{k}(cluster_id, node_id, betweenness) of edges{k}(cluster_id, src, dst): every shortest path is walked, so clusters must be small."""
+    return f"""ways{k} AS (SELECT cluster_id, src AS a, dst AS b FROM edges{k} UNION ALL SELECT cluster_id, dst, src FROM edges{k}),
+walks{k}(cluster_id, s, t, path) AS (SELECT DISTINCT cluster_id, a, a, [a] FROM ways{k} UNION ALL SELECT w.cluster_id, w.s, v.b, list_append(w.path, v.b) FROM walks{k} w JOIN ways{k} v ON v.a = w.t WHERE NOT list_contains(w.path, v.b)),
+best{k} AS (SELECT * FROM (SELECT *, min(len(path)) OVER (PARTITION BY s, t) AS shortest FROM walks{k} WHERE s < t) WHERE len(path) = shortest),
+shared{k} AS (SELECT *, count(*) OVER (PARTITION BY s, t) AS paths FROM best{k}),
+inner{k} AS (SELECT unnest(path[2:len(path) - 1]) AS node_id, 1.0 / paths AS part FROM shared{k}),
+bet{k} AS (SELECT n.cluster_id, n.node_id, coalesce(sum(part), 0) AS betweenness FROM (SELECT DISTINCT cluster_id, a AS node_id FROM ways{k}) n LEFT JOIN inner{k} i USING (node_id) GROUP BY ALL)"""
+
+
+def refined(k: int, threshold: int) -> str:
+    """edges{k+1} of edges{k}: nodes with an outlier score below the threshold, clusters named by their smallest node; raw{k+1} has the first cluster of each node."""
+    n = k + 1
+    return f"""{betweenness_of(k)},
+middle{k} AS (SELECT *, median(betweenness) OVER (PARTITION BY cluster_id) AS m FROM bet{k}),
+away{k} AS (SELECT *, abs(betweenness - m) AS d FROM middle{k}),
+kept{k} AS (SELECT cluster_id, node_id FROM (SELECT *, median(d) OVER (PARTITION BY cluster_id) AS mad FROM away{k}) WHERE CASE WHEN mad > 0 THEN d / mad ELSE 0 END < {threshold}),
+left{k} AS (SELECT e.cluster_id, e.src, e.dst FROM edges{k} e JOIN kept{k} x ON x.node_id = e.src JOIN kept{k} y ON y.node_id = e.dst),
+both{k} AS (SELECT src AS node_id, dst AS other FROM left{k} UNION ALL SELECT dst, src FROM left{k}),
+reach{k}(node_id, other) AS (SELECT node_id, node_id FROM both{k} UNION SELECT r.node_id, b.other FROM reach{k} r JOIN both{k} b ON b.node_id = r.other),
+label{k} AS (SELECT node_id, min(other) AS cluster_id FROM reach{k} GROUP BY ALL),
+edges{n} AS (SELECT l.cluster_id, e.src, e.dst FROM left{k} e JOIN label{k} l ON l.node_id = e.src)"""
+
+
+USER_CLUSTERS = USER_EDGES + ",\n" + parts("both_ways") + ",\n" + reach() + ",\n" + parts("members", "inside") + ",\nedges0 AS (SELECT cluster_id, src, dst FROM inside)"
+
+
+def refinement(*thresholds: int) -> str:
+    rounds = ",\n".join(refined(k, t) for k, t in enumerate(thresholds))
+    last = f"edges{len(thresholds)}"
+    return with_(
+        f"{USER_CLUSTERS},\n{rounds}",
+        f"SELECT n.cluster_id, n.node_id, m.cluster_id AS raw_cluster_id FROM (SELECT cluster_id, src AS node_id FROM {last} UNION SELECT cluster_id, dst FROM {last}) n JOIN members m ON m.node_id = n.node_id",
+    )
+
+
 ORACLE = {
+    "betweenness": with_(f"{USER_CLUSTERS},\n{betweenness_of(0)}", "SELECT cluster_id, node_id, round(betweenness, 6) AS betweenness FROM bet0"),
+    "refine_round": refinement(3),
+    "refine_multi": refinement(5, 3),
     "ms2_scan_filter": f"""WITH scans AS (SELECT l_partkey AS node_id, count(*) AS peaks_count FROM lineitem GROUP BY ALL)
 SELECT s.node_id, s.peaks_count, CAST(p.p_retailprice AS FLOAT) AS mass, CAST(p.p_retailprice * (1 + p.p_size % 3) AS FLOAT) AS true_mass
 FROM scans s JOIN part p ON p.p_partkey = s.node_id WHERE s.node_id % 7 <> 0 AND s.peaks_count >= {LEAST}""",
