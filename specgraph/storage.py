@@ -53,20 +53,21 @@ class Written:
 _SCRATCH: list[list[Written]] = []
 
 
-def write(df: DataFrame, name: str, codec: str = "zstd") -> Written:
-    """Write ``df`` once and return the written table."""
+def write(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> Written:
+    """Write ``df`` once and return the written table; ``keep`` lets it outlive the innermost ``scratch`` block (not those around it)."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = Written(spark, path, df.schema)
-    if _SCRATCH:
-        _SCRATCH[-1].append(out)
+    level = len(_SCRATCH) - 1 - keep
+    if level >= 0:
+        _SCRATCH[level].append(out)
     return out
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Tables written inside are deleted at the end; what is to stay must be written elsewhere by then (a stage's output)."""
+    """Tables written inside are deleted at the end; what is to stay is written with ``keep`` or elsewhere by then (a stage's output)."""
     _SCRATCH.append([])
     try:
         yield

@@ -327,6 +327,36 @@ def test_stored_identifications_and_updates(spark):
     assert major(enrich.update_enrichment(first, member, index, later, update=True)) == {1: "Z/2", 3: "Z/3"}
 
 
+# --- storage
+
+
+def test_scratch_tables_go(spark):
+    from specgraph import storage
+
+    with storage.scratch():
+        with storage.scratch():
+            gone = storage.write(spark.range(3), "a")
+            kept = storage.write(spark.range(4), "b", keep=True)
+            assert gone.df.count() == 3
+        assert kept.df.count() == 4
+        with pytest.raises(Exception):  # noqa: B017
+            storage.Written(spark, gone.path, spark.range(1).schema).df.count()
+    outer = storage.write(spark.range(5), "c")
+    with storage.scratch():
+        result = storage.write(spark.range(6), "d", keep=True)
+    assert outer.df.count() == 5 and result.df.count() == 6
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from specgraph import storage
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(applicationId="x", master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        storage.shared_dir(far)
+
+
 # --- runs
 
 
