@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from specgraph.llm.encoders import small_batches
 from specgraph.operators.components import connected_components
-from specgraph.storage import arrow_rows, write
+from specgraph.storage import arrow_rows, scratch, write
 
 #: Rows of a tile, and of one of its blocks; tables are cut into ``LEAST_TILES`` tiles at least.
 TILE, TILE_BLOCK, LEAST_TILES = 16_384, 4096, 8
@@ -39,6 +39,7 @@ SAMPLE = 20_000
 BLOCK, BOX, GRID = 1024, 16, 3
 #: Products this close to the threshold are settled by the plain formula.
 CLOSE = 1e-9
+NEIGHBOURS = "code binary, n long, edges array<struct<src:long,dst:long>>"
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -120,36 +121,33 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     null id is counted by its neighbours but joins no component and stays kept; rows that share an id are one
     vertex of the components but are counted row by row.  An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     own = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).alias("x")).withColumn("usable", _usable("x"))
     rows = write(own.select("vec_id", "usable", F.when(F.col("usable"), F.col("x")).alias("x"), F.when(F.col("usable"), F.unhex(F.md5(F.array_join(F.col("x"), ",")))).alias("code")), "vectors").df
+    with scratch():
+        named = _named_vectors(rows, threshold, tile, sample)
+    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = rows.where("usable").select("vec_id", "code").join(named, "code").select("vec_id", "n_links", "component_id")
+    return linked.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    )
+
+
+def _named_vectors(rows: DataFrame, threshold: float, tile: int, sample: int) -> DataFrame:
+    """(code, n_links, component_id) of each different vector, written; what is written on the way goes with the caller's scratch block."""
     distinct = write(
         rows.where("usable").groupBy("code").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("id"), F.any_value("x").alias("x")).select("code", "copies", "id", "x", F.size("x").alias("dim")),
         "distinct",
     ).df
     outs = [_of_one_length(distinct.where(F.col("dim") == r.dim), int(r.dim), int(r.n), threshold, tile, sample) for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()]
-    alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if outs:
-        found = outs[0]
-        for o in outs[1:]:
-            found = found.unionByName(o)
-        with arrow_rows(spark, 2):
-            found = write(found, "neighbours").df
-        edges = found.select(F.explode("edges").alias("e")).select("e.src", "e.dst")
-        labels = connected_components(edges)
-        per_row = write(found.groupBy("code").agg(F.sum("n").alias("n")), "degrees").df
-        named = write(
-            distinct.select("code", "copies", "id")
-            .join(per_row, "code", "left")
-            .join(labels, F.col("id") == F.col("node"), "left")
-            .select("code", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")),
-            "named",
-        ).df
-        linked = rows.where("usable").select("vec_id", "code").join(named, "code").select("vec_id", "n_links", "component_id")
-        alone = linked.union(alone)
-    return alone.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    )
+    found = rows.sparkSession.createDataFrame([], NEIGHBOURS)
+    for o in outs:
+        found = found.unionByName(o)
+    with arrow_rows(rows.sparkSession, 2):
+        found = write(found, "neighbours").df
+    labels = connected_components(found.select(F.explode("edges").alias("e")).select("e.src", "e.dst"))
+    per_row = found.groupBy("code").agg(F.sum("n").alias("n"))
+    joined = distinct.select("code", "copies", "id").join(per_row, "code", "left").join(labels, F.col("id") == F.col("node"), "left")
+    return write(joined.select("code", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named", keep=True).df
 
 
 def _of_one_length(distinct: DataFrame, dim: int, n: int, threshold: float, tile: int, sample: int) -> DataFrame:
@@ -197,7 +195,7 @@ def _of_one_length(distinct: DataFrame, dim: int, n: int, threshold: float, tile
 
     side = lambda s: tiles.select(F.col("tile").alias(f"tile_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in _PACKED])
     both = near.join(side("a"), "tile_a").join(side("b"), "tile_b").select("tile_a", "tile_b", *[f"{c}_{s}" for s in "ab" for c in _PACKED])
-    return both.mapInArrow(_pairs(basis, width, threshold), "code binary, n long, edges array<struct<src:long,dst:long>>")
+    return both.mapInArrow(_pairs(basis, width, threshold), NEIGHBOURS)
 
 
 _PACKED = ["codes", "copies", "ids", "x"]

@@ -9,7 +9,8 @@
    of small ones one by one, large ones as groups of blocks.  A block holds some
    hundred texts; two blocks are compared inside one task, which returns edges that
    hold the linked texts together and never the pairs.  Members of a group's largest
-   component aren't compared with each other.
+   component aren't compared with each other.  A group compares more than its buckets
+   ask for (members that share no band), which can only find more of the links.
 3. A candidate pair's signatures are compared in batches of hashes.  After each
    batch the pair is dropped if the posterior probability that its similarity
    reaches the threshold is below ``MISS``.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from specgraph.llm.encoders import small_batches
 from specgraph.llm.text_arrays import column_bytes, forget, mix, piece_hashes
 from specgraph.operators.components import connected_components
-from specgraph.storage import Written, arrow_rows, write
+from specgraph.storage import Written, arrow_rows, scratch, write
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -322,6 +323,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     with arrow_rows(docs.sparkSession, 500):
         sketches = write(sketch(docs, "doc_id", "text", words), "sketches").df
+    with scratch():
+        named = _named_classes(sketches, docs, words, percent, miss)
+    ids = sketches.select("doc_id", "n_shingles", "set_key")
+    linked = ids.where("set_key is not null and doc_id is not null").join(named, "set_key").select("doc_id", "n_shingles", "component_id")
+    alone = ids.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _named_classes(sketches: DataFrame, docs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+    """(set_key, component_id) of each class, written; what is written on the way goes with the caller's scratch block."""
     classes = write(
         sketches.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")
@@ -353,10 +364,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         found = found.union(_group_links(open_, classes, docs, words, percent, miss).df)
         labels = write(connected_components(found, "a", "b"), "labels").df
 
-    named = write(
-        classes.select("set_key", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id")), "named"
-    ).df
-    ids = sketches.select("doc_id", "n_shingles", "set_key")
-    linked = ids.where("set_key is not null and doc_id is not null").join(named, "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = ids.where("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    joined = classes.select("set_key", "id").join(labels, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    return write(joined, "named", keep=True).df

@@ -102,10 +102,15 @@ def test_rows_of_one_hot_place_are_dealt_to_many_tiles(spark, monkeypatch):
     centre = rng.normal(size=8)
     rows = [(i, (centre + rng.normal(size=8) * 0.01).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(300)]
     d = spark.createDataFrame([(k, [float(c) for c in x]) for k, x in rows], "vec_id long, embedding array<double>")
-    written = []
+    sizes = []
     plain = E.write
-    monkeypatch.setattr(E, "write", lambda df, name, *a: (written.append((name, w := plain(df, name, *a))), w)[1])
+
+    def seen(df, name, *a, **k):
+        out = plain(df, name, *a, **k)
+        sizes.extend(len(r.ids) // 8 for r in out.df.select("ids").collect()) if name == "tiles" else None
+        return out
+
+    monkeypatch.setattr(E, "write", seen)
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_vectors(d, tile=64).collect()}
-    sizes = [len(r.ids) // 8 for n, w in written if n == "tiles" for r in w.df.select("ids").collect()]
     assert sum(sizes) == 600 and max(sizes) <= 110 and len(sizes) >= 8
     assert all(got[k] == (n, c) for k, n, c in brute(rows, 0.9))

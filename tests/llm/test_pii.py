@@ -149,3 +149,13 @@ def test_number_words_do_not_veto(spark):
 def test_key_words_stand_alone(spark):
     d = spark.createDataFrame([("casino ",), ("Pavlov ",), ("see no. ",), ("Foo#",), ("order: ",)], "b string")
     assert [r.x for r in d.select(F.col("b").rlike(P.SPEAK_AGAINST).alias("x")).collect()] == [False, False, True, True, True]
+
+
+def test_overlaps_and_ties_of_scores(spark):
+    """Of overlapping candidates with one score the first stays, then the longer; rows repeat alike."""
+    text = "please call 212 555 0000 212 555 0001 now"
+    rows = [(i, f"please call 212 555 {i:04d} now") for i in range(300)] + [(1000, text), (1000, text)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [[(s.start, s.end) for s in r.extra] for r in P.personal_data(d).where("doc_id = 1000").collect()]
+    assert got[0] == got[1] and got[0]
+    assert all(a[1] <= b[0] for a, b in zip(sorted(got[0]), sorted(got[0])[1:]))
