@@ -217,6 +217,21 @@ products AS (SELECT p.src, p.dst, CAST(sum(CAST(a.rank AS BIGINT) * b.rank) AS B
 SELECT p.src, p.dst, round(coalesce(product, 0) / sqrt(CAST((CAST(a.n AS BIGINT)*(a.n+1)*(2*a.n+1)//6) * (CAST(b.n AS BIGINT)*(b.n+1)*(2*b.n+1)//6) AS DOUBLE)), 6) AS dp
 FROM pairs p LEFT JOIN products USING (src, dst) LEFT JOIN sizes a ON a.node_id = p.src LEFT JOIN sizes b ON b.node_id = p.dst""",
 }
+_SCANS = f"""WITH {parts('part_peaks', 'part_index')}, summed AS (SELECT node_id, mz, CAST(sum(intensity) AS FLOAT) AS intensity FROM part_peaks GROUP BY ALL)
+SELECT node_id AS native_id, 2 AS ms_level, CAST(count(*) AS INTEGER) AS peaks_count, any_value(mass) AS precursor_mz, any_value(charge) AS charge, sum(CAST(mz AS DOUBLE)) AS mz, round(sum(CAST(intensity AS DOUBLE)), 0) AS intensity, true AS whole
+FROM summed JOIN part_index USING (node_id) GROUP BY node_id HAVING count(*) >= {LEAST}"""
+ORACLE |= {
+    "mzxml_scans": _SCANS,
+    "mzml_scans": _SCANS,
+    "pepxml_identifications": f"WITH {parts('idens')}, usable AS (SELECT * FROM idens), {parts('modified')} SELECT ms_file, native_id, regexp_replace(iden, '/[0-9]+$', '') AS text, charge, probability, 'pp' AS source, is_decoy FROM modified",
+    "identification_store": f"WITH {parts('idens')} SELECT ms_file, native_id, peptide, charge, probability, iden_file_id, position FROM (SELECT *, row_number() OVER (PARTITION BY ms_file, native_id ORDER BY iden_file_id, position DESC) AS rn FROM idens WHERE probability >= 0.3 AND NOT is_decoy) WHERE rn = 1",
+    "enrichment_update": with_(
+        f"""{CLUSTERS}, {parts('idens', 'usable', 'modified')}, every AS ({PARTS['named']}), sure AS (SELECT DISTINCT cluster_id FROM every WHERE iden IS NOT NULL AND probability >= 0.9),
+named AS (SELECT cluster_id, node_id, mass, CASE WHEN probability >= 0.9 OR cluster_id NOT IN (SELECT cluster_id FROM sure) THEN iden END AS iden FROM every), {ENRICHED}""",
+        "SELECT cluster_id, num_nodes, CAST(coalesce(num_idens, 0) AS INTEGER) AS num_idens, idens, major_iden, round(named_nodes / num_nodes, 6) AS iden_ratio, round(mass_avg, 6) AS mass_avg FROM totals LEFT JOIN lists USING (cluster_id)",
+    ),
+    "run_stages": ORACLE["cluster_enrichment"],
+}
 for _name in ("dot_product_edges", "dot_product_edges_prefix", "dot_product_edges_block"):
     ORACLE[_name] = f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"
 ORACLE["user_edges"] = f"WITH {USER_EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"

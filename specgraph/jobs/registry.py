@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specgraph.config import Params
 from specgraph.functions import peaks as P
 from specgraph.functions import peptides
-from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
 from specgraph.jobs import export
+from specgraph.jobs.engine import Engine
+from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
 from specgraph.operators import clusters, enrich, refine, similarity
 from specgraph.operators import preprocess as prep
-from specgraph.sources import binary, tables
-from specgraph.storage import write
+from specgraph.sources import binary, mzml, mzxml, pepxml, tables, writers, xmlscan
+from specgraph.storage import new_path, write
 
 QUERIES: dict = {}
 __all__ = ["ORACLE", "QUERIES", "flagship"]
@@ -426,3 +428,67 @@ def cluster_texts(spark, sf_dir):
     return _lines(spark, sf_dir).groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("lines"), F.max(F.when(own, F.substring_index("line", "\t", 5))).alias("own"), F.max_by(F.when(edge, F.col("line")), F.when(edge, F.col("place"))).alias("last_edge"), F.count_if(F.col("line") == "").alias("empty")
     )
+
+
+# --- files and runs
+
+
+def _scan_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Folder of scan files made of the parts: a scan for each part, its peaks summed by m/z and in order."""
+    peaks = tables.part_peaks(spark, sf_dir).groupBy("node_id", "mz").agg(F.sum("intensity").cast("float").alias("intensity"))
+    rows = peaks.groupBy(F.col("node_id").alias("native_id")).agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    index = tables.part_index(spark, sf_dir).select("native_id", F.col("mass").alias("precursor_mz"), "charge")
+    path = new_path(spark, kind)
+    writers.scan_elements(rows.join(index, "native_id"), kind).write.text(path)
+    return path
+
+
+def _read_back(scans: DataFrame) -> DataFrame:
+    whole = F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["mz"].cast("double"))
+    ordered = F.size("peaks") == F.col("peaks_count")
+    return scans.select("native_id", "ms_level", "peaks_count", F.col("precursor_mz").cast("float").alias("precursor_mz"), "charge", whole.alias("mz"), F.round(F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["intensity"].cast("double")), 0).alias("intensity"), ordered.alias("whole"))
+
+
+@query
+def mzxml_scans(spark, sf_dir):
+    """Parts written as mzXML scans and read by byte ranges: scans of at least 10 peaks."""
+    return _read_back(xmlscan.good(mzxml.read(spark, [_scan_files(spark, sf_dir, "mzxml")], min_peaks=LEAST)))
+
+
+@query
+def mzml_scans(spark, sf_dir):
+    """Parts written as mzML spectra and read by byte ranges: scans of at least 10 peaks."""
+    return _read_back(xmlscan.good(mzml.read(spark, [_scan_files(spark, sf_dir, "mzml")], min_peaks=LEAST)))
+
+
+@query
+def pepxml_identifications(spark, sf_dir):
+    """Identifications of the parts written as spectrum queries and read again, with their modifications as text."""
+    path = new_path(spark, "pepxml")
+    writers.query_elements(tables.part_identifications(spark, sf_dir)).write.text(path)
+    rows = pepxml.read(spark, spark.read.text(path).inputFiles())
+    text = peptides.with_integer_masses(*[F.col(c) for c in ("peptide", "mods", "nterm_mod", "cterm_mod")])
+    return rows.select("ms_file", "native_id", text.alias("text"), "charge", "probability", "source", "is_decoy")
+
+
+@query
+def identification_store(spark, sf_dir):
+    """The identification table that a run keeps."""
+    kept = enrich.stored_identifications(tables.part_identifications(spark, sf_dir), spark, 0.3, False)
+    return kept.select("ms_file", "native_id", "peptide", "charge", "probability", "iden_file_id", "position")
+
+
+@query
+def enrichment_update(spark, sf_dir):
+    """Clusters enriched with sure identifications first; those left without one again with all."""
+    member, index, every = part_clusters(spark, sf_dir)[1], tables.part_index(spark, sf_dir), usable(spark, sf_dir)
+    first = write(enrich.enrich(member, index, every.where("probability >= 0.9")), "enriched").df
+    return rounded(enrich.update_enrichment(first, member, index, every), "iden_ratio", "mass_avg")
+
+
+@query
+def run_stages(spark, sf_dir):
+    """A run over the parts from raw peaks to enriched clusters, every stage a table of its own."""
+    params = Params(num_peaks=N, min_bins=LEAST, min_scan_peaks=1, removal_range=(0.0, 0.0), tolerance=TOL, dp_threshold=T, iden_prob_threshold=0.1, iden_include_decoy=True)
+    index, peaks, idens = tables.part_index(spark, sf_dir), tables.part_peaks(spark, sf_dir), tables.part_identifications(spark, sf_dir)
+    return rounded(Engine(spark, new_path(spark, "run"), index, peaks, idens, params).stage("enriched"), "iden_ratio", "mass_avg")
