@@ -115,3 +115,48 @@ def test_short_texts_are_judged(spark):
 def test_fits_on_next_to_nothing(n):
     scorer = Q.Scorer(pa.array(["some words here"] * n, pa.string()), np.full(n, 0.1))
     assert (scorer.score(Q.Texts(pa.array(["w " * 20]))) <= 1).all()
+
+
+def plain_votes(text):
+    """Every labeller written down again for one text, word by word."""
+    data = (text or "").encode()
+    words = data.split()
+    out = dict.fromkeys(Q.LABELLERS, 0)
+    n = len(words)
+    if not n:
+        return out
+    lower, upper, beyond = (sum(map(test, data)) for test in (lambda c: 97 <= c <= 122, lambda c: 65 <= c <= 90, lambda c: c >= 128))
+    plain = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;:?'\"()-!" + bytes(range(128, 256)) + b" \t\n\r\x0b\x0c")
+    symbol = lambda c: c not in plain
+    chars = sum(len(w) for w in words)
+    low = [w.lower() for w in words]
+    same = [a == b for a, b in zip(low, low[1:])]
+    longest = run = 1
+    for s in same:
+        run = run + 1 if s else 1
+        longest = max(longest, run)
+    stop = {w.encode() for w in Q.STOP_WORDS}
+    trimmed = [w[:-1] if len(w) > 1 and w[-1:] in b".,:;?'\"()-!" and w[-1:] else w for w in low]
+    function, echo, root = sum(w in stop for w in trimmed) / n, sum(same) / n, n**0.5
+    length = sum(len(w.decode("utf-8", "ignore")) for w in words) / n
+    lines = [x for x in data.split(b"\n") if x.strip()]
+    if n >= Q.LEAST_MARKED:
+        out["symbols"] = -(sum(map(symbol, data)) / chars > 0.05)
+        out["columns"] = -(data.count(b"|") / n > 0.2)
+        out["marks on words"] = -(sum(len(w) > 1 and symbol(w[-1]) for w in words) / n > 0.3)
+    if n >= Q.LEAST_WORDS:
+        out["capitals"] = -(upper / max(lower + upper, 1) > 0.5)
+        out["shouting"] = -(data.count(b"!") / n > 0.3)
+        out["echo"] = -1 if echo > 0.2 else int(echo < 0.05)
+        out["variety"] = -1 if len(set(low)) < 0.35 * root else int(len(set(low)) > 1.2 * root)
+        out["function words"] = int(function > 0.1)
+        out["word length"] = -1 if beyond / chars < 0.3 and not 2.2 <= length <= 14 else int(3 < length < 9)
+        out["lines"] = -(len(lines) >= 4 and len(set(lines)) / len(lines) < 0.5)
+        out["one word"] = -(longest >= 8)
+    return {k: int(v) for k, v in out.items()}
+
+
+def test_votes_equal_a_plain_version(spark):
+    texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + SOUND + [None, "", " \n ", "a", "A! " * 20, "x* y* z*", "ab\x1cc d", "w " * 30, "l\n" * 40]
+    got = Q.Texts(pa.array(texts, pa.string())).votes()
+    assert [dict(zip(Q.LABELLERS, row.tolist())) for row in got] == [plain_votes(t) for t in texts]
