@@ -17,6 +17,8 @@ from specgraph.storage import write
 
 #: Records of a mass bucket that are compared with others as one block.
 BLOCK_ROWS = 1024
+#: Rows of the lighter side of a join on a mass bucket that one task meets; the rows of a key beyond that are dealt on.
+SALT_ROWS = 10_000
 
 
 def bucket_width(tolerance: float) -> float:
@@ -43,6 +45,18 @@ def _lighter(a_mass, a_id, b_mass, b_id) -> Column:
     return (a_mass < b_mass) | ((a_mass == b_mass) & (a_id < b_id))
 
 
+def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a joined to b on ``keys``, a key with many rows of ``a`` (a_id) dealt over salts that each see all of its rows of ``b``.
+
+    Only such keys are in the table of salts: one row for ``SALT_ROWS`` rows of ``a`` at most.
+    """
+    hot = a.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts")).where("salts > 1")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    left = a.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("a_id"), salts)).drop("salts")
+    right = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def band_pairs(index: DataFrame, tolerance: float) -> DataFrame:
     """(src, dst) with src < dst of all records whose masses differ by at most ``tolerance``.
 
@@ -51,7 +65,7 @@ def band_pairs(index: DataFrame, tolerance: float) -> DataFrame:
     """
     a = index.select(F.col("node_id").alias("a_id"), F.col("mass").alias("a_mass"), _bucket(F.col("mass"), tolerance).alias("bucket"))
     b = _partners(index.select("node_id", "mass"), tolerance).select(F.col("node_id").alias("b_id"), F.col("mass").alias("b_mass"), "bucket")
-    met = a.join(b, "bucket").where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
+    met = _met(a, b, ["bucket"]).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
     return met.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst"))
 
 
@@ -70,7 +84,7 @@ def _as_edges(scored: DataFrame) -> DataFrame:
 
 
 def _products(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    met = a.join(b, ["bucket", "bin"]).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
+    met = _met(a, b, ["bucket", "bin"]).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
     return met.groupBy("a_id", "b_id").agg(F.sum(F.col("a_rank").cast("long") * F.col("b_rank")).alias("product"), F.first("n2_a").alias("n2_a"), F.first("n2_b").alias("n2_b"))
 
 
@@ -105,7 +119,7 @@ def dot_product_edges_prefix(ranked: DataFrame, index: DataFrame, tolerance: flo
     a, b = _sides(ranked, index, tolerance)
     skips = F.create_map(*[F.lit(x) for n in range(1, num_peaks + 1) for x in (n, prefix_skip(n, threshold))])
     high = a.where(F.col("a_rank") > F.element_at(skips, F.col("n_a")))
-    met = high.join(b, ["bucket", "bin"]).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
+    met = _met(high, b, ["bucket", "bin"]).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
     candidates = met.select("a_id", "b_id", "n2_a", "n2_b").distinct()
     rows = ranked.select("node_id", "bin", "rank")
     one = candidates.join(rows.select(F.col("node_id").alias("a_id"), "bin", F.col("rank").alias("a_rank")), "a_id")

@@ -122,6 +122,16 @@ def test_prefix_and_rank_bounds():
     assert 191 * 192 * 383 // 6 < 1 << 24
 
 
+def test_hot_keys_are_salted(spark, monkeypatch):
+    ranked, index = random_ranked(spark, 12, 60)
+    index = index.withColumn("mass", F.when(F.col("node_id") % 3 > 0, F.lit(101.0)).otherwise(F.col("mass")).cast("float"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    ways = [lambda: similarity.band_pairs(index, 1.1), lambda: similarity.dot_product_edges(ranked, index, 1.1, 0.55), lambda: similarity.dot_product_edges_prefix(ranked, index, 1.1, 0.55, 12)]
+    plain = [key(w()) for w in ways]
+    monkeypatch.setattr(similarity, "SALT_ROWS", 6)
+    assert [key(w()) for w in ways] == plain and all(plain)
+
+
 def test_edges_of_a_hot_mass_come_from_many_blocks(spark):
     ranked, index = random_ranked(spark, 9, 90)
     index = index.withColumn("mass", F.when(F.col("node_id") % 3 > 0, F.lit(101.0)).otherwise(F.col("mass")).cast("float"))
