@@ -32,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -122,11 +122,18 @@ def build_index(keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray) -> tup
     return seeds.tobytes(), table.tobytes()
 
 
+def store(path: str) -> tuple[FileSystem, str]:
+    """(file system, folder) of a path or URI; an error where Arrow doesn't know its kind."""
+    if path.startswith("file:"):
+        return LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return FileSystem.from_uri(path)
+
+
 class Shard:
     """One shard, read by byte offsets; ``bytes_read`` counts what was asked for."""
 
     def __init__(self, path: str, name: str, docs: int, width: int, buckets: int):
-        self.fs, base = FileSystem.from_uri(path)
+        self.fs, base = store(path)
         self.ids_at, self.index_at = f"{base}/raw/{name}.ids", f"{base}/raw/{name}.mph"
         self.docs, self.width, self.buckets, self.bytes_read = docs, width, buckets, 0
 
@@ -181,7 +188,7 @@ def _shards(path: str, tokenizer: str, end_id: int, shard_tokens: int):
         size = 0
 
         def close():
-            fs, base = FileSystem.from_uri(path)
+            fs, base = store(path)
             fs.create_dir(f"{base}/raw", recursive=True)
             name = uuid.uuid4().hex
             lengths, nulls = np.array([len(x) // width for x in ids], np.int64), np.array([k is None for k in keys])
@@ -218,6 +225,7 @@ def write_token_table(docs: DataFrame, path: str, key: str = "doc_id", text: str
     (just the end id); null keys come first; repeated keys keep all their rows; an
     empty table gives an empty folder.
     """
+    store(path)  # an unknown kind of store is an error here, not in a task
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     first = F.col("key").asc_nulls_first()
     dealt = own.withColumns({"prefix": F.substring("text", 1, PREFIX), "lot": F.rand(1)}).repartitionByRange(first, F.col("prefix").asc_nulls_first(), "lot")

@@ -115,6 +115,14 @@ def test_hash_is_minimal_and_perfect():
     assert sorted(slot) == list(range(len(keys)))
 
 
+def test_stores(spark, tmp_path):
+    path = f"file://{tmp_path}/with a space"
+    token_output.write_token_table(docs(spark, [(1, "a"), (2, "b c")]), path)
+    assert token_output.read_documents(spark, path).count() == 2
+    with pytest.raises(Exception, match="(?i)uri|scheme"):
+        token_output.write_token_table(docs(spark, [(1, "a")]), "nowhere://x/y")
+
+
 def test_foreign_keys_are_told(tmp_path):
     keys = np.arange(3000, dtype="<i8") * 7
     seeds, slots = token_output.build_index(keys, np.zeros(3000, bool), np.ones(3000, np.int64))
