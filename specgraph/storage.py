@@ -8,6 +8,7 @@ on one machine: a table is written as Parquet under ``spark.checkpoint.dir``
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -49,8 +50,14 @@ class Written:
         fs.delete(hadoop, True)
 
 
-#: Tables written inside the innermost ``scratch`` block.
-_SCRATCH: list[list[Written]] = []
+class _Scratch(threading.local):
+    """Tables written inside each open ``scratch`` block of this thread."""
+
+    def __init__(self) -> None:
+        self.levels: list[list[Written]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def write(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> Written:
@@ -59,20 +66,20 @@ def write(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) ->
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = Written(spark, path, df.schema)
-    level = len(_SCRATCH) - 1 - keep
+    level = len(_SCRATCH.levels) - 1 - keep
     if level >= 0:
-        _SCRATCH[level].append(out)
+        _SCRATCH.levels[level].append(out)
     return out
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables written inside are deleted at the end; what is to stay is written with ``keep`` or elsewhere by then (a stage's output)."""
-    _SCRATCH.append([])
+    _SCRATCH.levels.append([])
     try:
         yield
     finally:
-        for table in _SCRATCH.pop():
+        for table in _SCRATCH.levels.pop():
             table.drop()
 
 
