@@ -221,6 +221,7 @@ _SCANS = f"""WITH {parts('part_peaks', 'part_index')}, summed AS (SELECT node_id
 SELECT node_id AS native_id, 2 AS ms_level, CAST(count(*) AS INTEGER) AS peaks_count, any_value(mass) AS precursor_mz, any_value(charge) AS charge, sum(CAST(mz AS DOUBLE)) AS mz, round(sum(CAST(intensity AS DOUBLE)), 0) AS intensity, true AS whole
 FROM summed JOIN part_index USING (node_id) GROUP BY node_id HAVING count(*) >= {LEAST}"""
 ORACLE |= {
+    "progressive_edges": f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges JOIN part p ON p.p_partkey = src JOIN part q ON q.p_partkey = dst WHERE p.p_size > 25 OR q.p_size > 25",
     "mzxml_scans": _SCANS,
     "mzml_scans": _SCANS,
     "pepxml_identifications": f"WITH {parts('idens')}, usable AS (SELECT * FROM idens), {parts('modified')} SELECT ms_file, native_id, regexp_replace(iden, '/[0-9]+$', '') AS text, charge, probability, 'pp' AS source, is_decoy FROM modified",

@@ -15,6 +15,7 @@ from specgraph.operators import clusters, enrich, refine, similarity
 from specgraph.operators import preprocess as prep
 from specgraph.sources import binary, mzml, mzxml, pepxml, tables, writers, xmlscan
 from specgraph.storage import new_path, write
+from specgraph.streaming import progressive
 
 QUERIES: dict = {}
 __all__ = ["ORACLE", "QUERIES", "flagship"]
@@ -224,6 +225,15 @@ def ion_match(spark, sf_dir):
     return similarity.ion_matches(tables.part_peaks(spark, sf_dir), ions).groupBy("node_id", "ion").agg(F.count(F.lit(1)).alias("matches"))
 
 
+@query
+def progressive_edges(spark, sf_dir):
+    """Parts of more than 25 in size arrive after all others: the edges that they add."""
+    arrays, part = prep.ranked_arrays(part_ranked(spark, sf_dir)), tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_size")
+    records = write(arrays.join(tables.part_index(spark, sf_dir).select("node_id", "mass"), "node_id").join(part, "node_id"), "records").df
+    late, known = (records.where(c).drop("p_size") for c in ("p_size > 25", "p_size <= 25"))
+    return rounded(progressive.new_edges(late, known, TOL, T), "dp")
+
+
 # --- graphs
 
 
