@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specgraph.llm import bpe, embed_dedup, html_text, media, minhash, oracle, packing, pii, quality, secret_scan, token_output
+from specgraph.llm import bpe, embed_dedup, hard_negatives, html_text, line_dedup, media, minhash, oracle, packing, periodic_runs, pii, quality, secret_scan, token_output
 from specgraph.storage import new_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {
     "op2_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracle.NEAR_VECTORS, "base_secret_spans": oracle.BASE_SECRETS, "base_personal_data": oracle.BASE_PERSONAL_DATA,
+    "op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_line_dedup": oracle.LINE_DEDUP, "op13_periodic_runs": oracle.PERIODIC_RUNS,
 }
 
 
@@ -74,6 +76,23 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 @query
 def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixed formats of op6's operator alone: the part of its result that SQL can express."""
