@@ -14,12 +14,13 @@ from specgraph.config import Params, parse
 from specgraph.jobs import export
 from specgraph.jobs.engine import STAGES, Engine
 from specgraph.jobs.ingest import gather, ingest
+from specgraph.jobs.inputs import InputStore
 from specgraph.operators import clusters, enrich
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="specgraph", description="Cluster spectra by rank dot products.")
-    p.add_argument("root", help="folder of the run; a finished stage found there is reused if files and parameters are the same")
+    p.add_argument("root", help="folder of the run; a finished stage found there is reused if the files' contents and the parameters are the same")
     p.add_argument("files", nargs="*", help="mzXML, mzML and pepXML files, or folders that hold them")
     p.add_argument("--list", help="file with one path on each line")
     p.add_argument("--config", help="file of key = value lines")
@@ -57,12 +58,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
     params = parse(text(args.config)) if args.config else Params()
     files = gather(spark, args.files, text(args.list), args.ignore_errors)
 
+    store = InputStore(spark, args.root).update(files, "DROPMALFORMED" if args.ignore_errors else "FAILFAST")
+
     def source():
-        found = ingest(spark, files, "DROPMALFORMED" if args.ignore_errors else "FAILFAST")
+        found = ingest(store)
         return found.index, found.peaks, found.idens
 
-    run = Engine(spark, args.root, params=params, renumber=True, source=source, label=sorted(p for own in files.values() for p in own))
+    run = Engine(spark, args.root, params=params, renumber=True, source=source, label=store.label())
     run.load()
+    run.store = store
     for stage in ("index", "ranked") if args.preparation_only else STAGES:
         run.stage(stage)
     run.save()

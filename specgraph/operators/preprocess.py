@@ -23,14 +23,15 @@ def scan_counts(scans: DataFrame, min_peaks: int = 10) -> DataFrame:
     return scans.agg(F.count_if(ms2).alias("total_ms2"), F.count_if(ms2 & (F.col("peaks_count") >= min_peaks)).alias("valid_ms2"))
 
 
-def mass_index(index: DataFrame, mass: str = "mass", key: str = "native_id") -> DataFrame:
-    """``index`` with position 0, 1, ... in order of (mass, key).
+def mass_index(index: DataFrame, mass: str = "mass", *keys: str) -> DataFrame:
+    """``index`` with position 0, 1, ... in order of (mass, keys); without keys of (mass, native_id).
 
     Rows are range-partitioned and sorted where they land; a row's position is its
     place in the partition plus the rows of earlier partitions, so the only
     unpartitioned window sees one row for each partition.
     """
-    placed = write(index.repartitionByRange(F.col(mass), F.col(key)).sortWithinPartitions(mass, key).withColumn("at", F.monotonically_increasing_id()), "mass-index").df
+    order = [mass, *(keys or ("native_id",))]
+    placed = write(index.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mass-index").df
     numbered = placed.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND((1 << 33) - 1))
     sizes = numbered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))

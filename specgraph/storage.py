@@ -45,9 +45,7 @@ class Written:
         self.df = spark.read.schema(schema).parquet(path)  # a known schema needs no look at the files
 
     def drop(self) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(hadoop, True)
+        delete(self.spark, self.path)
 
 
 class _Scratch(threading.local):
@@ -83,6 +81,17 @@ def scratch() -> Iterator[None]:
             table.drop()
 
 
+@contextmanager
+def owned() -> Iterator[list[Written]]:
+    """Tables written inside are given to the caller, who drops them; they outlive ``scratch`` blocks around."""
+    _SCRATCH.levels.append([])
+    out: list[Written] = []
+    try:
+        yield out
+    finally:
+        out += _SCRATCH.levels.pop()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Tables written inside hand Python workers at most ``rows`` rows at a time, for rows that are large."""
@@ -93,3 +102,62 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+# --- files and folders by their names, in whatever store the path is in
+
+
+def hadoop(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Hadoop has them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = hadoop(spark, path)
+    fs.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = hadoop(spark, path)
+    return fs.exists(where)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    fs, where = hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def extent(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(files, bytes) of the data files in a folder and its subfolders; (0, 0) where there is none."""
+    fs, where = hadoop(spark, path)
+    if not fs.exists(where):
+        return 0, 0
+    found, files, size = fs.listFiles(where, True), 0, 0
+    while found.hasNext():
+        status = found.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            files, size = files + 1, size + status.getLen()
+    return files, size
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all: it gets its name when it is written."""
+    part = f"{path}.{uuid.uuid4().hex[:8]}.part"
+    fs, where = hadoop(spark, part)
+    stream = fs.create(where)
+    stream.write(text.encode())
+    stream.close()
+    if not fs.rename(where, hadoop(spark, path)[1]):
+        fs.delete(where, False)
+        raise FileExistsError(path)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, where = hadoop(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()

@@ -1,10 +1,16 @@
 """Files to exported clusters through the command line."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from specgraph import storage
+from specgraph.config import Params
 from specgraph.jobs import cli, ingest
+from specgraph.jobs.engine import Engine
+from specgraph.jobs.inputs import InputStore, checksums
 from tests.test_sources import mzml_array, mzxml_scan, query
 
 
@@ -65,3 +71,150 @@ def test_preparation_only_and_bad_files(spark, folder, tmp_path):
         cli.main([str(tmp_path / "r1"), str(folder)], spark)
     run = cli.main([str(tmp_path / "r2"), str(folder), "--ignore-errors", "--preparation-only"], spark)
     assert set(run.manifest["stages"]) == {"index", "ranked"}
+
+
+# --- inputs by content
+
+
+def scan_file(path, seeds, charge=2):
+    path.write_text("<msRun>\n" + "\n".join(mzxml_scan(i + 1, 2, 500.0 + s, charge, scan_peaks(s)) for i, s in enumerate(seeds)) + "\n</msRun>")
+
+
+def tables_left(spark):
+    return set(storage.names(spark, f"{storage.shared_dir(spark)}/tables"))
+
+
+def test_checksums_follow_the_bytes_and_not_the_cuts(spark, tmp_path):
+    rng = random.Random(3)
+    contents = {"a b+%.xml": "<x>" * 2000 + "y" * 5000, "b.xml": "".join(rng.choice("<>ab") for _ in range(20_000)), "c.xml": "no end", "empty.xml": ""}
+    for name, text in contents.items():
+        (tmp_path / name).write_text(text)
+    paths = [f"{tmp_path}/{n}" for n in contents]
+
+    def found():
+        return {r.path.rsplit("/", 1)[-1]: r.checksum for r in checksums(spark, paths).collect()}
+
+    before = found()
+    assert set(before) == set(contents) - {"empty.xml"}
+    key, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(key, "700")
+        assert found() == before
+    finally:
+        spark.conf.set(key, old)
+    text = contents["b.xml"]
+    at = text.index("ab")
+    (tmp_path / "b.xml").write_text(text[:at] + "ba" + text[at + 2 :])
+    pieces = contents["a b+%.xml"].replace("<x>", "<z>", 1)
+    (tmp_path / "a b+%.xml").write_text("<x>" + pieces[3:])  # as it was
+    after = found()
+    assert after["b.xml"] != before["b.xml"] and {k: v for k, v in after.items() if k != "b.xml"} == {k: v for k, v in before.items() if k != "b.xml"}
+    (tmp_path / "b.xml").write_text(text.replace(">a", ">b>a>", 1))
+    assert found()["b.xml"] != before["b.xml"] and checksums(spark, []).count() == 0
+
+
+def test_a_rewritten_file_is_read_again_and_no_other(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(5):
+        scan_file(source / f"f{k}.mzXML", [k, k + 10])
+    (source / "i.pep.xml").write_text("<x>" + query("f0", 1, "PEPK", ip="0.99") + "</x>")
+    there = tables_left(spark)
+    run = cli.main([str(tmp_path / "run"), str(source)], spark)
+    assert len(run.store.fresh) == 6 and run.stage("index").count() == 10 and run._inputs is None
+    assert {i.rows for i in run.store.inputs} == {1, 2} and run.store.table().count() == 6
+    stat = os.stat(source / "f3.mzXML")
+    same = (source / "f3.mzXML").read_text().replace('precursorCharge="2"', 'precursorCharge="3"')
+    (source / "f3.mzXML").write_text(same)
+    os.utime(source / "f3.mzXML", ns=(stat.st_atime_ns, stat.st_mtime_ns))  # same name, length and time
+    again = cli.main([str(tmp_path / "run"), str(source)], spark)
+    assert [p.rsplit("/", 1)[-1] for p in again.store.fresh] == ["f3.mzXML"]
+    charges = {(r.file_stem, r.charge) for r in again.stage("index").select("file_stem", "charge").distinct().collect()}
+    assert charges == {("f0", 2), ("f1", 2), ("f2", 2), ("f3", 3), ("f4", 2)}
+    # Identifications are other files: their stage stays, what follows from scans doesn't.
+    assert again.manifest["stages"]["idens"] == run.manifest["stages"]["idens"] and again.manifest["stages"]["index"]["id"] != run.manifest["stages"]["index"]["id"]
+    (source / "i.pep.xml").write_text("<x>" + query("f0", 1, "AAAK", ip="0.99") + "</x>")
+    third = cli.main([str(tmp_path / "run"), str(source)], spark)
+    assert len(third.store.fresh) == 1 and third.manifest["stages"]["edges"] == again.manifest["stages"]["edges"]
+    assert third.manifest["stages"]["idens"]["id"] != again.manifest["stages"]["idens"]["id"] and third.stage("idens").head().peptide == "AAAK"
+    # A file more, one less: only the new one is read.
+    scan_file(source / "g.mzXML", [20])
+    (source / "f0.mzXML").unlink()
+    fourth = cli.main([str(tmp_path / "run"), str(source)], spark)
+    assert [p.rsplit("/", 1)[-1] for p in fourth.store.fresh] == ["g.mzXML"] and fourth.stage("index").count() == 9
+    fresh = cli.main([str(tmp_path / "new"), str(source)], spark)
+    table = lambda r, s: sorted(map(str, r.stage(s).drop("file_path").collect()))
+    assert all(table(fourth, s) == table(fresh, s) for s in ("index", "edges", "members", "idens", "enriched"))
+    assert tables_left(spark) == there  # nothing written on the way stays
+
+
+def test_torn_inputs_are_read_again(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(3):
+        scan_file(source / f"f{k}.mzXML", [k])
+    files = ingest.gather(spark, [str(source)])
+    store = InputStore(spark, str(tmp_path / "run")).update(files)
+    assert len(store.fresh) == 3 and InputStore(spark, str(tmp_path / "run")).update(files).fresh == []
+    torn = store.inputs[1]
+    (part,) = [n for n in storage.names(spark, f"{torn.folder}/input={torn.input}") if n.endswith(".parquet")]
+    storage.delete(spark, f"{torn.folder}/input={torn.input}/{part}")
+    again = InputStore(spark, str(tmp_path / "run")).update(files)
+    assert again.fresh == [torn.path] and len(again.refused) == 1 and again.scans().count() == 3
+    assert InputStore(spark, str(tmp_path / "run")).update({}).scans().count() == 0
+    # Bad scans are counted by file, and another way of reading is another input.
+    (source / "bad.mzXML").write_text(f"<msRun>{mzxml_scan(1, 2)}</msRun>")
+    files = ingest.gather(spark, [str(source)])
+    with pytest.raises(Exception, match="precursorMz is missing"):
+        InputStore(spark, str(tmp_path / "run")).update(files)
+    lenient = InputStore(spark, str(tmp_path / "run")).update(files, "DROPMALFORMED")
+    assert {i.path.rsplit("/", 1)[-1]: (i.rows, i.malformed) for i in lenient.inputs} == {"bad.mzXML": (1, 1), "f0.mzXML": (1, 0), "f1.mzXML": (1, 0), "f2.mzXML": (1, 0)}
+
+
+def small_run(spark, root, params=None, label=None):
+    index = spark.createDataFrame([(i, float(100 + i % 2), 1, "f", i) for i in range(6)], "node_id long, mass float, charge int, file_stem string, native_id long")
+    peaks = spark.createDataFrame([(i, float(b), 1.0 + b) for i in range(6) for b in range(12)], "node_id long, mz float, intensity double")
+    return Engine(spark, str(root), index, peaks, None, params or Params(removal_range=(0.0, 0.0), dp_threshold=0.5), label=label)
+
+
+def test_torn_and_foreign_stages_are_refused(spark, tmp_path):
+    run = small_run(spark, tmp_path / "a", label=["x"])
+    rows = run.stage("enriched").collect()
+    record = run.manifest["stages"]["edges"]
+    assert record["rows"] == 15 and record["files"] >= 1 and run.stage("edges").count() == 15
+    assert small_run(spark, tmp_path / "a", label=["x"]).load().manifest["stages"] == run.manifest["stages"]
+    # The table of another run's stage, at its place or mounted.
+    other = small_run(spark, tmp_path / "b", label=["x"])
+    other.stage("edges")
+    with pytest.raises(ValueError, match="not a stage"):
+        other.mount("edges", str(tmp_path))
+    with pytest.raises(ValueError, match="another table"):
+        other.mount("members", record["path"])
+    with pytest.raises(ValueError, match="other tables"):
+        other.mount("edges", record["path"])
+    fresh = small_run(spark, tmp_path / "c", label=["x"])
+    assert fresh.mount("edges", record["path"]).count() == 15
+    with pytest.raises(ValueError, match="other inputs"):
+        small_run(spark, tmp_path / "d", label=["y"]).mount("edges", record["path"])
+    with pytest.raises(ValueError, match="other parameters"):
+        small_run(spark, tmp_path / "d", Params(dp_threshold=0.9), label=["x"]).mount("edges", record["path"])
+    # A part file gone: the stage and what was made from it are made again, what came before stays.
+    (part, *_) = [n for n in storage.names(spark, record["path"]) if n.endswith(".parquet")]
+    storage.delete(spark, f"{record['path']}/{part}")
+    with pytest.raises(ValueError, match="missing"):
+        small_run(spark, tmp_path / "e", label=["x"]).mount("edges", record["path"])
+    again = small_run(spark, tmp_path / "a", label=["x"]).load()
+    assert set(again.manifest["stages"]) == {"index", "ranked", "idens"} and "missing" in again.refused["edges"]
+    assert again.stage("enriched").collect() == rows
+    storage.delete(spark, f"{again.manifest['stages']['ranked']['path']}/_SUCCESS")
+    assert small_run(spark, tmp_path / "a", label=["x"]).load().refused == {"ranked": "not complete"}
+
+
+def test_a_crash_while_saving_leaves_the_manifest_before(spark, tmp_path):
+    run = small_run(spark, tmp_path / "a")
+    run.stage("index")
+    names = run._manifests()
+    (tmp_path / "a" / "manifests" / "00000009.json.ab.part").write_text('{"half')
+    assert run.saved()["stages"].keys() == {"index"} and run._manifests() == names
+    run.stage("ranked")
+    assert run.saved()["stages"].keys() == {"index", "ranked"} and len(run._manifests()) == 2
