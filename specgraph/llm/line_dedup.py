@@ -42,9 +42,10 @@ def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         lines = write(keyed.select("doc", "version", "place", F.unhex(F.md5("line")).alias("hash")), "lines").df
         # Lines are counted first: keys on fewer lines than documents asked for are most of all and go without a distinct count.
         often = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).select("hash")
-        near = write(lines.join(often, "hash"), "frequent-lines").df
+        # Written tables on both sides of a join: adaptive execution can then split the partition of a very frequent line.
+        near = write(lines.hint("merge").join(write(often, "often").df, "hash"), "frequent-lines").df
         counts = near.groupBy("hash").agg(F.count_distinct("doc").alias("documents"), F.max("doc").alias("last")).where(F.col("documents") >= least_documents)
-        lost = near.join(counts.select("hash", "last"), "hash").where(F.col("doc") < F.col("last"))
+        lost = near.hint("merge").join(write(counts.select("hash", "last"), "shared").df, "hash").where(F.col("doc") < F.col("last"))
         return write(lost.groupBy("doc", "version").agg(F.collect_set("place").alias("places")), "lost-lines", keep=True).df
 
 
@@ -60,7 +61,7 @@ def drop_shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lost = shared_lines(docs, key, text, least_length, least_documents)
     # The row travels as one column, so no name of its own can clash with what is added on the way.
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("doc"), _version(F.col(text)).alias("version"), _lines(F.col(text)).alias("lines"))
-    joined = own.join(lost, ["doc", "version"], "left")
+    joined = own.hint("merge").join(lost, ["doc", "version"], "left")  # one way at every size; what is lost isn't bounded
     # Both lists are of distinct numbers, so a hash set finds what stays, in order and in time linear in the lines.
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("places", F.array().cast("array<int>")))
     kept = joined.withColumn("stay", stay)
