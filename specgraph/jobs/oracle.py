@@ -126,6 +126,7 @@ def refinement(*thresholds: int) -> str:
 
 
 ORACLE = {
+    "betweenness_by_levels": with_(f"{USER_CLUSTERS},\n{betweenness_of(0)}", "SELECT cluster_id, node_id, round(betweenness, 6) AS betweenness FROM bet0"),
     "betweenness": with_(f"{USER_CLUSTERS},\n{betweenness_of(0)}", "SELECT cluster_id, node_id, round(betweenness, 6) AS betweenness FROM bet0"),
     "refine_round": refinement(3),
     "refine_multi": refinement(5, 3),
@@ -224,6 +225,9 @@ ORACLE |= {
     "progressive_edges": f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges JOIN part p ON p.p_partkey = src JOIN part q ON q.p_partkey = dst WHERE p.p_size > 25 OR q.p_size > 25",
     "mzxml_scans": _SCANS,
     "mzml_scans": _SCANS,
+    "indexed_mzxml_scans": _SCANS,
+    "indexed_mzml_scans": _SCANS,
+    "raw_block_texts": "SELECT p_partkey AS native_id, true AS whole, p_partkey AS said, CAST(1 + p_size % 3 AS INTEGER) AS charge FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)",
     "pepxml_identifications": f"WITH {parts('idens')}, usable AS (SELECT * FROM idens), {parts('modified')} SELECT ms_file, native_id, regexp_replace(iden, '/[0-9]+$', '') AS text, charge, probability, 'pp' AS source, is_decoy FROM modified",
     "identification_store": f"WITH {parts('idens')} SELECT ms_file, native_id, peptide, charge, probability, iden_file_id, position FROM (SELECT *, row_number() OVER (PARTITION BY ms_file, native_id ORDER BY iden_file_id, position DESC) AS rn FROM idens WHERE probability >= 0.3 AND NOT is_decoy) WHERE rn = 1",
     "enrichment_update": with_(

@@ -13,8 +13,8 @@ from specgraph.jobs.engine import Engine
 from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
 from specgraph.operators import clusters, enrich, refine, similarity
 from specgraph.operators import preprocess as prep
-from specgraph.sources import binary, mzml, mzxml, pepxml, tables, writers, xmlscan
-from specgraph.storage import new_path, write
+from specgraph.sources import binary, indexed, mzml, mzxml, pepxml, ranges, tables, writers, xmlscan
+from specgraph.storage import names, new_path, write
 from specgraph.streaming import progressive
 
 QUERIES: dict = {}
@@ -277,6 +277,12 @@ def betweenness(spark, sf_dir):
     return rounded(refine.cluster_betweenness(_user_inside(spark, sf_dir)), "betweenness")
 
 
+@query
+def betweenness_by_levels(spark, sf_dir):
+    """The same for clusters of more edges than a task holds: all of them here."""
+    return rounded(refine.cluster_betweenness(_user_inside(spark, sf_dir), max_edges=0), "betweenness")
+
+
 @query
 def refine_round(spark, sf_dir):
     return refine.refine(_user_inside(spark, sf_dir), (3,))
@@ -453,6 +459,16 @@ def _scan_files(spark: SparkSession, sf_dir: str, kind: str) -> str:
     return path
 
 
+def _indexed_files(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
+    """Scan files with their own index, made of the parts."""
+    peaks = tables.part_peaks(spark, sf_dir).groupBy("node_id", "mz").agg(F.sum("intensity").cast("float").alias("intensity"))
+    rows = peaks.groupBy(F.col("node_id").alias("native_id")).agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    index = tables.part_index(spark, sf_dir).select("native_id", F.col("mass").alias("precursor_mz"), "charge")
+    path = new_path(spark, kind)
+    writers.indexed_lines(rows.join(index, "native_id").repartition(3, "native_id"), kind).write.text(path)
+    return [f"{path}/{n}" for n in names(spark, path) if n.startswith("part-")]
+
+
 def _read_back(scans: DataFrame) -> DataFrame:
     whole = F.aggregate("peaks", F.lit(0.0), lambda a, p: a + p["mz"].cast("double"))
     ordered = F.size("peaks") == F.col("peaks_count")
@@ -471,6 +487,26 @@ def mzml_scans(spark, sf_dir):
     return _read_back(xmlscan.good(mzml.read(spark, [_scan_files(spark, sf_dir, "mzml")], min_peaks=LEAST)))
 
 
+@query
+def indexed_mzxml_scans(spark, sf_dir):
+    """The same scans from mzXML files read by their own index."""
+    return _read_back(xmlscan.good(indexed.read(spark, _indexed_files(spark, sf_dir, "mzxml"), "mzxml", min_peaks=LEAST)))
+
+
+@query
+def indexed_mzml_scans(spark, sf_dir):
+    """The same scans from mzML files read by their own index."""
+    return _read_back(xmlscan.good(indexed.read(spark, _indexed_files(spark, sf_dir, "mzml"), "mzml", min_peaks=LEAST)))
+
+
+@query
+def raw_block_texts(spark, sf_dir):
+    """The text of every scan by its byte range, many with one read: its length, and what its first tag says."""
+    scans = indexed.read(spark, _indexed_files(spark, sf_dir, "mzxml"), "mzxml").select("native_id", "file_path", "start", "end", "charge")
+    raw = ranges.raw_blocks(scans)
+    return raw.select("native_id", (F.length("raw") == F.col("end") - F.col("start")).alias("whole"), F.regexp_extract("raw", '^<scan num="([0-9]+)"', 1).cast("long").alias("said"), F.regexp_extract("raw", 'precursorCharge="([0-9]+)"', 1).cast("int").alias("charge"))
+
+
 @query
 def pepxml_identifications(spark, sf_dir):
     """Identifications of the parts written as spectrum queries and read again, with their modifications as text."""
