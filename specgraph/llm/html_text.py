@@ -1,19 +1,23 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read once, tag by tag; block-level tags cut its text into blocks.
-Containers that hold no article text by their name (navigation, page header and
-footer, sidebars, scripts, adverts, notices, reader comments) are left out.  A
-form, or a container whose name also speaks of the page's layout, is left out
-unless it holds most of the page's text (a page wrapped in one form, a layout
-named after its sidebar).  Then
-
-* pass 1 decides each block by its link density, its length and its density of
-  stop words, or leaves it open when it is short.  Article and main elements are
-  a prior, and only if they hold at least half of the text that is good by
-  itself: inside, only runs of bare links and longer blocks with links and
+Elements that hold no article text by what they are (navigation, page header and
+footer, aside, scripts, controls, hidden ones, such roles) are left out.
+
+* Pass 1 decides each block by its link density, its density of stop words and its
+  length: many links or, in a long block, hardly a stop word make it boilerplate;
+  a dense block or a long one of middling density is text; notices about cookies and
+  copyright lines are boilerplate; the others are open.  On a page that has hardly a
+  stop word at all, or nothing that is text by them, lengths and links decide.
+* Containers whose class names or ids speak of menus, adverts, comments and the
+  like are weighed by the labels of pass 1: one is left out if there is text enough
+  beside it (how much depends on what else its name says), or if it is mostly links; a name by itself takes
+  nothing away, so an article in a container of such a name stays.
+* Article and main elements are a prior, and only if they hold at least half of the
+  text: inside, only runs of bare links and longer blocks with links and
   hardly a stop word are out at once, other doubtful blocks are open; outside,
-  only a high density of stop words makes a block text at once;
-* pass 2 gives open blocks the label of their nearest decided neighbours; where
+  only a high density of stop words makes a block text at once.
+* Pass 2 gives open blocks the label of their nearest decided neighbours; where
   these differ, a heading takes the label of what follows it, and any other
   block that of the closer one (the earlier one if equally close).  Where there is
   a prior, it decides unless the neighbours on both sides speak against it.
@@ -37,7 +41,7 @@ GOOD, BAD, OPEN = 1, -1, 0
 #: Lengths in code points, densities as shares of the words or code points of a block.
 SHORT, LONG = 70, 200
 LINKS_HIGH, LINKS_ONLY = 0.33, 0.8
-STOP_LOW, STOP_HIGH = 0.15, 0.30
+STOP_NONE, STOP_LOW, STOP_HIGH = 0.05, 0.15, 0.30
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -84,57 +88,79 @@ NAME_WORDS = frozenset(
     """.split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-LAYOUT_WORDS = frozenset("has with no without is js enabled open".split())
-# Words in names of containers that may wrap a whole page.
-SCOPE_WORDS = frozenset("layout content page wrap wrapper container main body site outer inner holder".split())
-# Of the words above, those that such names may have for what stands beside the text.
+# What follows one of these says what a container has; the last of them, in which state the page is.
+LAYOUT_WORDS = frozenset("has with no without is js".split())
+STATE_WORDS = frozenset("enabled open closed free required allowed on off".split())
+# Words in names of containers that may wrap a whole page, and of ones that hold articles.
+SCOPE_WORDS = frozenset("layout page wrap wrapper container site outer inner holder".split())
+TEXT_WORDS = frozenset("article blog body content entry main news post story text".split())
+# Of the words above, those that names of wrappers may have for what stands beside the text.
 BESIDE_WORDS = frozenset("banner modal notice overlay popup rail sidebar toolbar widget widgets".split())
-#: Share of the page's text from which such a container, or a form, is the page rather than an aside.
-MOST = 2 / 3
-NO, OUT, DOUBTFUL = 0, 1, 2
+#: What a container's name says: nothing; it speaks of an aside and of text or layout; of text, then of an aside; of an aside alone.
+NO, MIXED, TAIL, ASIDE, OUT = 0, 1, 2, 3, 4
+#: Text beside such a container, as a share of its own, from which it is left out.
+BESIDE = {MIXED: 1.0, TAIL: 1 / 8, ASIDE: 1 / 20}
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b", re.I)
+# Words of consent notices, in the languages of the stop words.
+COOKIE = re.compile(r"\bcookies?\b", re.I)
+CONSENT = re.compile(r"\b(?:accept|agree|consent|privacy|preferences|settings|experience|akzeptier|zustimm|einwillig|datenschutz|einstellung|accepte|confidentialité|paramètr|acept|privacidad|preferencias)", re.I)
+#: Consent notices are no longer than this.
+NOTICE = 600
 
 
-def _named_aside(value: str, in_region: bool) -> int:
-    """Does a class name or id say so?  Inside an article a header is the article's own."""
-    found = NO
+def _parts(name: str) -> list[str]:
+    parts = [p.lower() for p in NAME_PART.findall(name)]
+    return parts[: next((i for i, p in enumerate(parts) if p in LAYOUT_WORDS), len(parts))]
+
+
+def _named(value: str, in_region: bool) -> int:
+    """How strongly a list of class names, or an id, speaks of an aside.  Inside an article a header is the article's own."""
+    found, text = NO, False
     for name in value.split():
-        parts = [p.lower() for p in NAME_PART.findall(name)]
-        # What follows "with" and the like says what a container has, not what it is.
-        parts = parts[: next((i for i, p in enumerate(parts) if p in LAYOUT_WORDS), len(parts))]
-        aside = {p for p in parts if p in NAME_WORDS and not (in_region and p == "header")}
-        if aside and (SCOPE_WORDS.isdisjoint(parts) or not aside <= BESIDE_WORDS):
-            return OUT
-        found = DOUBTFUL if aside else found
-    return found
-
-
-def _left_out(tag: str, attributes: str, in_region: bool) -> int:
-    """Does the element hold no article text?"""
+        parts = _parts(name)
+        aside = [i for i, p in enumerate(parts) if p in NAME_WORDS and not (in_region and p == "header")]
+        words = [i for i, p in enumerate(parts) if p in TEXT_WORDS]
+        if not aside or parts[-1] in STATE_WORDS:
+            text = text or bool(words)
+        elif words and words[-1] > aside[-1]:
+            found = max(found, MIXED)
+        elif words:
+            found = max(found, TAIL)
+        elif not SCOPE_WORDS.isdisjoint(parts) and {parts[i] for i in aside} <= BESIDE_WORDS:
+            found = max(found, MIXED)
+        else:
+            found = ASIDE
+    return TAIL if found == ASIDE and text else found
+
+
+def _suspect(tag: str, attributes: str, in_region: bool) -> int:
+    """OUT for elements that hold no article text, else how strongly the element's names, or a form, speak against it."""
     if tag in DROPPED or (tag == "header" and not in_region):
         return OUT
-    doubtful = DOUBTFUL if tag == "form" else NO
+    form = TAIL if tag == "form" else NO
     if not attributes or tag in ("html", "body", "article", "main"):
-        return doubtful
+        return form
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
         return OUT
     if found.get("role", "").lower() in ROLES:
         return OUT
-    named = [_named_aside(unescape(found.get(k, "")), in_region) for k in ("class", "id")]
-    return OUT if OUT in named else max(*named, doubtful)
+    return max(form, *(_named(unescape(found.get(k, "")), in_region) for k in ("class", "id")))
 
 
 class Block:
+    """``doubts`` are the suspect containers around it from the outside in, as (number, what its name says, whether it stands in an article)."""
+
     __slots__ = ("text", "linked", "heading", "region", "doubts")
 
-    def __init__(self, text: str, linked: int, heading: bool, region: bool, doubts: tuple[int, ...] = ()):
+    def __init__(self, text: str, linked: int, heading: bool, region: bool, doubts: tuple[tuple[int, int, bool], ...] = ()):
         self.text, self.linked, self.heading, self.region, self.doubts = text, linked, heading, region, doubts
 
 
@@ -143,20 +169,57 @@ def blocks(html: str) -> list[Block]:
     found = all_blocks(html)
     if not any(b.doubts for b in found):
         return found
-    sizes: dict[int, int] = {}
-    for b in found:
-        for d in b.doubts:
-            sizes[d] = sizes.get(d, 0) + len(b.text)
-    whole = sum(len(b.text) for b in found)
-    return [b for b in found if all(sizes[d] >= MOST * whole for d in b.doubts)]
+    gone = asides(found)
+    return [b for b in found if not any(d[0] in gone for d in b.doubts)]
+
+
+def asides(found: list[Block]) -> set[int]:
+    """Numbers of the suspect containers that are left out, by the labels that pass 1 gives the blocks inside and beside them.
+
+    Beside a container stands what is in none of the suspect ones but those around it.
+    """
+    labels = evidence(found)
+    read = any(b.region and label != BAD for b, label in zip(found, labels))  # an article element holds text
+    own: dict[tuple, list[int]] = {}  # by containers: code points that are text, not boilerplate, linked, all
+    for b, label in zip(found, labels):
+        sums = own.setdefault(b.doubts, [0, 0, 0, 0])
+        n = len(b.text)
+        sums[0] += n * (label == GOOD or (b.region and label != BAD))
+        sums[1] += n * (label != BAD)
+        sums[2] += b.linked
+        sums[3] += n
+    inside: dict[tuple, list[int]] = {}
+    for path, sums in own.items():
+        for k in range(1, len(path) + 1):
+            total = inside.setdefault(path[:k], [0, 0, 0, 0])
+            for i, x in enumerate(sums):
+                total[i] += x
+    out = set()
+    for path, (good, plain, linked, whole) in inside.items():
+        number, says, in_region = path[-1]
+        beside = [own.get(path[:k], (0, 0))[:2] for k in range(len(path))]
+        good_beside, plain_beside = (sum(x[i] for x in beside) for i in (0, 1))
+        if read and not in_region and not any(d[2] for d in path):
+            # The page's article is elsewhere, unless it stands in this container.
+            if not any(b.region for b in found if path[-1] in b.doubts):
+                out.add(number)
+                continue
+        if linked > LINKS_HIGH * whole:
+            out.add(number)
+        elif says == ASIDE or not good:
+            if plain_beside > 0 and plain_beside >= BESIDE[says] * plain:
+                out.add(number)
+        elif good_beside >= BESIDE[says] * good:
+            out.add(number)
+    return out
 
 
 def all_blocks(html: str) -> list[Block]:
-    """Blocks with the numbers of the doubtful containers around them."""
+    """Blocks with the suspect containers around them."""
     out: list[Block] = []
     stack: list[str] = []
     text: list[str] = []
-    doubts: list[tuple[int, int]] = []  # depth and number of the doubtful containers that are open
+    doubts: list[tuple[int, tuple[int, int, bool]]] = []  # depth and description of the suspect containers that are open
     linked = out_at = region = links = paragraphs = numbered = 0
     heading, breaks, at, end = False, 0, 0, len(html)
 
@@ -256,14 +319,14 @@ def all_blocks(html: str) -> list[Block]:
         links += tag == "a"
         paragraphs += tag == "p"
         if not out_at:
-            left_out = _left_out(tag, attributes, region > 0)
-            if left_out == OUT:
+            says = _suspect(tag, attributes, region > 0)
+            if says == OUT:
                 flush()
                 out_at = len(stack)
-            elif left_out == DOUBTFUL:
+            elif says:
                 flush()
                 numbered += 1
-                doubts.append((len(stack), numbered))
+                doubts.append((len(stack), (numbered, says, region > 0)))
             if tag in HEADINGS:
                 heading = True
     flush()
@@ -271,26 +334,51 @@ def all_blocks(html: str) -> list[Block]:
 
 
 def stop_density(text: str) -> float:
+    """Share of the words that are stop words; what isn't a letter at a word's ends doesn't count."""
     words = text.lower().split()
-    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum(EDGE.sub("", w) in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _evidence(b: Block) -> int:
-    """The label of a block by its own links, length and stop words, wherever it stands."""
-    if b.linked > LINKS_HIGH * len(b.text) or (len(b.text) < LONG and COPYRIGHT.search(b.text)):
-        return BAD
-    if len(b.text) < SHORT:
-        return BAD if b.linked else OPEN
-    if len(b.text) >= LONG:
+def _by_density(text: str, density: float, linked: int) -> int:
+    """The label of a block without many links."""
+    if len(text) < SHORT:
+        return BAD if linked else OPEN
+    if density >= STOP_HIGH:
         return GOOD
-    density = stop_density(b.text)
-    return GOOD if density >= STOP_HIGH else OPEN if density >= STOP_LOW or not b.linked else BAD
+    if density >= STOP_LOW:
+        return GOOD if len(text) >= LONG else OPEN
+    return BAD if (len(text) >= LONG and density < STOP_NONE) or linked else OPEN
+
+
+def _by_length(text: str, linked: int) -> int:
+    return GOOD if len(text) >= LONG else BAD if linked and len(text) < SHORT else OPEN
+
+
+def evidence(found: list[Block]) -> list[int]:
+    """The label of each block by its own links, length and stop words, wherever it stands."""
+    by_links = [b.linked > LINKS_HIGH * len(b.text) for b in found]
+    density = [0.0 if bad else stop_density(b.text) for b, bad in zip(found, by_links)]
+    words = [0 if bad else len(b.text.split()) for b, bad in zip(found, by_links)]
+    unknown = sum(d * n for d, n in zip(density, words)) < STOP_NONE * sum(words)
+
+    def labels(by_length: bool) -> list[int]:
+        out = []
+        for b, d, bad in zip(found, density, by_links):
+            n = len(b.text)
+            if bad or (n < LONG and COPYRIGHT.search(b.text)) or (n < NOTICE and COOKIE.search(b.text) and CONSENT.search(b.text)):
+                out.append(BAD)
+            else:
+                out.append(_by_length(b.text, b.linked) if by_length else _by_density(b.text, d, b.linked))
+        return out
+
+    out = labels(unknown)
+    return out if unknown or GOOD in out else labels(True)
 
 
-def priors(found: list[Block], evidence: list[int]) -> list[int]:
-    """GOOD inside and BAD outside article and main, if these hold at least half of the text that is good by itself; else OPEN."""
-    inside = sum(len(b.text) for b, label in zip(found, evidence) if label == GOOD and b.region)
-    outside = sum(len(b.text) for b, label in zip(found, evidence) if label == GOOD and not b.region)
+def priors(found: list[Block], labels: list[int]) -> list[int]:
+    """GOOD inside and BAD outside article and main, if these hold at least half of the text that isn't links or is good by itself; else OPEN."""
+    inside = sum(len(b.text) - b.linked for b in found if b.region)
+    outside = sum(len(b.text) for b, label in zip(found, labels) if label == GOOD and not b.region)
     if inside < outside or not any(b.region for b in found):
         return [OPEN] * len(found)
     return [GOOD if b.region else BAD for b in found]
@@ -298,9 +386,9 @@ def priors(found: list[Block], evidence: list[int]) -> list[int]:
 
 def first_pass(found: list[Block]) -> list[int]:
     bare = [b.linked >= LINKS_ONLY * len(b.text) for b in found]
-    evidence = [_evidence(b) for b in found]
+    own = evidence(found)
     labels = []
-    for i, (b, label, prior) in enumerate(zip(found, evidence, priors(found, evidence))):
+    for i, (b, label, prior) in enumerate(zip(found, own, priors(found, own))):
         if prior == GOOD and label == BAD:
             in_run = bare[i] and ((i > 0 and bare[i - 1]) or (i + 1 < len(found) and bare[i + 1]))
             link_text = b.linked and len(b.text) >= SHORT and stop_density(b.text) < STOP_LOW
@@ -344,7 +432,7 @@ def second_pass(found: list[Block], labels: list[int], prior: list[int] | None =
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    kept = second_pass(found, first_pass(found), priors(found, [_evidence(b) for b in found]))
+    kept = second_pass(found, first_pass(found), priors(found, evidence(found)))
     return "\n".join(b.text for b, label in zip(found, kept) if label == GOOD)
 
 
