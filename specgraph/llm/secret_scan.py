@@ -1,23 +1,25 @@
 """Secrets in texts: fixed formats, and strings that pass a battery of randomness tests far better than ordinary ones.
 
 Every step is a SQL function.  Candidates are runs of at least 20 characters of the base64 alphabets that hold
-letters and digits.  Each gets an inferred encoding (hex, base32, base36 or base64) and three tests of "drawn
+letters and digits.  Each gets an inferred encoding (hex, base32, base36 or base64) and five tests of "drawn
 uniformly from that alphabet": chi-squared uniformity of the symbols, the number of runs above and below the
-middle of the alphabet, and the lag-one serial correlation of the symbol values.  Fisher's method joins the three
+middle of the alphabet, the lag-one serial correlation of the symbol values, the number of changes between capitals,
+small letters and digits, and the number of symbol pairs that are frequent in written languages.  The last two tell
+short strings apart, for which the first three have little to go by.  Fisher's method joins the
 p values to one score, high for random strings.
 
 What is reported is controlled, not what is cleared.  The null hypothesis is "an ordinary string": names put
 together from words and a number, as file names, addresses and identifiers are.  Every document gives one such
-string, made of words at a place drawn by a hash, and a fixed list of function words gives some more (a floor for
+string, made of its own words from a place on that is drawn by a hash from the whole text, and a fixed list of function words gives some more (a floor for
 small tables).  They are scored by the same battery, so each class of lengths has the distribution of scores of
 ordinary strings.  A candidate's p value is the share of ordinary strings of its class that score as high;
-Benjamini-Hochberg within each class then bounds the share of ordinary strings among those reported.  Where the
-tests have little power (short strings) little is reported.
+Benjamini-Hochberg within each class then bounds the share of ordinary strings among those reported.  Texts are
+read once: spans, scores and the scores of ordinary strings are written together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,16 +51,34 @@ LENGTH_CLASSES = [20, 24, 32, 40, 64, 128]
 BINS = 200
 #: Share of ordinary strings tolerated among the random spans reported, in each class of lengths.
 RATE = 0.05
-#: Ordinary strings of each class from the list of function words; words taken for one string.
-FLOOR, WORDS = 200, 64
-#: Code points of a text, at a place drawn by its hash, that its words are taken from.
-WINDOW = 600
-
-
-def _alphabet(token: Column) -> Column:
-    out = F.lit(ENCODINGS[-1][1])
-    for rule, letters in reversed(ENCODINGS[:-1]):
-        out = F.when(token.rlike(rule), F.lit(letters)).otherwise(out)
+#: Ordinary strings of each class from the list of function words.
+FLOOR = 200
+# Frequent pairs of letters in English, German, French and Spanish.
+PAIRS = """
+    al an ar as at au be ce ch ci co de ea ed ei en er es ge ha he hi ic ie in io is it la le li ll ma me nd ne ng nt of om on or os ou
+    qu ra re ri ro se si st te th ti to ue un ur ve
+    """.split()
+#: A probability below this counts as this in a test's spread.
+LEAST_SHARE = 1e-4
+
+
+def _kind(c: str) -> str:
+    return "D" if c.isdigit() else "U" if c.isupper() else "L" if c.islower() else "S"
+
+
+def _shares(letters: str) -> tuple[float, float, float]:
+    """Of an alphabet's uniform strings: chance that two symbols are of one kind, that three are, and that a pair is frequent."""
+    kinds = [sum(_kind(c) == k for c in letters) / len(letters) for k in "DULS"]
+    pairs = sum((a + b).lower() in PAIRS for a in letters for b in letters) / len(letters) ** 2
+    return sum(x**2 for x in kinds), sum(x**3 for x in kinds), max(pairs, LEAST_SHARE)
+
+
+def _encoding(token: Column) -> Column:
+    """(letters, same, third, pair) of the narrowest encoding that the token fits."""
+    known = [F.struct(F.lit(letters).alias("letters"), *[F.lit(x).alias(n) for n, x in zip(("same", "third", "pair"), _shares(letters))]) for _, letters in ENCODINGS]
+    out = known[-1]
+    for (rule, _), own in list(zip(ENCODINGS, known))[-2::-1]:
+        out = F.when(token.rlike(rule), own).otherwise(out)
     return out
 
 
@@ -104,18 +124,38 @@ def _log(p: Column) -> Column:
     return F.log(F.greatest(p, F.lit(1e-12)))
 
 
+def _log_p_changes(v: Column) -> Column:
+    """Changes of kind (capital, small letter, digit, sign) from one symbol to the next: too few?"""
+    changes = F.length(F.regexp_replace(v["kinds"], r"(.)\1*", "$1")).cast("double") - 1.0
+    spread = F.sqrt((v["n"] - 1.0) * v["same"] * (1.0 - v["same"]) + 2.0 * (v["n"] - 2.0) * (v["third"] - v["same"] * v["same"]))
+    return F.when(spread > 0, bound((changes + 0.5 - (v["n"] - 1.0) * (1.0 - v["same"])) / spread, lambda z: _log(normal_cdf(z)))).otherwise(F.lit(0.0))
+
+
+def _log_p_pairs(v: Column) -> Column:
+    """Pairs of neighbouring symbols that languages are full of: too many?"""
+    found = F.regexp_count(v["lower"], F.lit("(?=" + "|".join(PAIRS) + ")")).cast("double")
+    spread = F.sqrt((v["n"] - 1.0) * v["pair"] * (1.0 - v["pair"]))
+    return bound((found - 0.5 - (v["n"] - 1.0) * v["pair"]) / spread, lambda z: _log(1.0 - normal_cdf(z)))
+
+
 def randomness(token: Column) -> Column:
-    """Joint p value (Fisher) of the three tests for one candidate."""
-    plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
+    """Joint p value (Fisher) of the five tests for one candidate."""
 
-    def values(alphabet: Column) -> Column:
-        x = F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet).cast("double") - 1.0)
-        return bound(x, lambda x: F.struct(x.alias("x"), F.size(x).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k")))
+    def values(plain: Column, own: Column) -> Column:
+        x = F.transform(F.split(plain, ""), lambda c: F.position(c, own["letters"]).cast("double") - 1.0)
+        letters = ENCODINGS[-1][1]
+        kinds = F.translate(plain, letters, "".join(map(_kind, letters)))
+        return F.struct(
+            x.alias("x"), F.length(plain).cast("double").alias("n"), F.length(own["letters"]).cast("double").alias("k"),
+            kinds.alias("kinds"), F.lower(plain).alias("lower"), own["same"].alias("same"), own["third"].alias("third"), own["pair"].alias("pair"),
+        )
 
     def fisher(v: Column) -> Column:
-        return bound(-(_log_p_uniform(v) + _log_p_runs(v) + _log_p_serial(v)), lambda h: F.exp(-h) * (1.0 + h + h * h / 2.0))
+        logs = _log_p_uniform(v) + _log_p_runs(v) + _log_p_serial(v) + _log_p_changes(v) + _log_p_pairs(v)
+        return bound(-logs, lambda h: F.exp(-h) * (1.0 + h * (1.0 + h / 2.0 * (1.0 + h / 3.0 * (1.0 + h / 4.0)))))
 
-    return bound(bound(_alphabet(token), values), fisher)
+    plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
+    return bound(plain, lambda t: bound(bound(_encoding(token), lambda own: values(t, own)), fisher))
 
 
 def _class(length: Column) -> Column:
@@ -126,15 +166,23 @@ def _class(length: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, assign, access, hex, random): spans of each text; random ones carry the p value ``p`` and its bin."""
+    """(doc_id, assign, access, hex, random, ordinary): spans of each text; random ones carry the p value ``p`` and its bin.
+
+    ``ordinary`` is (class, bin) of the document's own ordinary string, null where the text has too few words for one.
+    """
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = with_spans(own, "text", PATTERNS).drop("text")
+    drawn = own.withColumn("words", F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")).withColumn("ordinary", _ordinary(F.col("words"), F.xxhash64("text"))).drop("words")
+    found = with_spans(drawn, "text", PATTERNS).drop("text")
     free = F.filter("random", lambda s: ~overlaps(s, F.concat(*[F.col(k) for k in BASE])))
 
     def tested(s: Column) -> Column:
         return bound(randomness(s["match"]), lambda p: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), p.alias("p"), _bin(p).alias("bin")))
 
-    return found.withColumn("random", F.transform(free, tested))
+    return found.withColumns({"random": F.transform(free, tested), "ordinary": bound(F.col("ordinary"), _scored)})
+
+
+def _scored(string: Column) -> Column:
+    return F.when(string.isNotNull(), F.struct(_class(F.length(string)).alias("class"), _bin(randomness(string)).alias("bin")))
 
 
 def _bin(p: Column) -> Column:
@@ -143,37 +191,40 @@ def _bin(p: Column) -> Column:
 
 
 def _ordinary(words: Column, seed: Column) -> Column:
-    """An ordinary string of ASCII words with a number behind one of the first, cut to a length of its class; null if it is too short.
+    """An ordinary string of ASCII words, from a drawn one on, with a number behind one of the first, cut to a length of its class; null if it is too short.
 
-    The seed chooses class, length, number, and how the words are joined: by a hyphen, by an underscore, or by capitals.
+    The seed chooses place, class, length, number, and how the words are joined: by a hyphen, by an underscore, or by capitals.
     """
-    part = lambda i, n: F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(n)).cast("int")
-    plain = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: F.length(w) > 0)
-    shaped = F.transform(plain, lambda w, i: F.concat(F.when(part(1, 3) == 2, F.initcap(w)).otherwise(F.lower(w)), F.when(i == part(2, 4), part(3, 10_000).cast("string")).otherwise("")))
-    joined_ = F.array_join(shaped, "-")
-    text = F.when(part(1, 3) == 1, F.replace(joined_, F.lit("-"), F.lit("_"))).when(part(1, 3) == 2, F.replace(joined_, F.lit("-"), F.lit(""))).otherwise(joined_)
+    part = lambda i, n: F.pmod(F.xxhash64(seed, F.lit(i)), n.cast("long") if isinstance(n, Column) else F.lit(n)).cast("int")
     low = F.element_at(F.array(*[F.lit(x) for x in LENGTH_CLASSES]), part(4, len(LENGTH_CLASSES)) + 1)
     above = F.element_at(F.array(*[F.lit(x) for x in [*LENGTH_CLASSES[1:], 2 * LENGTH_CLASSES[-1]]]), part(4, len(LENGTH_CLASSES)) + 1)
-    size = low + F.pmod(F.xxhash64(seed, F.lit(5)), (above - low).cast("long")).cast("int")
-    return F.when(F.length(text) >= low, F.substring(text, F.lit(1), size))
+    size = low + part(5, above - low)
+    at, first = part(6, F.greatest(F.size(words), F.lit(1))) + 1, part(2, 4) + 1
+    # As many words as the string has code points are always enough.
+    run = lambda start, n: F.array_join(F.slice(words, start, n), " ")
+    spaced = F.concat(run(at, first), part(3, 10_000).cast("string"), F.lit(" "), run(at + first, size))
+    shape = part(1, 3)
+    shaped = F.when(shape == 2, F.replace(F.initcap(spaced), F.lit(" "), F.lit(""))).when(shape == 1, F.translate(F.lower(spaced), " ", "_")).otherwise(F.translate(F.lower(spaced), " ", "-"))
+    return bound(shaped, lambda t: F.when(F.length(t) >= low, F.substring(t, F.lit(1), size)))
+
+
+def listed_strings(spark: SparkSession) -> DataFrame:
+    """(ordinary) scores of ordinary strings made of function words, ``FLOOR`` for each class on average."""
+    known = F.array(*[F.lit(w) for w in sorted(w for w in STOP_WORDS if w.isascii())])
+    n = 2 * LENGTH_CLASSES[-1]
+    words = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.element_at(known, F.pmod(F.xxhash64("seed", i), F.size(known)).cast("int") + 1))
+    # From a drawn word of this many there are more than enough left in nearly all cases; the others give no string.
+    made = spark.range(FLOOR * len(LENGTH_CLASSES)).select(F.xxhash64("id").alias("seed")).select("seed", F.concat(words, words).alias("w")).select(_ordinary(F.col("w"), F.col("seed")).alias("s"))
+    return made.select(bound(F.col("s"), _scored).alias("ordinary"))
 
 
-def ordinary_scores(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(class, bin, n): scores of the ordinary strings, one from each document and ``FLOOR`` of each class from the list.
+def ordinary_scores(scanned: DataFrame) -> DataFrame:
+    """(class, bin, n): scores of the ordinary strings, those of all documents and those of the list.
 
     At most len(LENGTH_CLASSES) * (BINS + 1) rows at any input size.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.xxhash64(F.col(text).cast("string")).alias("seed"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    at = own.withColumn("at", F.pmod("seed", F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1).cast("int"))
-    words = F.split(F.trim(F.substring(F.col("t"), F.col("at") + 1, F.lit(WINDOW))), r"\s+")
-    drawn = at.select("seed", F.slice(words, F.when(F.col("at") > 0, 2).otherwise(1), WORDS).alias("w"))  # the first word may be cut
-    known = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    listed = spark.range(FLOOR * len(LENGTH_CLASSES)).select(F.xxhash64("id").alias("seed")).select(
-        "seed", F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda i: F.element_at(known, F.pmod(F.xxhash64("seed", i), F.lit(len(STOP_WORDS))).cast("int") + 1)).alias("w")
-    )
-    made = drawn.union(listed).select(_ordinary(F.col("w"), F.col("seed")).alias("s")).where("s is not null")
-    return made.select(_class(F.length("s")).alias("class"), _bin(randomness(F.col("s"))).alias("bin")).groupBy("class", "bin").agg(F.count(F.lit(1)).alias("n"))
+    whole = scanned.select("ordinary").union(listed_strings(scanned.sparkSession)).where("ordinary is not null")
+    return whole.groupBy("ordinary.class", "ordinary.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def least_bins(candidates: DataFrame, ordinary: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -194,11 +245,11 @@ def least_bins(candidates: DataFrame, ordinary: DataFrame, rate: float = RATE) -
 def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """(doc_id, assign, access, hex, random) with only the random spans that are reported; other names don't clash.
 
-    Null texts are empty and have no spans; null and repeated keys stay row by row.
+    Null texts are empty and have no spans; null and repeated keys stay row by row.  An empty table gives no rows.
     """
     scanned = write(scan(docs, key, text), "secrets").df
     candidates = scanned.select(F.explode("random").alias("s")).select(_class(F.length("s.match")).alias("class"), F.col("s.bin").alias("bin"))
-    least = least_bins(candidates, ordinary_scores(docs, text), rate)
+    least = least_bins(candidates, ordinary_scores(scanned), rate)
 
     def stays(s: Column) -> Column:
         limit = F.lit(BINS + 1)
@@ -206,7 +257,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: floa
             limit = F.when(_class(F.length(s["match"])) == length, F.lit(low)).otherwise(limit)
         return s["bin"] >= limit
 
-    return scanned.withColumn("random", F.filter("random", stays))
+    return scanned.drop("ordinary").withColumn("random", F.filter("random", stays))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Secret spans against plain Python, and the randomness tests on random and ordinary strings."""
 
 import hashlib
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from specgraph.llm import secret_scan as S
 
@@ -92,7 +94,73 @@ def test_few_of_the_reported_are_ordinary(spark, share):
 
 
 def test_ordinary_strings_come_from_all_documents(spark):
-    d = spark.createDataFrame([(i, " ".join(["alpha", "beta", "gamma", "delta"] * 40)) for i in range(300)], "doc_id long, text string")
-    plain = sum(r.n for r in S.ordinary_scores(d.limit(0)).collect())
-    assert plain == S.FLOOR * len(S.LENGTH_CLASSES) and sum(r.n for r in S.ordinary_scores(d).collect()) == plain + 300
-    assert sum(r.n for r in S.ordinary_scores(spark.createDataFrame([(1, None), (2, ""), (3, "x")], "doc_id long, text string")).collect()) == plain
+    count = lambda d: sum(r.n for r in S.ordinary_scores(S.scan(d)).collect())
+    d = spark.createDataFrame([(i, " ".join(["alpha", "beta", "gamma", "delta"] * 400)) for i in range(300)], "doc_id long, text string")
+    plain = count(d.limit(0))
+    assert 0.9 * S.FLOOR * len(S.LENGTH_CLASSES) <= plain <= S.FLOOR * len(S.LENGTH_CLASSES) and plain + 200 <= count(d) <= plain + 300
+    assert count(spark.createDataFrame([(1, None), (2, ""), (3, "x"), (4, "12 é")], "doc_id long, text string")) == plain
+
+
+def test_ordinary_strings_may_start_anywhere(spark):
+    """Words of the whole text, not of a window: starts spread over a text of 40,000 words."""
+    words = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyz"]
+    rows = [(" ".join(words[(i * 7 + k) % len(words)] for k in range(4000)) + f" {i}",) for i in range(150)]
+    d = spark.createDataFrame(rows, "t string").withColumn("w", F.split("t", "[^A-Za-z]+"))
+    got = [r for r in d.select("t", "w", S._ordinary(F.col("w"), F.xxhash64("t")).alias("s")).collect() if r.s]
+    starts = [r.w.index(re.match("[a-z]{3}", r.s.lower())[0]) for r in got]
+    assert len(got) > 120 and all(20 <= len(r.s) < 256 and re.fullmatch("[A-Za-z0-9_-]+", r.s) for r in got)
+    assert len(set(starts)) > 80
+
+
+def plain_randomness(token):
+    """The five tests written down again in plain Python."""
+    cdf = lambda z: 1 / (1 + math.exp(-1.5976 * max(-8.0, min(8.0, z)) - 0.07056 * max(-8.0, min(8.0, z)) ** 3))
+    log = lambda p: math.log(max(p, 1e-12))
+    both = lambda z: 2 * (1 - cdf(abs(z)))
+    letters = next(alphabet for rule, alphabet in S.ENCODINGS if re.search(rule, token))
+    t = token.rstrip("=").translate(str.maketrans("-_", "+/"))
+    n, k, x = len(t), len(letters), [letters.index(c) for c in t]
+    counts = [x.count(v) for v in set(x)]
+    chi = k / n * sum(c * c for c in counts) - n
+    out = log(1 - cdf((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)))
+    high = [v > (k - 1) / 2 for v in x]
+    up, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    want = 2 * up * (n - up) / n + 1
+    spread = (want - 1) * (want - 2) / (n - 1)
+    out += log(both((runs - want) / math.sqrt(spread))) if spread > 0 else log(1e-6)
+    d = [v - sum(x) / n for v in x]
+    variance = sum(v * v for v in d)
+    out += log(both((sum(a * b for a, b in zip(d, d[1:])) / variance + 1 / n) * math.sqrt(n))) if variance > 0 else log(1e-6)
+    kind = lambda c: "D" if c.isdigit() else "U" if c.isupper() else "L" if c.islower() else "S"
+    share = [sum(kind(c) == q for c in letters) / k for q in "DULS"]
+    same, third = sum(p * p for p in share), sum(p**3 for p in share)
+    sd = math.sqrt(max(0.0, (n - 1) * same * (1 - same) + 2 * (n - 2) * (third - same * same)))
+    changes = sum(kind(a) != kind(b) for a, b in zip(t, t[1:]))
+    out += log(cdf((changes + 0.5 - (n - 1) * (1 - same)) / sd)) if sd > 0 else 0.0
+    pair = max(S.LEAST_SHARE, sum((a + b).lower() in S.PAIRS for a in letters for b in letters) / k**2)
+    found = sum((a + b).lower() in S.PAIRS for a, b in zip(t, t[1:]))
+    out += log(1 - cdf((found - 0.5 - (n - 1) * pair) / math.sqrt((n - 1) * pair * (1 - pair))))
+    return math.exp(out) * sum((-out) ** i / math.factorial(i) for i in range(5))
+
+
+def test_the_battery_against_a_plain_version(spark):
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 90))) for _, alphabet in S.ENCODINGS for _ in range(12)]
+    tokens += ["the-quick-brown-fox-2019-jumps", "release_notes_final_v2_of_march_2024", "ABCDEFGH23456723ABCD====", "a1" * 20, "aaaaaaaaaaaaaaaaaaaaaaaa1", "11111111111111111111111", "QuarterlyReport2021FinalVersion"]
+    got = {r.t: r.p for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", S.randomness(F.col("t")).alias("p")).collect()}
+    for t in tokens:
+        assert got[t] == pytest.approx(plain_randomness(t), rel=1e-9, abs=1e-15), t
+
+
+def test_short_random_strings_are_told_apart(spark):
+    """Power at 20 to 32 characters among the given documents, with few slugs reported beside them."""
+    rng = random.Random(21)
+    words = "release notes summer report final draft version annual meeting agenda budget how to install python on windows best hotels paris for families product catalog image".split()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 22, 25, 32) for _ in range(60)]
+    slugs = [s for s in (slug(rng, words) for _ in range(240)) if len(s) >= 20]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    d = docs.union(spark.createDataFrame([(10**6 + i, f"see {k} here") for i, k in enumerate(keys + slugs)], "doc_id long, text string"))
+    got = {r.doc_id - 10**6 for r in S.secrets(d).where("size(random) > 0").collect()}
+    right, wrong = sum(0 <= g < len(keys) for g in got), sum(g >= len(keys) for g in got)
+    assert right >= 0.85 * len(keys) and wrong <= 2 * S.RATE * (right + wrong)
