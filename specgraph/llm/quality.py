@@ -3,8 +3,9 @@
 1. Heuristic labellers vote bad, nothing or good on every document.
 2. Spark counts the documents of each vote pattern (at most 3 ** labellers rows).
    Expectation-maximisation on these counts estimates how often each labeller votes
-   how on good and on bad documents, and so a posterior for each pattern.  The only
-   anchor is a prior of stated weight; a labeller that is often wrong is found out.
+   how on good and on bad documents, and so a posterior for each pattern.  It starts from
+   what labellers are built for, which is worth a stated number of documents and no more; a
+   labeller that is often wrong, or says nothing, is found out.
 3. A logistic scorer on hashed words and word shapes is fitted to the posteriors of a
    bounded sample of documents; it scores every document.
 
@@ -31,9 +32,9 @@ TASK_SLICE, DRIVER_SLICE = 1 << 20, 1 << 19
 #: A document is rejected when the scorer's probability of "bad" is at least this.
 REJECT = 0.5
 #: What labellers are built for, as (votes bad, nothing, good) on bad and on good documents; the share of bad documents.
-#: This prior weighs ``PRIOR`` times as much as the table itself, so the estimates can leave it but the classes keep their meaning.
+#: The estimation starts there, which says what the classes mean; as evidence it counts as much as ``PRIOR`` documents, whatever the table's size.
 DETECTOR, TWO_SIDED = ((0.3, 0.699, 0.001), (0.001, 0.998, 0.001)), ((0.3, 0.1, 0.6), (0.001, 0.199, 0.8))
-BAD_SHARE, PRIOR = 0.1, 1.0
+BAD_SHARE, PRIOR = 0.1, 50.0
 #: Words that a labeller needs for a vote: shares over a whole text, and marks that stand in or on its words.
 LEAST_WORDS, LEAST_MARKED = 12, 3
 
@@ -191,7 +192,7 @@ class LabelModel:
         prior = np.array([TWO_SIDED if name in BOTH_WAYS else DETECTOR for name in LABELLERS]).transpose(1, 0, 2)
         share = np.array([BAD_SHARE, 1 - BAD_SHARE])
         self.table, self.share = prior, share
-        weigh = PRIOR * max(n.sum(), 1.0)
+        weigh = PRIOR
         for _ in range(rounds):
             bad = self.posterior(votes)
             weight = np.stack([n * bad, n * (1 - bad)])
@@ -295,7 +296,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     """(doc_id, n_words, votes_bad, votes_good, weak_bad, p_bad, kept) of each row.
 
     Null texts count as empty and are kept; null and repeated keys stay row by row;
-    an empty table gives no rows.
+    a probability of exactly ``REJECT`` rejects; an empty table gives no rows.
     """
     model = fit(docs, text, sample, key)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -303,7 +304,11 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
 
 def keep_good(docs: DataFrame, text: str = "text", sample: int = SAMPLE, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the scorer doesn't reject, all columns as they are."""
+    """The rows of ``docs`` that the scorer doesn't reject, all columns as they are, whatever their names.
+
+    Null texts and texts without a word stay; null and repeated keys are decided row by row, equal texts alike; a
+    probability of exactly ``REJECT`` rejects; an empty table gives no rows.
+    """
     _, scorer = fit(docs, text, sample, key)
     at = docs.columns.index(text)
 

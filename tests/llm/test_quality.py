@@ -160,3 +160,59 @@ def test_votes_equal_a_plain_version(spark):
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + SOUND + [None, "", " \n ", "a", "A! " * 20, "x* y* z*", "ab\x1cc d", "w " * 30, "l\n" * 40]
     got = Q.Texts(pa.array(texts, pa.string())).votes()
     assert [dict(zip(Q.LABELLERS, row.tolist())) for row in got] == [plain_votes(t) for t in texts]
+
+
+def simulated(n, seed=5):
+    """Votes of sound labellers, but one that votes bad by chance and one that never does although it is built to."""
+    rng = np.random.default_rng(seed)
+    k = len(Q.LABELLERS)
+    bad = rng.random(n) < 0.15
+    u = rng.random((n, k))
+    votes = np.where(bad[:, None], np.where(u < 0.4, -1, np.where(u > 0.7, 1, 0)), np.where(u < 0.002, -1, np.where(u > 0.3, 1, 0)))
+    chance, silent = Q.LABELLERS.index("shouting"), Q.LABELLERS.index("word length")
+    votes[:, chance] = np.where(rng.random(n) < 0.2, -1, 0)
+    votes[:, silent] = np.where(votes[:, silent] < 0, 0, votes[:, silent])
+    pattern, count = np.unique(Q.pattern_of(votes), return_counts=True)
+    return dict(zip(pattern.tolist(), count.tolist())), chance, silent
+
+
+@pytest.mark.parametrize("n,times", [(3000, 1), (3000, 1000), (60_000, 1)])
+def test_a_useless_labeller_is_found_out_at_any_size(n, times):
+    counts, chance, silent = simulated(n)
+    model = Q.LabelModel({p: c * times for p, c in counts.items()})
+    assert model.table[0, silent, 0] < 0.03  # built for 0.3
+    assert abs(model.table[0, chance, 0] - model.table[1, chance, 0]) < 0.1  # says as much about good documents as about bad ones
+    others = [j for j in range(len(Q.LABELLERS)) if j not in (chance, silent)]
+    assert (model.table[0, others, 0] > 0.3).all() and (model.table[1, others, 0] < 0.02).all() and abs(model.share[0] - 0.15) < 0.03
+
+
+def test_more_documents_outweigh_the_start():
+    counts, _, silent = simulated(400)
+    seen = [Q.LabelModel({p: c * times for p, c in counts.items()}).table[0, silent, 0] for times in (1, 10, 1000)]
+    assert seen[0] > 10 * seen[2] and seen[0] > seen[1] > seen[2]
+
+
+def test_em_against_a_plain_version():
+    """The rounds written down pattern by pattern and labeller by labeller."""
+    counts, _, _ = simulated(800, 6)
+    share = [Q.BAD_SHARE, 1 - Q.BAD_SHARE]
+    start = [[dict(zip((-1, 0, 1), (Q.TWO_SIDED if n in Q.BOTH_WAYS else Q.DETECTOR)[c])) for n in Q.LABELLERS] for c in (0, 1)]
+    table, now, total = start, list(share), sum(counts.values())
+    votes = {p: Q.votes_of([p])[0].tolist() for p in counts}
+
+    def bad(p):
+        if not any(votes[p]):
+            return now[0]
+        a, b = (now[c] * np.prod([table[c][j][v] for j, v in enumerate(votes[p])]) for c in (0, 1))
+        return a / (a + b)
+
+    for _ in range(100):
+        known = {p: bad(p) for p in counts}
+        weight = [{p: n * (known[p] if c == 0 else 1 - known[p]) for p, n in counts.items()} for c in (0, 1)]
+        now = [(sum(weight[c].values()) + Q.PRIOR * share[c]) / (total + Q.PRIOR) for c in (0, 1)]
+        table = [[{v: sum(w for p, w in weight[c].items() if votes[p][j] == v) + Q.PRIOR * share[c] * start[c][j][v] for v in (-1, 0, 1)} for j in range(len(Q.LABELLERS))] for c in (0, 1)]
+        table = [[{v: x / sum(t.values()) for v, x in t.items()} for t in own] for own in table]
+    model = Q.LabelModel(counts)
+    assert np.allclose(model.share, now)
+    assert np.allclose(model.table, [[[t[v] for v in (-1, 0, 1)] for t in own] for own in table])
+    assert np.allclose(model.posterior(np.array([votes[p] for p in counts])), [bad(p) for p in counts])
