@@ -16,7 +16,8 @@ So the trees learn which formats and surroundings go with checked or announced
 personal data, and apply that to spans that nothing checks or announces.  Spark
 reduces all candidates to counts for each pattern and fold (a bounded table, see
 ``PATTERN_BITS``).  The trees are fitted to four folds; the fifth, made of other
-strings, calibrates their scores by isotonic regression and sets the threshold.
+strings, calibrates their scores by isotonic regression and sets the threshold; with
+too few labels there nothing is added.
 The trees go back into the query as CASE expressions, and the calibrated score
 alone selects.
 """
@@ -57,6 +58,8 @@ FEATURES = [
     ("digits", 3), ("breaks", 2), ("bracket", 1), ("letters", 1), ("hyphens", 1), ("dots", 1), ("glued", 1), ("company", 1), ("after colon", 1), ("line start", 1), ("closed", 1), ("after name", 1),
 ]
 PATTERN_BITS = sum(bits for _, bits in FEATURES)
+#: Labels (by weight) of the held-out fold below which nothing is added: fewer can't tell what a threshold is worth.
+LEAST_LABELS = 50.0
 #: Strings are dealt to so many folds; the first is held out.
 FOLDS = 5
 ROUNDS, RATE, LEAF_PRIOR = 40, 0.3, 1.0
@@ -235,7 +238,7 @@ class Trees:
                 sides.append((g, u, low, high))
             self.trees.append((f, t, *sides))
         score, yes, no = self.score(np.array([c[0] for c in held], np.int64)), *(np.array([c[i] for c in held], float) for i in (2, 3))
-        self.cut = self._calibrate(score, yes, yes + no)
+        self.cut = self._calibrate(score, yes, yes + no) if (yes + no).sum() >= LEAST_LABELS else math.inf
         taken = score >= self.cut - 1e-9
         self.held_out = {"precision": float(yes[taken].sum() / max((yes + no)[taken].sum(), 1e-9)), "recall": float(yes[taken].sum() / max(yes.sum(), 1e-9)), "labels": float((yes + no).sum())}
 
@@ -303,7 +306,8 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in brackets.
 
-    Overlapping spans are replaced once, by the kind of the first.  Null texts stay null.
+    Overlapping spans are replaced once, by the kind of the first.  Null texts stay null, rows that repeat a key or have none
+    are treated one by one, other columns stay whatever their names, and an empty table gives no rows.
     """
     columns = docs.columns
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))

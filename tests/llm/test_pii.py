@@ -159,3 +159,8 @@ def test_overlaps_and_ties_of_scores(spark):
     got = [[(s.start, s.end) for s in r.extra] for r in P.personal_data(d).where("doc_id = 1000").collect()]
     assert got[0] == got[1] and got[0]
     assert all(a[1] <= b[0] for a, b in zip(sorted(got[0]), sorted(got[0])[1:]))
+
+
+def test_few_labels_add_nothing():
+    table = [(1, False, 50.0, 0.0), (2, False, 0.0, 50.0), (1, True, 20.0, 0.0), (2, True, 0.0, 20.0)]
+    assert P.Trees(table).cut == float("inf") and P.Trees([(a, b, 2 * c, 2 * d) for a, b, c, d in table]).cut < float("inf")

@@ -55,3 +55,14 @@ def test_stages_on_plain_python(spark, documents):
     # ``run`` writes and rereads every stage and gives the same pieces
     whole = sorted([tuple(r)[:5] for r in C.run(spark, documents).collect()], key=str)
     assert whole == sorted([r[:5] for r in outs[3]], key=str)
+
+
+def test_stages_on_empty_tables_and_more_columns(spark, documents):
+    docs = spark.read.parquet(f"{documents}/documents.parquet")
+    for name, stage in C.STAGES:
+        assert stage(spark, docs.limit(0), documents).count() == 0, name
+    wide = docs.where("doc_id is null or doc_id < 40").selectExpr("*", "1 as kept", "'x' as component_id", "2 as row", "3 as spans", "4 as p_bad", "5 as email")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, wide, documents)
+        assert out.columns == wide.columns and {(r.kept, r.component_id, r.row, r.spans, r.p_bad, r.email) for r in out.collect()} == {(1, "x", 2, 3, 4, 5)}, name
+    assert C.STAGES[-1][1](spark, wide, documents).count() >= wide.count()
