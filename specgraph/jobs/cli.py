@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from specgraph.config import Params, parse
 from specgraph.jobs import export
-from specgraph.jobs.engine import STAGES, Engine
+from specgraph.jobs.engine import BY_BUCKET, STAGES, Engine
 from specgraph.jobs.ingest import gather, ingest
 from specgraph.jobs.inputs import InputStore
 from specgraph.operators import clusters, enrich
@@ -67,7 +67,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
     run = Engine(spark, args.root, params=params, renumber=True, source=source, label=store.label())
     run.load()
     run.store = store
-    for stage in ("index", "ranked") if args.preparation_only else STAGES:
+    for stage in ("index", "ranked") if args.preparation_only else [s for s in STAGES if s not in BY_BUCKET]:
         run.stage(stage)
     run.save()
     if args.export and not args.preparation_only:

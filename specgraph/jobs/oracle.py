@@ -166,6 +166,7 @@ FROM edges e JOIN again USING (src, dst) JOIN part_index i ON i.node_id = e.src
 JOIN (SELECT p_partkey AS node_id, p_size AS ion FROM part UNION ALL SELECT p_partkey, p_size % 10 + 1 FROM part) e USING (node_id, ion) GROUP BY ALL""",
     "vertex_degree": f"WITH {EDGES}, {parts('both_ways')} SELECT node_id, count(*) AS degree FROM both_ways GROUP BY ALL",
     "connected_components": with_(CLUSTERS, "SELECT cluster_id, node_id FROM members"),
+    "progressive_labels": with_(CLUSTERS, "SELECT cluster_id, node_id FROM members"),
     "component_histogram": with_(CLUSTERS, "SELECT num_nodes, count(*) AS clusters FROM (SELECT cluster_id, count(*) AS num_nodes FROM members GROUP BY ALL) GROUP BY ALL"),
     "cluster_summary": with_(
         CLUSTERS,

@@ -234,6 +234,17 @@ def progressive_edges(spark, sf_dir):
     return rounded(progressive.new_edges(late, known, TOL, T), "dp")
 
 
+@query
+def progressive_labels(spark, sf_dir):
+    """Clusters after those parts arrive, from the clusters before and the changes that their edges make."""
+    arrays, part = prep.ranked_arrays(part_ranked(spark, sf_dir)), tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_size")
+    records = write(arrays.join(tables.part_index(spark, sf_dir).select("node_id", "mass"), "node_id").join(part, "node_id"), "records").df
+    late, known = (records.where(c).drop("p_size") for c in ("p_size > 25", "p_size <= 25"))
+    before = write(clusters.members(similarity.dot_product_edges_block(known.drop("mass"), known.select("node_id", "mass"), TOL, T)), "labels").df
+    changes = write(progressive.label_changes(progressive.new_edges(late, known, TOL, T), before), "label-changes").df
+    return before.join(changes, "node_id", "left_anti").select("cluster_id", "node_id").unionByName(changes.select("cluster_id", "node_id"))
+
+
 # --- graphs
 
 

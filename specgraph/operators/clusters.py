@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,35 @@ def inner_edges(edges: DataFrame, member: DataFrame) -> DataFrame:
     return edges.join(side("src"), "src").join(side("dst"), "dst").where("cluster_src = cluster_dst").select(F.col("cluster_src").alias("cluster_id"), "src", "dst", "dp")
 
 
+#: Edges of a packed row.
+PACKED = 65_536
+ADJACENCY = "cluster_id long, part int, nodes array<long>, offsets array<int>, others array<long>, dps array<double>"
+
+
+def adjacency(inside: DataFrame, packed: int = PACKED) -> DataFrame:
+    """(cluster_id, part, nodes, offsets, others, dps) of (cluster_id, src, dst, dp): the neighbours of ``nodes[i]`` that follow it are ``others[offsets[i]:offsets[i + 1]]``.
+
+    Each edge stands once, at its smaller end.  A cluster's edges are dealt by hash to rows of about ``packed``, so no row grows with its cluster.
+    """
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values(["src", "dst"])
+        nodes, first = np.unique(own["src"].to_numpy(), return_index=True)
+        row = {"cluster_id": key[0], "part": key[1], "nodes": [nodes.tolist()], "offsets": [[*first.tolist(), len(own)]], "others": [own["dst"].tolist()], "dps": [own["dp"].tolist()]}
+        return pd.DataFrame(row)
+
+    parts = inside.groupBy("cluster_id").agg(F.ceil(F.count(F.lit(1)) / packed).cast("int").alias("parts"))
+    dealt = inside.join(parts, "cluster_id").select("cluster_id", F.pmod(F.xxhash64("src", "dst"), F.col("parts")).cast("int").alias("part"), "src", "dst", F.col("dp").cast("double").alias("dp"))
+    return dealt.groupBy("cluster_id", "part").applyInPandas(pack, ADJACENCY)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(cluster_id, src, dst, dp) of packed rows."""
+    at = rows.select("cluster_id", F.posexplode("nodes").alias("i", "src"), "offsets", "others", "dps")
+    own = at.select("cluster_id", "src", *[F.slice(c, F.get("offsets", F.col("i")) + 1, F.get("offsets", F.col("i") + 1) - F.get("offsets", F.col("i"))).alias(c) for c in ("others", "dps")])
+    return own.select("cluster_id", "src", F.explode(F.arrays_zip("others", "dps")).alias("e")).select("cluster_id", "src", F.col("e.others").alias("dst"), F.col("e.dps").alias("dp"))
+
+
 def summary(edges: DataFrame, member: DataFrame, index: DataFrame) -> DataFrame:
     """(cluster_id, num_nodes, num_edges, mass_avg)"""
     nodes = member.join(index.select("node_id", "mass"), "node_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_nodes"), F.avg(F.col("mass").cast("double")).alias("mass_avg"))

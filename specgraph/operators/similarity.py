@@ -45,12 +45,15 @@ def _lighter(a_mass, a_id, b_mass, b_id) -> Column:
     return (a_mass < b_mass) | ((a_mass == b_mass) & (a_id < b_id))
 
 
-def _met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def _met(a: DataFrame, b: DataFrame, keys: list[str], look: bool = False) -> DataFrame:
     """a joined to b on ``keys``, a key with many rows of ``a`` (a_id) dealt over salts that each see all of its rows of ``b``.
 
-    Only such keys are in the table of salts: one row for ``SALT_ROWS`` rows of ``a`` at most.
+    Only such keys are in the table of salts: one row for ``SALT_ROWS`` rows of ``a`` at most.  ``look`` counts first,
+    where ``a`` is cheap to make: without such keys the join is a plain one.
     """
     hot = a.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts")).where("salts > 1")
+    if look and hot.isEmpty():
+        return a.join(b, keys)
     salts = F.coalesce("salts", F.lit(1).cast("long"))
     left = a.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("a_id"), salts)).drop("salts")
     right = b.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
@@ -65,7 +68,7 @@ def band_pairs(index: DataFrame, tolerance: float) -> DataFrame:
     """
     a = index.select(F.col("node_id").alias("a_id"), F.col("mass").alias("a_mass"), _bucket(F.col("mass"), tolerance).alias("bucket"))
     b = _partners(index.select("node_id", "mass"), tolerance).select(F.col("node_id").alias("b_id"), F.col("mass").alias("b_mass"), "bucket")
-    met = _met(a, b, ["bucket"]).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
+    met = _met(a, b, ["bucket"], look=True).where(_lighter(F.col("a_mass"), F.col("a_id"), F.col("b_mass"), F.col("b_id")) & _near(F.col("a_mass"), F.col("b_mass"), tolerance))
     return met.select(F.least("a_id", "b_id").alias("src"), F.greatest("a_id", "b_id").alias("dst"))
 
 

@@ -449,3 +449,54 @@ def test_progressive_edges_equal_batch_edges(spark, tmp_path):
     got = sorted((r.src, r.dst) for r in progressive.read(spark, str(tmp_path / "root"), "edges").collect())
     want = sorted((r.src, r.dst) for r in similarity.dot_product_edges_block(prep.ranked_arrays(ranked), index, 1.1, 0.6).collect())
     assert got == want and want
+
+
+def test_labels_follow_each_batch(spark, tmp_path):
+    """After every batch the labels are those of a full run; rows rewritten are those of clusters that got another name, and new nodes."""
+    from specgraph import storage
+    from specgraph.operators import clusters
+
+    ranked, index = random_ranked(spark, 5, 60)
+    records = prep.ranked_arrays(ranked).join(index, "node_id").select("node_id", "mass", "n", "norm2", "bins", "ranks")
+    source, root = str(tmp_path / "in"), str(tmp_path / "root")
+    there = set(storage.names(spark, f"{storage.shared_dir(spark)}/tables"))
+    before, merged = {}, 0
+    for k in (3, 1, 2, 0):
+        records.where(F.col("node_id") % 4 == k).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(progressive.RECORD).parquet(source)
+        q = progressive.start(stream, root, str(tmp_path / "ck"), 1.1, 0.55, together=2)
+        q.processAllAvailable()
+        q.stop()
+        now = {r.node_id: r.cluster_id for r in progressive.labels(spark, root).collect()}
+        assert now == {r.node_id: r.cluster_id for r in clusters.members(progressive.read(spark, root, "edges")).collect()}
+        last = progressive.read(spark, root, "labels").agg(F.max("batch")).head()[0]
+        written = {r.node_id for r in progressive.read(spark, root, "labels").where(F.col("batch") == last).collect()} if last is not None else set()
+        changed = {i for i, c in now.items() if before.get(i) != c}
+        assert written == changed
+        merged += sum(i in before for i in changed)
+        before = now
+    assert len(before) > 10 and merged > 0
+    assert any(n.startswith("base-") for n in storage.names(spark, f"{root}/labels")) and len(storage.names(spark, f"{root}/records")) <= 3
+    for name in set(storage.names(spark, f"{storage.shared_dir(spark)}/tables")) - there:
+        assert not name.startswith("blocks")
+
+
+def test_label_changes_of_merged_clusters(spark):
+    known = spark.createDataFrame([(i, 0) for i in (0, 1, 2)] + [(i, 10) for i in (10, 11)] + [(i, 20) for i in (20, 21)], "node_id long, cluster_id long")
+    edges = spark.createDataFrame([(2, 11, 0.9), (30, 21, 0.9), (40, 41, 0.9), (0, 1, 0.9)], "src long, dst long, dp double")
+    got = {(r.node_id, r.cluster_id) for r in progressive.label_changes(edges, known).collect()}
+    assert got == {(10, 0), (11, 0), (30, 20), (40, 40), (41, 40)}
+    assert progressive.label_changes(edges.limit(0), known).count() == 0
+    assert {r.cluster_id for r in progressive.label_changes(spark.createDataFrame([(5, 20, 0.9)], "src long, dst long, dp double"), known).collect()} == {5}
+
+
+def test_packed_adjacency(spark):
+    from specgraph.operators import clusters
+
+    rows = [(1, 1, j, j / 100) for j in range(2, 60)] + [(1, a, a + 1, 0.5) for a in range(2, 40)] + [(100, 100, 101, 0.25)]
+    d = spark.createDataFrame(rows, "cluster_id long, src long, dst long, dp double")
+    for packed in (10, 10**6):
+        table = clusters.adjacency(d, packed)
+        assert sorted(map(tuple, clusters.unpacked(table).collect())) == sorted(rows)
+        assert table.count() == (2 if packed > 10 else table.count()) and all(len(r.offsets) == len(r.nodes) + 1 and len(r.others) < 30 for r in table.collect() if packed == 10)
+    assert clusters.unpacked(clusters.adjacency(d.limit(0))).count() == 0

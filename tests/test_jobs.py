@@ -218,3 +218,29 @@ def test_a_crash_while_saving_leaves_the_manifest_before(spark, tmp_path):
     assert run.saved()["stages"].keys() == {"index"} and run._manifests() == names
     run.stage("ranked")
     assert run.saved()["stages"].keys() == {"index", "ranked"} and len(run._manifests()) == 2
+
+
+# --- one cluster
+
+
+def test_one_cluster_is_read_from_one_bucket(spark, tmp_path):
+    rows = [(i, float(100 + 5 * (i // 6)), 1, "f", i) for i in range(240)]
+    index = spark.createDataFrame(rows, "node_id long, mass float, charge int, file_stem string, native_id long")
+    peaks = spark.createDataFrame([(i, float(b), 1.0 + b) for i in range(240) for b in range(12)], "node_id long, mz float, intensity double")
+    run = Engine(spark, str(tmp_path / "a"), index, peaks, None, Params(removal_range=(0.0, 0.0), dp_threshold=0.5))
+    whole = run.stage("edges").collect()
+    assert run.stage("refined").select("cluster_id").distinct().count() == 40
+    for c in (0, 6, 234):
+        nodes, edges = run.cluster(c)
+        assert sorted(r.node_id for r in nodes.collect()) == list(range(c, c + 6)) and {"mass", "file_stem"} <= set(nodes.columns)
+        assert sorted((r.src, r.dst, round(r.dp, 9)) for r in edges.collect()) == sorted((r.src, r.dst, round(r.dp, 9)) for r in whole if c <= r.src < c + 6)
+        for table in (nodes, edges):
+            plan = table._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(cluster_id), EqualTo(cluster_id" in plan
+        assert nodes.select(F.input_file_name()).distinct().count() == 1
+    assert sorted(r.other for r in run.neighbours(6, 8).collect()) == [6, 7, 9, 10, 11]
+    assert run.cluster(999)[0].count() == 0 == run.cluster(999)[1].count()
+    folders = [n for n in storage.names(spark, run.manifest["stages"]["nodes_by_cluster"]["path"]) if n.startswith("bucket=")]
+    assert len(folders) > 10
+    # A new run over the same folder takes the tables over.
+    assert set(Engine(spark, str(tmp_path / "a"), params=run.params).load().manifest["stages"]) == set(run.manifest["stages"])
