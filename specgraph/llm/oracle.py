@@ -18,9 +18,11 @@ links AS (SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN size
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN components c ON c.id = d.doc_id"""
 
-NEAR_VECTORS = f"""WITH RECURSIVE usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+def near_vectors(threshold: float) -> str:
+    """Links, components and kept vectors at a cosine."""
+    return f"""WITH RECURSIVE usable AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
-links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= 0.9),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) WHERE list_cosine_similarity(p.x, q.x) >= {threshold}),
 degrees AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY ALL),
 {_REACHED}
 SELECT e.vec_id, coalesce(d.n, 0) AS n_links, coalesce(c.component_id, e.vec_id) AS component_id, e.vec_id = coalesce(c.component_id, e.vec_id) AS kept

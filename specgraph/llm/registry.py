@@ -10,7 +10,8 @@ from specgraph.storage import new_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {
-    "op2_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracle.NEAR_VECTORS, "base_secret_spans": oracle.BASE_SECRETS, "base_personal_data": oracle.BASE_PERSONAL_DATA,
+    "op2_minhash_near_dedup": oracle.NEAR_DUPLICATES, "op9_embedding_near_dedup": oracle.near_vectors(0.9), "base_secret_spans": oracle.BASE_SECRETS, "base_personal_data": oracle.BASE_PERSONAL_DATA,
+    "near_vectors_at_040": oracle.near_vectors(0.4), "near_vectors_at_035": oracle.near_vectors(0.35),
     "op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_line_dedup": oracle.LINE_DEDUP, "op13_periodic_runs": oracle.PERIODIC_RUNS,
 }
 
@@ -71,6 +72,18 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def near_vectors_at_040(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op9 at a cosine that vectors of the given tables reach: links and components of some vectors."""
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.4)
+
+
+@query
+def near_vectors_at_035(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where most vectors have links."""
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.35)
+
+
 @query
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
