@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from specgraph.functions import ions
+
 TOL, T, N, LEAST = 1.1, 0.5, 20, 10
 
 PARTS = {
@@ -125,6 +127,18 @@ def refinement(*thresholds: int) -> str:
     )
 
 
+#: Fragment ions of the parts' peptides by cumulated sums of residue masses from both ends.
+IONS = f"""spelled AS (SELECT p_partkey AS node_id, substr(translate(upper(p_name), 'BJXZ #0123456789', 'GGGG'), 1, 16) AS peptide, p_size FROM part),
+residues(letter, mass) AS (VALUES {', '.join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, v in ions.RESIDUES.items())}),
+single AS (SELECT node_id, p_size, i, length(peptide) AS n, CASE WHEN p_size % 3 = 0 AND i = 1 + p_size % greatest(length(peptide), 1) THEN 160.0307 ELSE r.mass END AS mass
+ FROM (SELECT *, unnest(range(1, length(peptide) + 1)) AS i FROM spelled) LEFT JOIN residues r ON r.letter = substr(peptide, i, 1)),
+cumulated AS (SELECT node_id, p_size, 'p' AS side, i AS number, n, sum(mass) OVER (PARTITION BY node_id ORDER BY i) AS s, count(*) FILTER (mass IS NULL) OVER (PARTITION BY node_id ORDER BY i) AS unknown FROM single
+ UNION ALL SELECT node_id, p_size, 's', n + 1 - i, n, sum(mass) OVER (PARTITION BY node_id ORDER BY i DESC), count(*) FILTER (mass IS NULL) OVER (PARTITION BY node_id ORDER BY i DESC) FROM single),
+kinds(series, side, plus) AS (VALUES {', '.join(f"('{k}', '{end[0]}', CAST({plus!r} AS DOUBLE))" for k, (end, plus) in ions.SERIES.items())}),
+ions AS (SELECT node_id, series, z, number, series || CAST(number AS VARCHAR) || repeat('+', z) AS ion,
+ (s + plus + CASE WHEN side = 'p' AND p_size % 5 = 0 THEN 43.0184 - {ions.HYDROGEN!r} WHEN side = 's' AND p_size % 7 = 0 THEN 18.0 - {ions.WATER - ions.HYDROGEN!r} ELSE 0 END + z * {ions.PROTON!r}) / z AS mz
+ FROM (SELECT *, unnest(range(1, 2 + p_size % 3)) AS z FROM cumulated WHERE number < n AND unknown = 0) JOIN kinds USING (side))"""
+
 ORACLE = {
     "betweenness_by_levels": with_(f"{USER_CLUSTERS},\n{betweenness_of(0)}", "SELECT cluster_id, node_id, round(betweenness, 6) AS betweenness FROM bet0"),
     "betweenness": with_(f"{USER_CLUSTERS},\n{betweenness_of(0)}", "SELECT cluster_id, node_id, round(betweenness, 6) AS betweenness FROM bet0"),
@@ -164,6 +178,11 @@ SELECT count(*) AS edges, count(*) FILTER (abs(e.dp - again.dp) > 1e-6 * abs(e.d
 FROM edges e JOIN again USING (src, dst) JOIN part_index i ON i.node_id = e.src JOIN part_index j ON j.node_id = e.dst""",
     "ion_match": f"""WITH {parts('part_peaks')}, a AS (SELECT node_id, CAST(trunc(mz) AS INTEGER) AS ion, intensity FROM part_peaks) SELECT a.node_id, a.ion, count(*) AS matches FROM a
 JOIN (SELECT p_partkey AS node_id, p_size AS ion FROM part UNION ALL SELECT p_partkey, p_size % 10 + 1 FROM part) e USING (node_id, ion) GROUP BY ALL""",
+    "fragment_ions": f"WITH {IONS} SELECT node_id, series, CAST(z AS INTEGER) AS z, count(*) AS n, round(sum(mz), 3) AS mz, arg_max(ion, number) AS last FROM ions GROUP BY ALL",
+    "annotated_peaks": f"""WITH {IONS}, vector_peaks AS (SELECT vec_id AS node_id, 100 + 10 * (i - 1) AS mz, abs(CAST(embedding[i] AS DOUBLE)) AS intensity FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+seen AS (SELECT node_id, CAST(floor(mz) AS INTEGER) AS bin, sum(intensity) AS intensity FROM vector_peaks GROUP BY ALL),
+named AS (SELECT node_id, CAST(floor(mz) AS INTEGER) AS bin, string_agg(DISTINCT ion, ' ' ORDER BY ion) AS ions FROM ions GROUP BY ALL)
+SELECT node_id, bin, round(CAST(intensity AS DOUBLE), 6) AS intensity, ions FROM seen JOIN named USING (node_id, bin)""",
     "vertex_degree": f"WITH {EDGES}, {parts('both_ways')} SELECT node_id, count(*) AS degree FROM both_ways GROUP BY ALL",
     "connected_components": with_(CLUSTERS, "SELECT cluster_id, node_id FROM members"),
     "progressive_labels": with_(CLUSTERS, "SELECT cluster_id, node_id FROM members"),

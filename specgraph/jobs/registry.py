@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from specgraph.config import Params
 from specgraph.functions import peaks as P
-from specgraph.functions import peptides
+from specgraph.functions import ions, peptides
 from specgraph.jobs import export
 from specgraph.jobs.engine import Engine
 from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
@@ -221,8 +221,34 @@ def edge_audit(spark, sf_dir):
 @query
 def ion_match(spark, sf_dir):
     part = tables.read(spark, sf_dir, "part")
-    ions = part.select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("mz")).union(part.select("p_partkey", F.col("p_size") % 10 + 1))
-    return similarity.ion_matches(tables.part_peaks(spark, sf_dir), ions).groupBy("node_id", "ion").agg(F.count(F.lit(1)).alias("matches"))
+    wanted = part.select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("mz")).union(part.select("p_partkey", F.col("p_size") % 10 + 1))
+    return similarity.ion_matches(tables.part_peaks(spark, sf_dir), wanted).groupBy("node_id", "ion").agg(F.count(F.lit(1)).alias("matches"))
+
+
+def part_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peptides spelled by the letters of the parts' names, some with a modified residue or end."""
+    letters = F.substring(F.translate(F.upper("p_name"), "BJXZ #0123456789", "GGGG"), 1, 16)
+    place = (1 + F.col("p_size") % F.greatest(F.length(letters), F.lit(1))).cast("int")
+    mods = F.when(F.col("p_size") % 3 == 0, F.array(F.struct(place.alias("pos"), F.lit(160.0307).alias("mass"))))
+    return tables.read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("node_id"), letters.alias("peptide"), mods.alias("mods"), F.when(F.col("p_size") % 5 == 0, 43.0184).alias("nterm_mod"),
+        F.when(F.col("p_size") % 7 == 0, 18.0).alias("cterm_mod"), (1 + F.col("p_size") % 3).cast("int").alias("charge"),
+    )
+
+
+@query
+def fragment_ions(spark, sf_dir):
+    """All fragment ions of the parts' peptides, summed up by series and charge."""
+    found = ions.fragment_ions(part_peptides(spark, sf_dir))
+    return found.groupBy("node_id", "series", "z").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("mz"), 3).alias("mz"), F.max_by("ion", "number").alias("last"))
+
+
+@query
+def annotated_peaks(spark, sf_dir):
+    """Peaks of the vectors' spectra that fall on fragment ions of the part of the same number, and the ions' names."""
+    peaks = tables.vector_peaks(spark, sf_dir).select("node_id", "mz", "intensity")
+    found = ions.annotated_peaks(peaks, ions.fragment_ions(part_peptides(spark, sf_dir)))
+    return found.select("node_id", "bin", F.round("intensity", 6).alias("intensity"), F.array_join("ions", " ").alias("ions"))
 
 
 @query

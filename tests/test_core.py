@@ -500,3 +500,38 @@ def test_packed_adjacency(spark):
         assert sorted(map(tuple, clusters.unpacked(table).collect())) == sorted(rows)
         assert table.count() == (2 if packed > 10 else table.count()) and all(len(r.offsets) == len(r.nodes) + 1 and len(r.others) < 30 for r in table.collect() if packed == 10)
     assert clusters.unpacked(clusters.adjacency(d.limit(0))).count() == 0
+
+
+# --- fragment ions
+
+
+def test_fragment_ions(spark):
+    """Known masses of PEPTIDE, and a plain version with modifications, ends and charges."""
+    from specgraph.functions import ions
+
+    schema = "k int, peptide string, mods array<struct<pos:int,mass:double>>, nterm_mod double, cterm_mod double, charge int"
+    rows = [(1, "PEPTIDE", None, None, None, 1), (2, "AMCK", [(2, 147.0354), (3, 160.0307)], 43.0184, 18.0, 3), (3, "AXKR", [], 0.0, 0.0, 2), (4, "K", [], None, None, 2), (5, None, None, None, None, 2), (6, "AK", [], None, None, None), (7, "", [], None, None, 1)]
+    got = {(r.k, r.ion): r.mz for r in ions.fragment_ions(spark.createDataFrame(rows, schema)).collect()}
+    known = {"b2+": 227.10263, "b6+": 653.31407 - 1e-9, "y1+": 148.06044, "y6+": 703.31482, "a2+": 199.10772}
+    for name, mz in known.items():
+        assert abs(got[1, name] - mz) < 2e-3, name
+
+    def plain(peptide, mods, n, c, charge):
+        own = [dict(mods or []).get(i + 1, ions.RESIDUES.get(r)) for i, r in enumerate(peptide)]
+        out = {}
+        for s, (end, plus) in ions.SERIES.items():
+            for i in range(1, len(own)):
+                part = own[:i] if end == "prefix" else own[-i:]
+                first = (n - ions.HYDROGEN if n else 0) if end == "prefix" else (c - ions.WATER + ions.HYDROGEN if c else 0)
+                for z in range(1, charge + 1):
+                    if None not in part:
+                        out[f"{s}{i}" + "+" * z] = (sum(part) + first + plus + z * ions.PROTON) / z
+        return out
+
+    want = {(k, name): mz for k, *rest in rows if rest[0] and rest[-1] for name, mz in plain(*rest).items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert not any(k in (4, 5, 6, 7) for k, _ in got) and (3, "b1+") in got and (3, "b2+") not in got and (3, "y2++") in got
+    peaks = spark.createDataFrame([(1, 227.9, 2.0), (1, 227.1, 3.0), (1, 500.0, 1.0), (2, 227.0, 1.0)], "node_id int, mz double, intensity double")
+    named = ions.annotated_peaks(peaks, ions.fragment_ions(spark.createDataFrame(rows[:1], schema)).withColumnRenamed("k", "node_id"))
+    assert [tuple(r) for r in named.collect()] == [(1, 227, 5.0, ["b2+"])]
+    assert ions.fragment_ions(spark.createDataFrame([], schema)).count() == 0
