@@ -196,6 +196,10 @@ SELECT node_id, bin, round(CAST(intensity AS DOUBLE), 6) AS intensity, ions FROM
         f"{EDGES}, {parts('both_ways')}, {POINTS}, {reach('core_ways')}, {DBSCAN}",
         "SELECT cluster_id, node_id, point_type FROM assigned WHERE cluster_id IN (SELECT cluster_id FROM assigned GROUP BY ALL HAVING count(*) > 1)",
     ),
+    "dbscan_sql": with_(
+        f"{EDGES}, {parts('both_ways')}, {POINTS}, {reach('core_ways')}, {DBSCAN}",
+        "SELECT cluster_id, node_id, point_type FROM assigned WHERE cluster_id IN (SELECT cluster_id FROM assigned GROUP BY ALL HAVING count(*) > 1)",
+    ),
     "iden_filter": f"WITH {parts('idens')} SELECT ms_file, native_id, peptide, charge, iden_file_id FROM idens WHERE probability >= 0.9 AND NOT is_decoy",
     "iden_dedup": f"WITH {parts('idens')} SELECT ms_file, native_id, peptide, iden_file_id FROM (SELECT *, row_number() OVER (PARTITION BY ms_file, native_id ORDER BY iden_file_id, position DESC) AS rn FROM idens) WHERE rn = 1",
     "iden_lookup_join": f"WITH {parts('part_index', 'idens', 'usable')} SELECT i.node_id, u.peptide, u.charge AS iden_charge FROM part_index i LEFT JOIN usable u ON u.ms_file = i.file_stem AND u.native_id = i.native_id",
@@ -213,6 +217,7 @@ FROM peps JOIN ({peptide('CAST(CAST({} AS DOUBLE) AS VARCHAR)')}) USING (native_
     "clusters_with_iden": with_(f"{NAMED}, {ENRICHED}", "SELECT iden, count(*) AS clusters, min(cluster_id) AS first_cluster FROM counts GROUP BY ALL"),
     "enrichment_pending": with_(f"{NAMED}, {ENRICHED}", "SELECT cluster_id FROM totals WHERE cluster_id NOT IN (SELECT cluster_id FROM lists)"),
     "cluster_entropy": with_(NAMED, ", " + entropy("cluster_id")).replace("\n, ", ",\n"),
+    "cluster_entropy_sql": with_(NAMED, ", " + entropy("cluster_id")).replace("\n, ", ",\n"),
     "peptide_entropy": with_(NAMED, ", " + entropy("iden")).replace("\n, ", ",\n"),
     "cluster_get": with_(CLUSTERS, "SELECT cluster_id, count(*) AS num_nodes FROM members WHERE cluster_id = (SELECT min(cluster_id) FROM members) GROUP BY ALL"),
     "cluster_exists": with_(CLUSTERS, "SELECT n.node_id, EXISTS (SELECT 1 FROM members m WHERE m.cluster_id = n.node_id) AS is_cluster FROM part_index n"),

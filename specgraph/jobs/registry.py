@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from specgraph.config import Params
 from specgraph.functions import peaks as P
 from specgraph.functions import ions, peptides
-from specgraph.jobs import export
+from specgraph.jobs import export, sqlfunctions
 from specgraph.jobs.engine import Engine
 from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
 from specgraph.operators import clusters, enrich, refine, similarity
@@ -483,6 +483,26 @@ def cluster_texts(spark, sf_dir):
     )
 
 
+# --- from SQL
+
+
+@query
+def dbscan_sql(spark, sf_dir):
+    """Density clusters of the parts by the table function."""
+    sqlfunctions.register(spark)
+    edges, member = part_clusters(spark, sf_dir)
+    clusters.inner_edges(edges, member).select("cluster_id", "src", "dst").createOrReplaceTempView("part_inside")
+    return spark.sql("SELECT * FROM dbscan(TABLE(part_inside), 3)")
+
+
+@query
+def cluster_entropy_sql(spark, sf_dir):
+    """Entropy of identifications inside clusters, weighted by what each cluster holds."""
+    sqlfunctions.register(spark)
+    _named(spark, sf_dir).select("cluster_id", "iden").createOrReplaceTempView("part_named")
+    return spark.sql("SELECT round(sum(entropy * n) / sum(n), 6) AS entropy FROM iden_entropy(TABLE(part_named))")
+
+
 # --- files and runs
 
 

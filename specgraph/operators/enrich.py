@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,12 +68,18 @@ IDENTIFICATIONS = (
 )
 
 
-def stored_identifications(idens: DataFrame | None, spark: SparkSession, threshold: float = 0.9, include_decoy: bool = False) -> DataFrame:
-    """The table that a run keeps: one row for each scan, all columns of IDENTIFICATIONS (null where the input lacks them); empty without input."""
-    if idens is None:
-        return spark.createDataFrame([], IDENTIFICATIONS)
+def stored_identifications(idens: DataFrame | None, spark: SparkSession, threshold: float = 0.9, include_decoy: bool = False, counts: Observation | None = None) -> DataFrame:
+    """The table that a run keeps: one row for each scan, all columns of IDENTIFICATIONS (null where the input lacks them); empty without input.
+
+    ``counts`` is filled while the table is made: total, unsure, decoys (of the sure ones, where they are left out) and taken, from which scans with several rows follow.
+    """
     kinds = [(f.name, f.dataType) for f in spark.createDataFrame([], IDENTIFICATIONS).schema.fields]
+    idens = spark.createDataFrame([], IDENTIFICATIONS) if idens is None else idens
     whole = idens.select(*[(F.col(n) if n in idens.columns else F.lit(None)).cast(t).alias(n) for n, t in kinds])
+    if counts is not None:
+        sure = F.coalesce(F.col("probability") >= threshold, F.lit(False))
+        out = sure & ~F.coalesce(~F.col("is_decoy"), F.lit(False)) & F.lit(not include_decoy)
+        whole = whole.observe(counts, F.count(F.lit(1)).alias("total"), F.count_if(~sure).alias("unsure"), F.count_if(out).alias("decoys"), F.count_if(sure & ~out).alias("taken"))
     return dedup_identifications(filter_identifications(whole, threshold, include_decoy))
 
 

@@ -535,3 +535,36 @@ def test_fragment_ions(spark):
     named = ions.annotated_peaks(peaks, ions.fragment_ions(spark.createDataFrame(rows[:1], schema)).withColumnRenamed("k", "node_id"))
     assert [tuple(r) for r in named.collect()] == [(1, 227, 5.0, ["b2+"])]
     assert ions.fragment_ions(spark.createDataFrame([], schema)).count() == 0
+
+
+# --- table functions
+
+
+def test_table_functions(spark):
+    """The functions of SQL give what those on DataFrames give, partitioned by themselves."""
+    from specgraph.jobs import sqlfunctions
+    from specgraph.operators import clusters
+
+    sqlfunctions.register(spark)
+    rng = np.random.default_rng(11)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (60, 2)) if a != b}
+    rows = [(a, b, 0.9) for a, b in pairs] + [(a + 100, b + 100, 0.9) for a, b in RINGS]
+    edges = spark.createDataFrame(rows, "src long, dst long, dp double")
+    inside = clusters.inner_edges(edges, clusters.members(edges))
+    inside.createOrReplaceTempView("inside")
+    found = lambda q: sorted(map(tuple, spark.sql(q).collect()))
+    for least in (2, 3, 4):
+        assert found(f"SELECT * FROM dbscan(TABLE(inside), {least})") == sorted(map(tuple, clusters.dbscan(edges, least).collect())) != []
+    want = {(r.cluster_id, r.node_id): r.betweenness for r in refine.cluster_betweenness(inside).collect()}
+    got = {(a, b): x for a, b, x in found("SELECT * FROM betweenness(TABLE(inside))")}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+    assert found("SELECT * FROM refined(TABLE(inside), '10')") == sorted(map(tuple, refine.refine(inside, (10,)).collect()))
+    named = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, "c"), (2, "c"), (3, None)], "cluster_id long, iden string")
+    named.createOrReplaceTempView("named")
+    assert [(a, n, round(x, 6)) for a, n, x in found("SELECT * FROM iden_entropy(TABLE(named))")] == [(1, 3, 0.918296), (2, 2, 0.0)]
+    total = spark.sql("SELECT sum(entropy * n) / sum(n) x FROM iden_entropy(TABLE(named))").head().x
+    assert total == pytest.approx(enrich.entropies(named)[0].head().entropy)
+    with pytest.raises(Exception, match="lacks src, dst"):
+        spark.sql("SELECT * FROM dbscan(TABLE(named), 3)").collect()
+    with pytest.raises(Exception, match="whole numbers"):
+        spark.sql("SELECT * FROM refined(TABLE(inside), 'ten')").collect()

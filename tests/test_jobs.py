@@ -244,3 +244,16 @@ def test_one_cluster_is_read_from_one_bucket(spark, tmp_path):
     assert len(folders) > 10
     # A new run over the same folder takes the tables over.
     assert set(Engine(spark, str(tmp_path / "a"), params=run.params).load().manifest["stages"]) == set(run.manifest["stages"])
+
+
+def test_counts_on_the_way(spark, tmp_path):
+    """What the identification store left out, and why, in the manifest without a second pass."""
+    rows = [("f", 1, "A", 2, 0.95, False, 0, 1), ("f", 1, "B", 2, 0.99, False, 0, 2), ("f", 2, "D", 3, 0.5, False, 0, 3), ("f", 3, "E", 3, 0.97, True, 0, 4), ("f", 4, "E", 3, 0.97, False, 0, 5), ("f", 5, "E", 3, None, False, 0, 6)]
+    idens = spark.createDataFrame(rows, "ms_file string, native_id long, peptide string, charge int, probability double, is_decoy boolean, iden_file_id int, position long")
+    run = small_run(spark, tmp_path / "a")
+    run = Engine(spark, str(tmp_path / "b"), run.inputs["index"], run.inputs["peaks"], idens, run.params)
+    assert run.stage("idens").count() == 2
+    assert run.manifest["stages"]["idens"]["counts"] == {"total": 6, "unsure": 2, "decoys": 1, "taken": 3, "duplicates": 1}
+    none = small_run(spark, tmp_path / "c")
+    none.stage("idens")
+    assert none.manifest["stages"]["idens"]["counts"] == {"total": 0, "unsure": 0, "decoys": 0, "taken": 0, "duplicates": 0}
