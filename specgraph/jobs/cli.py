@@ -1,6 +1,6 @@
 """Command line: files to clusters, and clusters to text.
 
-    spark-submit -m specgraph.jobs.cli ROOT FILE... [--config FILE] [--list FILE] [--ignore-errors] [--preparation-only] [--export PATH] [--export-one CLUSTER PATH]
+    spark-submit -m specgraph.jobs.cli ROOT FILE... [--config FILE] [--list FILE] [--ignore-errors] [--preparation-only] [--enrich pending|all] [--entropy] [--export PATH] [--export-one CLUSTER PATH]
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from specgraph.config import Params, parse
 from specgraph.jobs import export
-from specgraph.jobs.engine import BY_BUCKET, STAGES, Engine
+from specgraph.jobs.engine import LOOKUPS, STAGES, Engine
 from specgraph.jobs.ingest import gather, ingest
 from specgraph.jobs.inputs import InputStore
 from specgraph.operators import clusters, enrich
@@ -26,6 +26,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--config", help="file of key = value lines")
     p.add_argument("--ignore-errors", action="store_true", help="skip scans and files that can't be read")
     p.add_argument("--preparation-only", action="store_true", help="stop before similarities")
+    p.add_argument("--enrich", choices=["pending", "all"], help="enrich the clusters without identification, or all, anew in the tables of the run")
+    p.add_argument("--entropy", action="store_true", help="print the entropies of identifications in clusters and of clusters in identifications")
     p.add_argument("--export", help="folder for the text of all clusters")
     p.add_argument("--export-one", nargs=2, metavar=("CLUSTER", "FOLDER"), help="add the text of one cluster to a folder")
     return p.parse_args(argv)
@@ -67,9 +69,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> En
     run = Engine(spark, args.root, params=params, renumber=True, source=source, label=store.label())
     run.load()
     run.store = store
-    for stage in ("index", "ranked") if args.preparation_only else [s for s in STAGES if s not in BY_BUCKET]:
+    for stage in ("index", "ranked") if args.preparation_only else [s for s in STAGES if s not in LOOKUPS]:
         run.stage(stage)
     run.save()
+    if args.enrich and not args.preparation_only:
+        run.update_enrichment(update=args.enrich == "all")
+    if args.entropy and not args.preparation_only:
+        for what, table in zip(("identifications in clusters", "clusters in identifications"), enrich.entropies(enrich.named_members(run.stage("refined"), run.stage("index"), run.stage("idens")))):
+            print(f"entropy of {what}: {table.head().entropy}")
     if args.export and not args.preparation_only:
         export_all(run, args.export)
     if args.export_one and not args.preparation_only:

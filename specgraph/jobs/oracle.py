@@ -262,6 +262,10 @@ named AS (SELECT cluster_id, node_id, mass, CASE WHEN probability >= 0.9 OR clus
     ),
     "run_stages": ORACLE["cluster_enrichment"],
 }
+ORACLE["enrichment_in_place"] = ORACLE["enrichment_update"]
+ORACLE["identification_counts"] = f"""WITH {parts('idens')}, sure AS (SELECT * FROM idens WHERE probability >= 0.3 AND NOT is_decoy)
+SELECT (SELECT count(*) FROM idens) AS total, (SELECT count(*) FROM idens WHERE probability < 0.3) AS unsure, (SELECT count(*) FROM idens WHERE probability >= 0.3 AND is_decoy) AS decoys, (SELECT count(*) FROM sure) AS taken,
+ (SELECT count(*) FROM sure) - (SELECT count(*) FROM (SELECT DISTINCT ms_file, native_id FROM sure)) AS duplicates, (SELECT count(*) FROM (SELECT DISTINCT ms_file, native_id FROM sure)) AS kept"""
 for _name in ("dot_product_edges", "dot_product_edges_prefix", "dot_product_edges_block"):
     ORACLE[_name] = f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"
 ORACLE["user_edges"] = f"WITH {USER_EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"

@@ -581,6 +581,26 @@ def identification_store(spark, sf_dir):
     return kept.select("ms_file", "native_id", "peptide", "charge", "probability", "iden_file_id", "position")
 
 
+@query
+def identification_counts(spark, sf_dir):
+    """What the identification store of a run takes and leaves out, counted while it is written."""
+    params = Params(iden_prob_threshold=0.3, iden_include_decoy=False)
+    run = Engine(spark, new_path(spark, "run"), tables.part_index(spark, sf_dir), tables.part_peaks(spark, sf_dir), tables.part_identifications(spark, sf_dir), params)
+    kept = run.stage("idens").count()
+    counts = run.manifest["stages"]["idens"]["counts"]
+    return spark.createDataFrame([(*(counts[k] for k in ("total", "unsure", "decoys", "taken", "duplicates")), kept)], "total long, unsure long, decoys long, taken long, duplicates long, kept long")
+
+
+@query
+def enrichment_in_place(spark, sf_dir):
+    """A run's enrichment with sure identifications, then its clusters without one again with all, in the run's table."""
+    params = Params(num_peaks=N, min_bins=LEAST, min_scan_peaks=1, removal_range=(0.0, 0.0), tolerance=TOL, dp_threshold=T, iden_prob_threshold=0.1, iden_include_decoy=True)
+    index, peaks, idens = tables.part_index(spark, sf_dir), tables.part_peaks(spark, sf_dir), tables.part_identifications(spark, sf_dir)
+    run = Engine(spark, new_path(spark, "run"), index, peaks, enrich.stored_identifications(idens, spark, 0.1, True).where("probability >= 0.9"), params)
+    run.stage("enriched")
+    return rounded(run.update_enrichment(idens), "iden_ratio", "mass_avg")
+
+
 @query
 def enrichment_update(spark, sf_dir):
     """Clusters enriched with sure identifications first; those left without one again with all."""

@@ -257,3 +257,32 @@ def test_counts_on_the_way(spark, tmp_path):
     none = small_run(spark, tmp_path / "c")
     none.stage("idens")
     assert none.manifest["stages"]["idens"]["counts"] == {"total": 0, "unsure": 0, "decoys": 0, "taken": 0, "duplicates": 0}
+
+
+def test_enrichment_in_place(spark, tmp_path):
+    """Buckets without pending clusters keep their files; the manifest switches from the old table to the new."""
+    index = spark.createDataFrame([(i, float(100 + 5 * (i // 4)), 1, "f", i) for i in range(120)], "node_id long, mass float, charge int, file_stem string, native_id long")
+    peaks = spark.createDataFrame([(i, float(b), 1.0 + b) for i in range(120) for b in range(12)], "node_id long, mz float, intensity double")
+    schema = "ms_file string, native_id long, peptide string, charge int, probability double, is_decoy boolean, iden_file_id int, position long"
+    idens = lambda ids: spark.createDataFrame([("f", i, f"P{i // 4}", 2, 0.95, False, 0, i) for i in ids], schema)
+    most = [i for i in range(120) if i // 4 not in (3, 17)]
+    params = Params(removal_range=(0.0, 0.0), dp_threshold=0.5)
+    run = Engine(spark, str(tmp_path / "a"), index, peaks, idens(most), params)
+    before = {r.cluster_id: r.major_iden for r in run.stage("enriched").collect()}
+    assert sum(v is None for v in before.values()) == 2 and "bucket" not in run.stage("enriched").columns
+    files = lambda: {r.c: r.f for r in run._table("enriched").select(F.col("cluster_id").alias("c"), F.input_file_name().alias("f")).collect()}
+    old, manifest = files(), dict(run.manifest["stages"]["enriched"])
+    after = {r.cluster_id: r.major_iden for r in run.update_enrichment(idens(range(120))).collect()}
+    assert after == {c: f"P{c // 4}/2" for c in before} and run.manifest["stages"]["enriched"]["id"] != manifest["id"]
+    new = files()
+    buckets = {r.c: r.b for r in run._table("enriched").select(F.col("cluster_id").alias("c"), F.col("bucket").alias("b")).collect()}
+    touched = {buckets[12], buckets[68]}
+    assert all((new[c] == old[c]) == (buckets[c] not in touched) for c in before) and any(buckets[c] not in touched for c in before)
+    # The run as saved is the new one, whole; a torn piece is refused.
+    again = Engine(spark, str(tmp_path / "a"), params=params, label=run.manifest["label"]).load()
+    assert again.manifest["stages"] == run.manifest["stages"] and {r.cluster_id: r.major_iden for r in again.stage("enriched").collect()} == after
+    whole = {r.cluster_id: r.major_iden for r in run.update_enrichment(idens([]), update=True).collect()}
+    assert set(whole) == set(before) and not any(whole.values()) and len(run.manifest["stages"]["enriched"]["replaced"]) == 1
+    storage.delete(spark, f"{run.manifest['stages']['enriched']['replaced'][0]['path']}/_SUCCESS")
+    torn = Engine(spark, str(tmp_path / "a"), params=params, label=run.manifest["label"]).load()
+    assert "enriched" not in torn.manifest["stages"] and "missing" in torn.refused["enriched"] and torn.stage("refined").count() == 120
