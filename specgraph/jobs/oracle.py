@@ -268,4 +268,6 @@ SELECT (SELECT count(*) FROM idens) AS total, (SELECT count(*) FROM idens WHERE
  (SELECT count(*) FROM sure) - (SELECT count(*) FROM (SELECT DISTINCT ms_file, native_id FROM sure)) AS duplicates, (SELECT count(*) FROM (SELECT DISTINCT ms_file, native_id FROM sure)) AS kept"""
 for _name in ("dot_product_edges", "dot_product_edges_prefix", "dot_product_edges_block"):
     ORACLE[_name] = f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"
+#: An edge depends on its two ends alone, so what a file loses are the edges of the scans that it no longer holds.
+ORACLE["run_changed_input"] = f"WITH {EDGES} SELECT src, dst, round(dp, 6) AS dp, 1 AS fresh FROM edges WHERE src % 10 <> 7 AND dst % 10 <> 7"
 ORACLE["user_edges"] = f"WITH {USER_EDGES} SELECT src, dst, round(dp, 6) AS dp FROM edges"

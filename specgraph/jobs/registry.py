@@ -10,11 +10,13 @@ from specgraph.functions import peaks as P
 from specgraph.functions import ions, peptides
 from specgraph.jobs import export, sqlfunctions
 from specgraph.jobs.engine import Engine
+from specgraph.jobs.ingest import gather, ingest
+from specgraph.jobs.inputs import InputStore
 from specgraph.jobs.oracle import LEAST, N, ORACLE, TOL, T
 from specgraph.operators import clusters, enrich, refine, similarity
 from specgraph.operators import preprocess as prep
 from specgraph.sources import binary, indexed, mzml, mzxml, pepxml, ranges, tables, writers, xmlscan
-from specgraph.storage import names, new_path, write
+from specgraph.storage import hadoop, names, new_path, write
 from specgraph.streaming import progressive
 
 QUERIES: dict = {}
@@ -581,6 +583,52 @@ def identification_store(spark, sf_dir):
     return kept.select("ms_file", "native_id", "peptide", "charge", "probability", "iden_file_id", "position")
 
 
+def _stem_files(spark: SparkSession, sf_dir: str, folder: str, stems: list[str], left_out=None) -> None:
+    """One mzXML file for each stem in ``folder``, of the parts that aren't left out; files that are there are replaced."""
+    peaks = tables.part_peaks(spark, sf_dir).groupBy("node_id", "mz").agg(F.sum("intensity").cast("float").alias("intensity"))
+    rows = peaks.groupBy(F.col("node_id").alias("native_id")).agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("peaks"))
+    index = tables.part_index(spark, sf_dir).select("native_id", F.col("mass").alias("precursor_mz"), "charge", "file_stem")
+    whole = rows.join(index, "native_id")
+    for stem in stems:
+        own = whole.where(F.col("file_stem") == stem) if left_out is None else whole.where((F.col("file_stem") == stem) & ~left_out)
+        path = new_path(spark, "scan-file")
+        writers.scan_elements(own.coalesce(1), "mzxml").write.text(path)  # a scan file is one file
+        (part,) = [n for n in names(spark, path) if n.startswith("part-")]
+        fs, made = hadoop(spark, f"{path}/{part}")
+        _, place = hadoop(spark, f"{folder}/{stem}.mzXML")
+        fs.mkdirs(place.getParent())
+        fs.delete(place, False)
+        fs.rename(made, place)
+
+
+@query
+def run_changed_input(spark, sf_dir):
+    """Edges of a run from scan files of the parts after one of the files was rewritten under its name; ``fresh`` counts the files that the second run read."""
+    folder, root = new_path(spark, "scan-files"), new_path(spark, "run")
+    params = Params(num_peaks=N, min_bins=LEAST, min_scan_peaks=1, removal_range=(0.0, 0.0), tolerance=TOL, dp_threshold=T)
+
+    def run() -> Engine:
+        store = InputStore(spark, root).update(gather(spark, [folder]))
+
+        def source():
+            found = ingest(store)
+            return found.index, found.peaks, found.idens
+
+        out = Engine(spark, root, params=params, renumber=True, source=source, label=store.label()).load()
+        out.store = store
+        out.stage("edges")
+        return out
+
+    _stem_files(spark, sf_dir, folder, [f"f{k}" for k in range(5)])
+    run()
+    _stem_files(spark, sf_dir, folder, ["f2"], F.col("native_id") % 10 == 7)
+    second = run()
+    native = second.stage("index").select("node_id", "native_id")
+    side = lambda s: native.select(F.col("node_id").alias(s), F.col("native_id").alias(f"native_{s}"))
+    named = second.stage("edges").join(side("src"), "src").join(side("dst"), "dst")
+    return rounded(named.select(F.least("native_src", "native_dst").alias("src"), F.greatest("native_src", "native_dst").alias("dst"), "dp", F.lit(len(second.store.fresh)).alias("fresh")), "dp")
+
+
 @query
 def identification_counts(spark, sf_dir):
     """What the identification store of a run takes and leaves out, counted while it is written."""
