@@ -105,7 +105,7 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+LETTERS = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b", re.I)
 # Words of consent notices, in the languages of the stop words.
@@ -158,10 +158,16 @@ def _suspect(tag: str, attributes: str, in_region: bool) -> int:
 class Block:
     """``doubts`` are the suspect containers around it from the outside in, as (number, what its name says, whether it stands in an article)."""
 
-    __slots__ = ("text", "linked", "heading", "region", "doubts")
+    __slots__ = ("text", "linked", "heading", "region", "doubts", "density")
 
     def __init__(self, text: str, linked: int, heading: bool, region: bool, doubts: tuple[tuple[int, int, bool], ...] = ()):
         self.text, self.linked, self.heading, self.region, self.doubts = text, linked, heading, region, doubts
+        self.density: float | None = None  # of stop words, once it is asked for
+
+    def stops(self) -> float:
+        if self.density is None:
+            self.density = stop_density(self.text)
+        return self.density
 
 
 def blocks(html: str) -> list[Block]:
@@ -334,9 +340,9 @@ def all_blocks(html: str) -> list[Block]:
 
 
 def stop_density(text: str) -> float:
-    """Share of the words that are stop words; what isn't a letter at a word's ends doesn't count."""
-    words = text.lower().split()
-    return sum(EDGE.sub("", w) in STOP_WORDS for w in words) / len(words) if words else 0.0
+    """Stop words, as runs of letters, for each word, as it stands between white space; 1 at most."""
+    words = text.count(" ") + 1
+    return min(1.0, sum(map(STOP_WORDS.__contains__, LETTERS.findall(text.lower()))) / words)
 
 
 def _by_density(text: str, density: float, linked: int) -> int:
@@ -357,8 +363,8 @@ def _by_length(text: str, linked: int) -> int:
 def evidence(found: list[Block]) -> list[int]:
     """The label of each block by its own links, length and stop words, wherever it stands."""
     by_links = [b.linked > LINKS_HIGH * len(b.text) for b in found]
-    density = [0.0 if bad else stop_density(b.text) for b, bad in zip(found, by_links)]
-    words = [0 if bad else len(b.text.split()) for b, bad in zip(found, by_links)]
+    density = [0.0 if bad else b.stops() for b, bad in zip(found, by_links)]
+    words = [0 if bad else b.text.count(" ") + 1 for b, bad in zip(found, by_links)]
     unknown = sum(d * n for d, n in zip(density, words)) < STOP_NONE * sum(words)
 
     def labels(by_length: bool) -> list[int]:
@@ -384,16 +390,16 @@ def priors(found: list[Block], labels: list[int]) -> list[int]:
     return [GOOD if b.region else BAD for b in found]
 
 
-def first_pass(found: list[Block]) -> list[int]:
+def first_pass(found: list[Block], own: list[int] | None = None) -> list[int]:
+    own = evidence(found) if own is None else own
     bare = [b.linked >= LINKS_ONLY * len(b.text) for b in found]
-    own = evidence(found)
     labels = []
     for i, (b, label, prior) in enumerate(zip(found, own, priors(found, own))):
         if prior == GOOD and label == BAD:
             in_run = bare[i] and ((i > 0 and bare[i - 1]) or (i + 1 < len(found) and bare[i + 1]))
-            link_text = b.linked and len(b.text) >= SHORT and stop_density(b.text) < STOP_LOW
+            link_text = b.linked and len(b.text) >= SHORT and b.stops() < STOP_LOW
             label = BAD if in_run or link_text else OPEN
-        elif prior == BAD and label == GOOD and stop_density(b.text) < STOP_HIGH:
+        elif prior == BAD and label == GOOD and b.stops() < STOP_HIGH:
             label = OPEN
         labels.append(label)
     return labels
@@ -432,7 +438,8 @@ def second_pass(found: list[Block], labels: list[int], prior: list[int] | None =
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    kept = second_pass(found, first_pass(found), priors(found, evidence(found)))
+    own = evidence(found)
+    kept = second_pass(found, first_pass(found, own), priors(found, own))
     return "\n".join(b.text for b, label in zip(found, kept) if label == GOOD)
 
 
