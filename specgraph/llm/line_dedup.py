@@ -19,15 +19,15 @@ SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def line_key(line):
-    """The line as it is compared."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), _UPPER, _LOWER)
-
-
 def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _lowered(text):
+    """A-Z as a-z: once for a whole text, as lines aren't changed by it."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def _version(text):
     """Tells rows apart that share a document's id."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -36,9 +36,9 @@ def _version(text):
 def shared_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_length: int = 40, least_documents: int = 5) -> DataFrame:
     """(key, version, places): the places of the lines that a document loses, written."""
     with scratch():
-        each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), _version(F.col(text)).alias("version"), F.posexplode(_lines(F.col(text))).alias("place", "line"))
+        each = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), _version(F.col(text)).alias("version"), F.posexplode(_lines(_lowered(F.col(text)))).alias("place", "line"))
         # A key is no longer than its line: short lines go before anything is made of them.
-        keyed = each.where(F.length("line") >= least_length).withColumn("line", line_key(F.col("line"))).where(F.length("line") >= least_length)
+        keyed = each.where(F.length("line") >= least_length).withColumn("line", F.btrim("line", F.lit(SPACE))).where(F.length("line") >= least_length)
         lines = write(keyed.select("doc", "version", "place", F.unhex(F.md5("line")).alias("hash")), "lines").df
         # Lines are counted first: keys on fewer lines than documents asked for are most of all and go without a distinct count.
         often = lines.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents).select("hash")
