@@ -36,10 +36,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 def exported(run: Engine) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(clusters, nodes, edges) of a run as the export takes them."""
     member, index = run.stage("refined"), run.stage("index")
-    inside = clusters.inner_edges(run.stage("edges"), member)
     nodes = enrich.named_members(member, index, run.stage("idens")).drop("mass").join(index, "node_id")
-    edges = inside.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("num_edges"))
-    return run.stage("enriched").join(edges, "cluster_id", "left"), nodes, inside
+    edges = clusters.edge_counts(clusters.inner_edges(run.folded_edges()[0], member))
+    return run.stage("enriched").join(edges, "cluster_id", "left"), nodes, run.inside()
 
 
 def export_all(run: Engine, path: str) -> None:
