@@ -1,0 +1,139 @@
+"""Blocks of records: what leaves the tasks says of all edges what the edges say, and doesn't go with their number."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from specgraph.jobs import sqlfunctions
+from specgraph.operators import refine, tiles
+
+TOL = 1.1
+
+
+def records(seed, n, copies):
+    """(id, mass, norm2, bins, ranks) of random records, some several times."""
+    rng, out, ids = np.random.default_rng(seed), [], iter(np.random.default_rng(seed + 1).permutation(10 * n).tolist())
+    while len(out) < n:
+        one = (np.float32(500 + rng.integers(0, 30) * 0.1), np.sort(rng.choice(20, 12, replace=False)), rng.permutation(12) + 1)
+        out += [(next(ids), one[0], 650, one[1], one[2]) for _ in range(rng.integers(1, copies + 1))]
+    return out
+
+
+def block(rows):
+    lists = lambda k: pa.array([r[k].tolist() for r in rows], pa.list_(pa.int32()))
+    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float32()), pa.array([r[2] for r in rows], pa.int64()), lists(3), lists(4)], ["id", "mass", "norm2", "bins", "ranks"])
+
+
+def pairs_of_blocks(rows, size):
+    blocks = [block(rows[k : k + size]) for k in range(0, len(rows), size)]
+    cell = lambda s: pa.ListArray.from_arrays(pa.array([0, len(s)], pa.int32()), s)
+    for i, a in enumerate(blocks):
+        for j in range(i, len(blocks)):
+            yield pa.RecordBatch.from_arrays([pa.array([i == j]), cell(a), cell(blocks[j])], ["same", "rows_a", "rows_b"])
+
+
+def plain(rows, threshold, score=lambda apart, dp: dp):
+    out = {}
+    for x, a in enumerate(rows):
+        for b in rows[:x]:
+            apart = abs(a[1] - b[1])
+            if apart <= np.float32(TOL):
+                other = dict(zip(b[3].tolist(), b[4].tolist()))
+                dp = score(float(apart), sum(r * other.get(k, 0) for k, r in zip(a[3].tolist(), a[4].tolist())) / np.sqrt(float(a[2] * b[2])))
+                if dp > threshold:
+                    out[min(a[0], b[0]), max(a[0], b[0])] = dp
+    return out
+
+
+def ran(task, rows, size):
+    found = [r for batch in task(pairs_of_blocks(rows, size)) for r in batch.to_pylist()]
+    return found
+
+
+@pytest.mark.parametrize("copies", [1, 5])
+@pytest.mark.parametrize("slab", [(8_000_000, 1024), (300, 7)])
+def test_edges_by_each_way(monkeypatch, copies, slab):
+    monkeypatch.setattr(tiles, "SLAB_PAIRS", slab[0])
+    monkeypatch.setattr(tiles, "SLAB_ROWS", slab[1])
+    monkeypatch.setattr(tiles, "BATCH", 50)
+    rows = records(copies, 90, copies)
+    want = plain(rows, 0.55)
+    skips = np.array([0] * 12 + [5])
+    for products in (tiles.by_blocks, tiles.by_postings, tiles.by_prefix(skips)):
+        got = ran(tiles.edges(TOL, tiles.Score(0.55), products), rows, 25)
+        assert len(got) == len(want) and {(r["src"], r["dst"]): r["dp"] for r in got} == want
+    coefficients = (-0.5275, 4.5572, -1.8332)
+    score = lambda apart, dp: 1 / (1 + np.exp(-(coefficients[0] * apart + coefficients[1] * dp + coefficients[2])))
+    got = ran(tiles.edges(TOL, tiles.Score(0.7, coefficients)), rows, 25)
+    assert {(r["src"], r["dst"]): r["dp"] for r in got} == pytest.approx(plain(rows, 0.7, score)) and len({(r["src"], r["dst"]) for r in got}) == len(got)
+    audit = ran(tiles.audited(TOL, tiles.Score(0.55), 1e-6), rows, 25)
+    assert [sum(r[c] for r in audit) for c in ("edges", "wrong_dp", "too_far", "too_low")] == [len(want), 0, 0, 0]
+
+
+def labels(pairs):
+    ids = np.unique(np.array(sorted(pairs)).reshape(-1, 2))
+    a, b = (np.searchsorted(ids, [p[s] for p in sorted(pairs)]) for s in (0, 1))
+    return dict(zip(ids.tolist(), ids[refine.parts(len(ids), a, b, np.ones(len(ids), bool))].tolist()))
+
+
+@pytest.mark.parametrize("seed, copies, threshold", [(1, 1, 0.55), (2, 5, 0.6), (3, 2, 0.8), (4, 8, 0.7)])
+@pytest.mark.parametrize("least", [0, 1, 2, 4])
+def test_thinned(monkeypatch, seed, copies, threshold, least):
+    monkeypatch.setattr(tiles, "SLAB_ROWS", 9)
+    rows = records(seed, 120, copies)
+    want = plain(rows, threshold)
+    got = ran(tiles.thinned(TOL, tiles.Score(threshold), least, True, True, True), rows, 40)
+    degree, seen = {}, {}
+    for x, y in want:
+        degree[x], degree[y] = degree.get(x, 0) + 1, degree.get(y, 0) + 1
+    for r in got:
+        if r["what"] == tiles.DEGREE:
+            seen[r["src"]] = seen.get(r["src"], 0) + r["n"]
+    assert seen == degree
+    links = {(r["src"], r["dst"]) for r in got if r["what"] == tiles.LINK}
+    assert links <= set(want) and labels(links) == labels(want)
+    core = {k for k, n in degree.items() if n >= least}
+    inner = lambda edges: {e for e in edges if e[0] in core and e[1] in core}
+    assert {e for e in want if e not in inner(want)} <= links
+    assert not inner(want) or labels(inner(links)) == labels(inner(want))
+    ends = [x for e in links for x in e]
+    assert all(ends.count(k) >= least for k in core)
+    name = labels(want)
+    for what, key, best in ((tiles.WEAKEST, lambda e: (want[e], e), min), (tiles.LAST, lambda e: e, max)):
+        own = {}
+        for r in got:
+            if r["what"] == what:
+                assert want[r["src"], r["dst"]] == r["dp"]
+                own.setdefault(name[r["src"]], []).append((r["src"], r["dst"]))
+        whole = {}
+        for e in want:
+            whole.setdefault(name[e[0]], []).append(e)
+        assert {c: best(v, key=key) for c, v in own.items()} == {c: best(v, key=key) for c, v in whole.items()}
+
+
+def test_links_go_with_records():
+    """All records of one mass and nearly all linked: a table of edges would grow with the square."""
+    rows = [(k, np.float32(500), 650, *r[3:]) for k, r in enumerate(records(5, 200, 1))]
+    count = lambda task: len(ran(task, rows, 100))
+    assert count(tiles.edges(TOL, tiles.Score(0.2))) > 15_000
+    assert count(tiles.thinned(TOL, tiles.Score(0.2), least=2)) < 3 * (200 + 200 * 4)
+
+
+def test_dbscan_drops_edges_that_it_does_not_need(monkeypatch):
+    rng = np.random.default_rng(4)
+    for least in (1, 2, 3, 5):
+        pairs = np.unique(np.sort(rng.integers(0, 60, (rng.integers(30, 400), 2)), 1), axis=0)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+
+        def run(full):
+            monkeypatch.setattr(sqlfunctions, "FULL", full)
+            own = sqlfunctions.Dbscan()
+            for x, y in pairs.tolist():
+                own.eval({"cluster_id": 0, "src": x, "dst": y}, least)
+            return sorted(own.terminate()), len(own.ends)
+
+        (want, every), (got, held) = run(10**9), run(20)
+        assert got == want and held <= every
+        lists = sqlfunctions.Dbscan()
+        lists.eval({"cluster_id": 0, "src": pairs[:, 0].tolist(), "dst": pairs[:, 1].tolist()}, least)
+        assert sorted(lists.terminate()) == want
